@@ -6,7 +6,7 @@ import importlib
 
 from beckon.plans import registry
 
-MODULES = ["sources_q"]
+MODULES = ["sources_q", "mapping_q", "quality_q", "redact_q", "filters_q"]
 
 for _m in MODULES:
     importlib.import_module(f"beckon.plans.{_m}")

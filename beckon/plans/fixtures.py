@@ -80,6 +80,19 @@ select k,
   case k % 4 when 0 then 'a, b ,c' when 1 then 'solo' when 2 then null else ' x,y' end as tags,
   '{"customer": {"profile": ' || case when k % 5 = 0 then 'null' else '{"tier": "T' || (k % 3) || '"}' end || '}}' as nested
 from cand
+""",
+    ),
+    "raw_json": (
+        ("cand_core",),
+        """
+select k,
+  '{' || case k % 29 when 0 then '' when 1 then '"customerId": null, ' when 2 then '"customerId": " ", ' when 3 then '"customerId": 77, ' else '"customerId": "' || customer_id || '", ' end ||
+  '"subjectType": "' || subject_type || '", ' || case when k % 37 = 0 then '' else '"subjectId": "' || subject_id || '", ' end ||
+  '"eventDate": ' || case k % 31 when 0 then '"not-a-date"' when 1 then '"2024-13-45"' when 2 then '-5' when 3 then '"' || @ISO{event_date} || '"'
+    when 4 then cast(@MILLIS{event_date} as string) when 5 then '"' || substr(@ISO{event_date}, 1, 10) || '"' else '"' || @ISO{event_date} || 'Z"' end ||
+  ', "orderValue": ' || case when k % 11 = 0 then '"12"' else cast(k % 100 as string) || '.5' end ||
+  ', "mediaEligible": ' || case when k % 13 = 0 then '"true"' when k % 13 = 1 then 'null' else 'true' end || '}' as record
+from cand_core
 """,
     ),
     "customer_event": (

@@ -41,6 +41,7 @@ def local_session(cores: int | str = "*", app: str = "beckon", memory: str | Non
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", memory or os.environ.get("BECKON_DRIVER_MEMORY", "8g"))
         .config("spark.sql.files.maxPartitionBytes", "64m")
