@@ -33,10 +33,11 @@ def filter_eligibility(params: Mapping, filter_id: str, as_of=None) -> Column:
     """every required channel must be eligible; then a timing window must be set."""
     channels = params.get("requiredChannels", [])
     flags = F.col("attributes.channel_eligibility")
-    bad = F.array_compact(F.array(*[F.when(~F.coalesce(flags[c], F.lit(False)), F.lit(c)) for c in channels])) if channels else F.array().cast("array<string>")
+    missing = [~F.coalesce(flags[c], F.lit(False)) for c in channels]
     window = F.col("attributes.timing_window")
-    reason = F.concat(F.lit("Not eligible for required channels: "), F.array_join(bad, ", "))
-    out = F.when(F.size(bad) > 0, _reject(filter_id, "CHANNEL_INELIGIBLE", reason))
+    names = F.concat_ws(", ", *[F.when(m, F.lit(c)) for m, c in zip(missing, channels)])
+    reason = F.concat(F.lit("Not eligible for required channels: "), names)
+    out = F.when(reduce(lambda a, b: a | b, missing, F.lit(False)), _reject(filter_id, "CHANNEL_INELIGIBLE", reason))
     if params.get("checkTimingWindow", True):
         out = out.when(window.isNull() | (window == ""), _reject(filter_id, "TIMING_WINDOW_MISSING", "Timing window not specified"))
     return out
@@ -151,7 +152,7 @@ def _age_us(col: Column, as_of) -> Column:
 
 
 def has_channel() -> Column:
-    return F.exists(F.map_values("attributes.channel_eligibility"), lambda v: v)
+    return F.coalesce(F.array_contains(F.map_values("attributes.channel_eligibility"), True), F.lit(False))
 
 
 def serving_eligible(as_of, max_event_days: int = SERVING_MAX_EVENT_DAYS) -> Column:
@@ -165,7 +166,7 @@ def serving_eligible(as_of, max_event_days: int = SERVING_MAX_EVENT_DAYS) -> Col
 
 def serving_stale(as_of, candidate_hours: int = STALE_CANDIDATE_HOURS, score_hours: int = STALE_SCORE_HOURS) -> Column:
     """not updated for 24 h, or any score at least 12 h old."""
-    old_score = F.exists(F.map_values("scores"), lambda s: _age_us(s["timestamp"], as_of) >= score_hours * HOUR_US)
+    old_score = _age_us(F.array_min(F.map_values("scores")["timestamp"]), as_of) >= score_hours * HOUR_US
     return (_age_us(F.col("metadata.updated_at"), as_of) >= candidate_hours * HOUR_US) | F.coalesce(old_score, F.lit(False))
 
 

@@ -243,7 +243,9 @@ def candidates_from_events(events: DataFrame, as_of=None) -> DataFrame:
 
 
 def context_id(kind: str) -> Column:
-    return F.filter("context", lambda c: c["type"] == kind)[0]["id"]
+    """Id of the first context entry of this type.  No lambda, so it stays in generated code."""
+    ctx = F.col("context")
+    return F.get(ctx["id"], F.array_position(ctx["type"], kind).cast("int") - 1)
 
 
 def score_value(model: str) -> Column:
@@ -252,7 +254,7 @@ def score_value(model: str) -> Column:
 
 def max_score(default: float | None = 0.0) -> Column:
     """Highest score value over all models, the default when there is none."""
-    best = F.array_max(F.transform(F.map_values("scores"), lambda s: s["value"]))
+    best = F.array_max(F.map_values("scores")["value"])
     return best if default is None else F.coalesce(best, F.lit(default))
 
 

@@ -412,22 +412,19 @@ def candidates(spark: SparkSession, sf_dir: str, delivery: bool = True) -> DataF
     flat = fixture(spark, sf_dir, "cand" if delivery else "cand_core")
     if not delivery:
         flat = flat.withColumn("delivery_date", F.lit(None).cast("timestamp"))
+    # every model has an entry; an absent score is a null struct
     scored = [("trust", F.lit(0.9)), ("fraud", F.lit(None)), ("quality", F.col("quality_conf"))]
-    entries = F.filter(
-        F.array(*[F.struct(F.lit(m).alias("key"), _score(m, m, c).alias("value")) for m, c in scored]),
-        lambda e: e["value"]["value"].isNotNull(),
-    )
-    row = F.struct(
-        F.col("customer_id"),
-        F.array(
+    scores = F.create_map(*[x for m, c in scored for x in (F.lit(m), F.when(F.col(m).isNotNull(), _score(m, m, c)))])
+    names = [f.name for f in CANDIDATE.fields]
+    columns = {
+        "customer_id": F.col("customer_id"),
+        "context": F.array(
             F.struct(F.lit("marketplace").alias("type"), F.col("marketplace").alias("id")),
             F.struct(F.lit("program").alias("type"), F.col("program_id").alias("id")),
-        ).alias("context"),
-        F.struct(
-            F.col("subject_type").alias("type"), F.col("subject_id").alias("id"), F.lit(None).cast("map<string,string>").alias("metadata")
-        ).alias("subject"),
-        F.map_from_entries(entries).alias("scores"),
-        F.struct(
+        ),
+        "subject": F.struct(F.col("subject_type").alias("type"), F.col("subject_id").alias("id"), F.lit(None).cast("map<string,string>").alias("metadata")),
+        "scores": scores,
+        "attributes": F.struct(
             "event_date", "delivery_date", "timing_window", "order_value", "media_eligible",
             F.create_map(
                 F.lit("email"), F.col("email"), F.lit("in-app"), F.col("in_app"), F.lit("push"), F.col("push"), F.lit("sms"), F.col("sms")
@@ -435,13 +432,12 @@ def candidates(spark: SparkSession, sf_dir: str, delivery: bool = True) -> DataF
             F.lit(False).alias("consumed"),
             F.lit(None).cast("timestamp").alias("consumed_at"),
             F.lit(None).cast("string").alias("consumed_channel"),
-        ).alias("attributes"),
-        F.struct(
+        ),
+        "metadata": F.struct(
             "created_at", "updated_at", "expires_at", "version",
             F.lit("warehouse").alias("source_connector_id"), F.lit("exec-1").alias("workflow_execution_id"),
             F.lit(None).cast("struct<experiment_id:string,treatment_id:string>").alias("experiment_treatment"),
-        ).alias("metadata"),
-        F.lit(None).cast("array<struct<filter_id:string,reason:string,reason_code:string,timestamp:timestamp>>").alias("rejection_history"),
-    ).alias("c")
-    names = [f.name for f in CANDIDATE.fields]
-    return flat.select("k", row).select("k", *[F.col(f"c.{n}").cast(ddl(CANDIDATE[n].dataType)).alias(n) for n in names])
+        ),
+        "rejection_history": F.lit(None).cast(ddl(CANDIDATE["rejection_history"].dataType)),
+    }
+    return flat.select("k", *[columns[n].alias(n) for n in names])
