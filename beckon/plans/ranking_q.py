@@ -129,11 +129,11 @@ def w9(spark, sf):
 
 @query(
     "w10_by_program_date",
-    "select k from cand_core where program_id = 'prog-3' and created_at >= timestamp '1998-03-04' and created_at < timestamp '1998-03-05' order by created_at, customer_id, subject_id limit 50",
+    "select k from cand_core where program_id = 'prog-2' and created_at >= timestamp '1998-06-10' and created_at < timestamp '1998-06-11' order by created_at, customer_id, subject_id limit 50",
     ("cand_core",),
 )
 def w10(spark, sf):
-    return rk.by_program_date(cands(spark, sf), "prog-3", "1998-03-04", 50).select("k")
+    return rk.by_program_date(cands(spark, sf), "prog-2", "1998-06-10", 50).select("k")
 
 
 @query(
