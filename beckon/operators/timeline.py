@@ -253,35 +253,45 @@ def _opening_of(gap: int):
 def greedy_openings(df: DataFrame, keys: Sequence[str], tick: Column, gap: int, block: int = 16) -> DataFrame:
     """Distinct ``(keys, tick)`` with the ``opening`` of the greedy window each tick falls in.
 
-    A tick is an opening itself when ``tick = opening``.  The chain is sequential, yet only
-    its per-block summaries are walked in order: blocks of ``block * gap`` ticks are folded in
-    parallel, one short summary row per block is chained per key, then blocks finish alone.
+    A tick is an opening itself when ``tick = opening``.  Blocks of ``block * gap`` ticks work
+    in parallel.  A block that starts at least one gap after the previous tick stands alone;
+    only runs of blocks that lean on each other pass their state along, and only as one short
+    summary row per block.  Lone ticks never leave the JVM.
     """
     keys = list(keys)
     size = block * gap
+    at = [*keys, "__block"]
     ticks = df.select(*keys, tick.cast("bigint").alias("tick")).filter(F.col("tick").isNotNull())
     blocks = (
-        ticks.withColumn("__block", _bucket(F.col("tick"), size))
-        .groupBy(*keys, "__block")
-        .agg(F.sort_array(F.collect_set("tick")).alias("__ticks"))
+        ticks.withColumn("__block", _bucket(F.col("tick"), size)).groupBy(*at).agg(F.sort_array(F.collect_set("tick")).alias("__ticks"))
     )
-    summary = blocks.select(*keys, "__block", _exit_runs(gap)("__ticks", F.col("__block") * size).alias("r"))
-    summary = summary.select(*keys, "__block", "r.upto", "r.exit")
-    key_fields = [df.schema[k] for k in keys]
-    out_schema = T.StructType([*key_fields, T.StructField("__block", T.LongType()), T.StructField("prior", T.LongType())])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__block")
-        opened, priors = None, []
-        for upto, exits in zip(pdf["upto"], pdf["exit"]):
-            priors.append(opened)
-            i = 0 if opened is None else int(np.searchsorted(upto, opened + gap))
-            if i < len(upto):
-                opened = int(exits[i])
-        return pdf[[*keys, "__block"]].assign(prior=pd.array(priors, dtype="Int64"))
-
-    priors = summary.groupBy(*keys).applyInPandas(chain, out_schema)
-    solved = _null_safe(blocks, priors, [*keys, "__block"])
-    solved = solved.withColumn("__open", _opening_of(gap)("__ticks", "prior"))
+    # a block depends on the one before only when its first tick is closer than the gap
+    edges = blocks.select(*at, F.col("__ticks")[0].alias("__first"), F.element_at("__ticks", -1).alias("__last"))
+    w = Window.partitionBy(*keys).orderBy("__block")
+    tied = F.coalesce(F.col("__first") < F.lag("__last").over(w) + gap, F.lit(False))
+    ties = edges.withColumn("__tied", tied).withColumn("__next", F.lead("__tied").over(w))
+    chained = ties.filter(F.col("__tied") | F.col("__next")).select(*at, "__tied")
+    summary = _null_safe(blocks, chained, at, "inner").select(*at, "__tied", _exit_runs(gap)("__ticks", F.col("__block") * size).alias("r"))
+    summary = summary.select(*at, "__tied", "r.upto", "r.exit").repartition(*keys).sortWithinPartitions(*at)
+    out_schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("__block", T.LongType()), T.StructField("prior", T.LongType())])
+
+    def chain(batches):
+        opened = None
+        for pdf in batches:
+            priors = []
+            for lean, upto, exits in zip(pdf["__tied"], pdf["upto"], pdf["exit"]):
+                if not lean:
+                    opened = None
+                priors.append(opened)
+                i = 0 if opened is None else int(np.searchsorted(upto, opened + gap))
+                if i < len(upto):
+                    opened = int(exits[i])
+            yield pdf[at].assign(prior=pd.array(priors, dtype="Int64"))
+
+    priors = summary.mapInPandas(chain, out_schema)
+    solved = _null_safe(blocks, priors, at)
+    lone = F.col("prior").isNull() & (F.size("__ticks") == 1)
+    easy = solved.filter(lone).select(*keys, F.col("__ticks")[0].alias("tick"), F.col("__ticks")[0].alias("opening"))
+    rest = solved.filter(~lone).withColumn("__open", _opening_of(gap)("__ticks", "prior"))
     pairs = F.explode(F.arrays_zip(F.col("__ticks").alias("tick"), F.col("__open").alias("opening")))
-    return solved.select(*keys, pairs.alias("z")).select(*keys, "z.tick", "z.opening")
+    return easy.unionByName(rest.select(*keys, pairs.alias("z")).select(*keys, "z.tick", "z.opening"))

@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beckon.schema import CANDIDATE, ddl
-from beckon.sources.tables import TABLES, table
+from beckon.sources.tables import TABLES, spread, table
+
+# tables whose rows are worked on heavily (long texts, candidate building)
+HEAVY = ("orders", "documents", "pages", "conversations")
 
 AS_OF_ORDERS = "2001-08-02 00:00:00"
 AS_OF_EVENTS = "2024-01-31 00:00:00"
@@ -389,11 +392,13 @@ def duckdb_text(oracle: str, uses: tuple[str, ...]) -> str:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture table ``name`` as a lazy DataFrame."""
     if name in TABLES:
-        return table(spark, sf_dir, name)
+        base = table(spark, sf_dir, name)
+        return spread(base) if name in HEAVY else base
     text = f"with {_with_prefix((name,), 0)} select * from {name}"
     for base in TABLES:
         if re.search(rf"\b(from|join) {base}\b", text):
-            table(spark, sf_dir, base).createOrReplaceTempView(base)
+            src = table(spark, sf_dir, base)
+            (spread(src) if base in HEAVY else src).createOrReplaceTempView(base)
     return spark.sql(text)
 
 

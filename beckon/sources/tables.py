@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import types as T
 
 from beckon.session import configure
 
+FEW_SPLITS = 8
+
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -34,7 +37,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     configure(spark)
     path = f"{sf_dir}/{name}.parquet"
-    import json
-
     schema = T.StructType.fromJson(json.loads(_schema_json(spark.sparkContext.applicationId, path)))
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table of only a few input splits over the session's cores.
+
+    Meant for work that is heavy per row.  Larger tables already have enough splits and are
+    returned as they are, so no shuffle is added at scale.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes")).rstrip("b").replace("m", "0" * 6).replace("g", "0" * 9))
+    if size > FEW_SPLITS * split:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)

@@ -17,7 +17,9 @@ from beckon.sources.events import parse_customer_events, route_events
 
 # fixed values: duplicate window and state lifetime in seconds
 DEDUP_WINDOW_S, DEDUP_STATE_S = 300, 600
+LATENESS_S = 600
 LATENESS = "10 minutes"
+STATE_GROUPS = 64  # raise with the cluster; fixed for the life of a checkpoint
 
 
 def _local_first(df: DataFrame, keys: Sequence[str], tick: str, order: Sequence[str], k: int) -> DataFrame:
@@ -34,62 +36,66 @@ def _local_first(df: DataFrame, keys: Sequence[str], tick: str, order: Sequence[
     return df.mapInPandas(run, df.schema)
 
 
-def _stateful(df: DataFrame, keys: Sequence[str], state_schema: str, step: Callable, expire: bool) -> DataFrame:
-    timeout = GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout
-    return df.groupBy(*keys).applyInPandasWithState(step, df.schema, state_schema, "append", timeout)
+def _fold_by_key(
+    df: DataFrame, keys: Sequence[str], tick: str, order: Sequence[str], first: int, hold: int, groups: int, step: Callable[[tuple | None, int], tuple[bool, tuple]]
+) -> DataFrame:
+    """Filter a stream by a per-key fold over its ticks.
+
+    ``step(state, tick)`` says whether the row passes and gives the next (a, b) state.  Keys
+    are hashed into ``groups`` state groups, so Python is called per group and batch, not per
+    key.  Entries whose ``a`` lies more than ``hold`` ticks behind are forgotten.
+    """
+    src = _local_first(df, keys, tick, order, first)
+    src = src.withColumn("__key", F.to_json(F.struct(*keys))).withColumn("__group", F.pmod(F.xxhash64("__key"), F.lit(groups)))
+    schema = src.schema
+    cols = [f.name for f in schema.fields]
+
+    def run(group, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = {k: (a, b) for k, a, b in zip(*state.get)} if state.exists else {}
+        pdf = pd.concat(list(batches)).sort_values(list(order))
+        keep = []
+        for key, at in zip(pdf["__key"].tolist(), pdf[tick].tolist()):
+            passed, held[key] = step(held.get(key), at)
+            keep.append(passed)
+        oldest = int(pdf[tick].max()) - hold
+        held = {k: v for k, v in held.items() if v[0] >= oldest}
+        state.update((list(held), [v[0] for v in held.values()], [v[1] for v in held.values()]))
+        yield pdf.loc[keep, cols]
+
+    state_schema = "keys array<string>, a array<bigint>, b array<bigint>"
+    out = src.groupBy("__group").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return out.drop("__key", "__group")
 
 
 def dedup_events_stream(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_s: int = DEDUP_WINDOW_S, state_s: int = DEDUP_STATE_S, lateness: str = LATENESS
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_s: int = DEDUP_WINDOW_S, state_s: int = DEDUP_STATE_S, lateness_s: int = LATENESS_S, groups: int = STATE_GROUPS
 ) -> DataFrame:
     """Passes an event unless the key's last passed event is less than ``window_s`` old.
 
-    Exact for ordered arrival; inside a micro-batch rows are ordered by second and tie.  The
-    key's state is forgotten ``state_s`` (at least the window) after its last event.
+    Exact for ordered arrival; inside a micro-batch rows are ordered by second and tie.  Rows
+    later than ``lateness_s`` are dropped; a key is forgotten ``state_s`` (at least the
+    window) plus the lateness after its last passed event.
     """
-    hold_ms = max(state_s, window_s) * 1000
-    src = df.withColumn("__sec", F.unix_seconds(F.col(ts))).withWatermark(ts, lateness)
-    src = _local_first(src, keys, "__sec", ["__sec", tie], 1)
-    cols = [f.name for f in src.schema.fields]
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["__sec", tie])
-        keep = []
-        for sec in pdf["__sec"].tolist():
-            fresh = last is None or sec - last >= window_s
-            keep.append(fresh)
-            if fresh:
-                last = sec
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(int(last) * 1000 + hold_ms, state.getCurrentWatermarkMs() + 1))
-        yield pdf.loc[keep, cols]
+    src = df.withColumn("__sec", F.unix_seconds(F.col(ts))).withWatermark(ts, f"{lateness_s} seconds")
+
+    def step(state, sec):
+        if state is not None and sec - state[0] < window_s:
+            return False, state
+        return True, (sec, 0)
 
-    return _stateful(src, keys, "last bigint", step, True).drop("__sec")
+    hold = max(state_s, window_s) + lateness_s
+    return _fold_by_key(src, keys, "__sec", ["__sec", tie], 1, hold, groups, step).drop("__sec")
 
 
-def stream_throttle(df: DataFrame, key: str, ts: str, tie: str, max_requests: int, window_ms: int) -> DataFrame:
+def stream_throttle(df: DataFrame, key: str, ts: str, tie: str, max_requests: int, window_ms: int, lateness_s: int = LATENESS_S, groups: int = STATE_GROUPS) -> DataFrame:
     """T4: requests a fixed window lets pass; state is the window's start and count."""
-    src = df.withColumn("__ms", F.unix_millis(F.col(ts)))
-    src = _local_first(src, [key], "__ms", ["__ms", ts, tie], max_requests)
-    cols = [f.name for f in src.schema.fields]
-
-    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        start, used = state.get if state.exists else (None, 0)
-        for pdf in [pd.concat(list(batches)).sort_values(["__ms", ts, tie])]:
-            keep = []
-            for ms in pdf["__ms"].tolist():
-                if start is None or ms - start >= window_ms:
-                    start, used = ms, 0
-                keep.append(used < max_requests)
-                used += keep[-1]
-            state.update((int(start), int(used)))
-            yield pdf.loc[keep, cols]
-
-    return _stateful(src, [key], "start bigint, used bigint", step, False).drop("__ms")
+    src = df.withColumn("__ms", F.unix_millis(F.col(ts))).withWatermark(ts, f"{lateness_s} seconds")
+
+    def step(state, ms):
+        start, used = (ms, 0) if state is None or ms - state[0] >= window_ms else state
+        return used < max_requests, (start, used + (used < max_requests))
+
+    return _fold_by_key(src, [key], "__ms", ["__ms", ts, tie], max_requests, window_ms + lateness_s * 1000, groups, step).drop("__ms")
 
 
 def reactive_candidates(events: DataFrame, as_of=None, body: str = "body", tie: str = "event_id") -> DataFrame:
