@@ -163,11 +163,15 @@ def legacy_usage(requests: DataFrame, customers: str = "customer_ids", approx: b
     return counts.join(ids.groupBy("dimension", "value").agg(unique), ["dimension", "value"])
 
 
+def exact_sum(value: str, scale: int = 6) -> Column:
+    """Sum of a double column that does not depend on row order (up to ``scale`` decimals)."""
+    return F.sum(F.col(value).cast(f"decimal(28,{scale})")).cast("double")
+
+
 def customer_features(orders: DataFrame, as_of, customer: str, value: str, at: str) -> DataFrame:
     """A15."""
-    out = orders.groupBy(customer).agg(
-        F.sum(value).alias("lifetime_value"), F.count(F.lit(1)).alias("purchase_frequency"), F.avg(value).alias("avg_order_value"), F.max(at).alias("last_purchase")
-    )
+    out = orders.groupBy(customer).agg(exact_sum(value).alias("lifetime_value"), F.count(F.lit(1)).alias("purchase_frequency"), F.max(at).alias("last_purchase"))
+    out = out.withColumn("avg_order_value", F.col("lifetime_value") / F.col("purchase_frequency"))
     return out.withColumn("days_since_purchase", days_between(F.col("last_purchase"), as_ts(as_of)))
 
 
@@ -180,21 +184,22 @@ def category_affinity(df: DataFrame, customer: str, category: str) -> DataFrame:
 def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, bucket: Column, name: str) -> DataFrame:
     """Interpolated percentile per key without holding a key's values in one task.
 
-    Counts per coarse ``bucket`` (ascending in ``value``) locate the one or two buckets that
-    hold the wanted ranks; only their rows are sorted.
+    Equal values are counted first, so repeated values cost one row.  Counts per coarse
+    ``bucket`` (ascending in ``value``) locate the one or two buckets that hold the wanted
+    ranks; only their values are ordered.
     """
     keys = list(keys)
-    tagged = df.filter(F.col(value).isNotNull()).select(*keys, value, bucket.alias("__b"))
-    counts = tagged.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    tagged = df.filter(F.col(value).isNotNull()).withColumn("__b", bucket).groupBy(*keys, "__b", value).agg(F.count(F.lit(1)).alias("__m"))
+    counts = tagged.groupBy(*keys, "__b").agg(F.sum("__m").alias("__c"))
     run = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     located = counts.withColumn("__end", F.sum("__c").over(run)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
     pos = (F.col("__n") - 1) * p
     located = located.withColumns({"__lo": F.floor(pos) + 1, "__hi": F.ceil(pos) + 1, "__f": pos - F.floor(pos)})
     located = located.filter((F.col("__end") >= F.col("__lo")) & (F.col("__end") - F.col("__c") < F.col("__hi")))
     near = _null_safe(tagged, located, [*keys, "__b"], "inner")
-    rank = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(value)) + F.col("__end") - F.col("__c")
-    near = near.withColumn("__r", rank)
-    pick = lambda c: F.max(F.when(F.col("__r") == F.col(c), F.col(value)))
+    inner = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("__r", F.sum("__m").over(inner) + F.col("__end") - F.col("__c"))
+    pick = lambda c: F.min(F.when(F.col("__r") >= F.col(c), F.col(value)))
     out = near.groupBy(*keys).agg(pick("__lo").alias("__vl"), pick("__hi").alias("__vh"), F.first("__f").alias("__f"))
     return out.select(*keys, (F.col("__vl") + (F.col("__vh") - F.col("__vl")) * F.col("__f")).alias(name))
 

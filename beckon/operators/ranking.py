@@ -53,6 +53,10 @@ def _score_buckets(score: Column, then: Column) -> tuple[Column, ...]:
     return F.when(zero, 1).otherwise(-F.floor(score * SCORE_STEPS)), F.when(zero, then).otherwise(F.lit(0))
 
 
+def _tie_bucket(tie: str, step: int | None) -> Column:
+    return F.lit(0) if step is None else F.floor(F.col(tie) / step)
+
+
 def subject_priority(channel: Column | str | None, subject_type: Column) -> Column:
     """Index of the subject type in the channel's list, unknown last."""
     if channel is None:
@@ -70,10 +74,13 @@ def by_default(channel: Column | str | None, primary_model: str, tie: str) -> St
     return Strategy((score.desc(), at.desc(), subject_priority(channel, F.col("subject.type")).asc(), F.asc(tie)), _score_buckets(score, -_day(at)))
 
 
-def by_score(tie: str) -> Strategy:
-    """Best score of any model."""
+def by_score(tie: str, tie_step: int | None = None) -> Strategy:
+    """Best score of any model.
+
+    With a numeric ``tie``, ``tie_step`` also splits the rows that have no score at all.
+    """
     score = max_score()
-    return Strategy((score.desc(), F.asc(tie)), _score_buckets(score, F.lit(0)))
+    return Strategy((score.desc(), F.asc(tie)), _score_buckets(score, _tie_bucket(tie, tie_step)))
 
 
 def by_recency(tie: str) -> Strategy:
@@ -149,14 +156,15 @@ def serve(requests: DataFrame, candidates: DataFrame, primary_model: str, tie: s
     on.  Requests bring request_id, customer_id, channel, program_id, max_results (at most
     100) and include_scores.
     """
-    req = requests.select("request_id", "customer_id", "channel", "program_id", "max_results", "include_scores")
     c = candidates.filter(serving_eligible(as_of)) if as_of is not None else candidates
-    hit = c.join(req, "customer_id")
+    asked = ["customer_id", "channel", "program_id"]
+    # equal questions are answered once, so many requests of one customer do not multiply its rows
+    hit = c.join(requests.select(*asked).distinct(), "customer_id")
     program_ok = F.col("program_id").isNull() | (context_id("program") == F.col("program_id"))
     channel_ok = F.col("channel").isNull() | F.coalesce(F.element_at("attributes.channel_eligibility", F.col("channel")), F.lit(False))
-    hit = hit.filter(program_ok & channel_ok)
-    ranked = rank(hit, ["request_id"], by_default(F.col("channel"), primary_model, tie), MAX_RESULTS)
-    return strip_scores(ranked.filter(F.col("rank") <= F.col("max_results")), "include_scores")
+    ranked = rank(hit.filter(program_ok & channel_ok), asked, by_default(F.col("channel"), primary_model, tie), MAX_RESULTS)
+    answers = _null_safe(ranked, requests.select("request_id", *asked, "max_results", "include_scores"), asked, "inner")
+    return strip_scores(answers.filter(F.col("rank") <= F.col("max_results")), "include_scores")
 
 
 def serve_batch(requests: DataFrame, candidates: DataFrame, primary_model: str, tie: str) -> DataFrame:
@@ -188,11 +196,11 @@ def by_program_date(df: DataFrame, program: str, date: str, limit: int) -> DataF
     return hit.orderBy(at.asc(), F.asc("customer_id"), F.col("subject.id").asc()).limit(limit)
 
 
-def top_n_per_group(df: DataFrame, keys: Sequence[str], score: str, tie: str, n: int, floor: float | None = None) -> DataFrame:
+def top_n_per_group(df: DataFrame, keys: Sequence[str], score: str, tie: str, n: int, floor: float | None = None, tie_step: int | None = None) -> DataFrame:
     """Best n per group above an optional score floor; any n, any group size."""
     src = df if floor is None else df.filter(F.col(score) >= floor)
     s = F.coalesce(F.col(score), F.lit(0.0))
-    return rank(src, keys, Strategy((s.desc(), F.asc(tie)), _score_buckets(s, F.lit(0))), n)
+    return rank(src, keys, Strategy((s.desc(), F.asc(tie)), _score_buckets(s, _tie_bucket(tie, tie_step))), n)
 
 
 def by_status_min_score(df: DataFrame, status: str, min_score: float, newest_first: bool, page_size: int, at: str, score: str, tie: str) -> DataFrame:

@@ -65,8 +65,9 @@ def score_models(df: DataFrame, models: Sequence[Model], as_of, into: str = "sco
             F.lit(m.id).alias("model_id"), F.col(f"__v{i}").alias("value"), (F.lit(None) if m.confidence is None else m.confidence).cast("double").alias("confidence"),
             as_ts(as_of).alias("timestamp"), F.create_map(F.lit("modelVersion"), F.lit(m.version)).alias("metadata"),
         ).cast(ddl(SCORE))
-        entries.append(F.when(F.col(f"__v{i}").isNotNull(), F.struct(F.lit(m.id).alias("key"), score.alias("value"))))
-    return staged.withColumn(into, F.map_from_entries(F.array_compact(F.array(*entries)))).drop(*[f"__v{i}" for i in range(len(models))])
+        none = F.create_map().cast(f"map<string,{ddl(SCORE)}>")
+        entries.append(F.when(F.col(f"__v{i}").isNotNull(), F.create_map(F.lit(m.id), score)).otherwise(none))
+    return staged.withColumn(into, F.map_concat(*entries)).drop(*[f"__v{i}" for i in range(len(models))])
 
 
 def score_long(df: DataFrame, ids: Sequence[str], scores: str = "scores") -> DataFrame:

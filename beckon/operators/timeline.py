@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DAY = 86400
+MAX_BLOCK_TICKS = 1_000_000  # distinct ticks one block may hold (one gap at least)
 
 
 def _bucket(position: Column, width: int) -> Column:
@@ -250,7 +251,7 @@ def _opening_of(gap: int):
     return assign
 
 
-def greedy_openings(df: DataFrame, keys: Sequence[str], tick: Column, gap: int, block: int = 16) -> DataFrame:
+def greedy_openings(df: DataFrame, keys: Sequence[str], tick: Column, gap: int, block: int | None = None) -> DataFrame:
     """Distinct ``(keys, tick)`` with the ``opening`` of the greedy window each tick falls in.
 
     A tick is an opening itself when ``tick = opening``.  Blocks of ``block * gap`` ticks work
@@ -259,7 +260,7 @@ def greedy_openings(df: DataFrame, keys: Sequence[str], tick: Column, gap: int,
     summary row per block.  Lone ticks never leave the JVM.
     """
     keys = list(keys)
-    size = block * gap
+    size = gap * (block or max(1, min(16, MAX_BLOCK_TICKS // gap)))
     at = [*keys, "__block"]
     ticks = df.select(*keys, tick.cast("bigint").alias("tick")).filter(F.col("tick").isNotNull())
     blocks = (

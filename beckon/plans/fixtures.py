@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beckon.schema import CANDIDATE, ddl
-from beckon.sources.tables import TABLES, spread, table
+from beckon.sources.tables import TABLES, plan_once, spread, table
 
 # tables whose rows are worked on heavily (long texts, candidate building)
 HEAVY = ("orders", "documents", "pages", "conversations")
@@ -170,8 +170,8 @@ where c_custkey % 3 <> 0 and n <= c_custkey % 3
     "features": (
         (),
         """
-select 'CUST-' || o_custkey as customer_id, sum(o_totalprice) as lifetime_value, count(*) as order_count,
-  avg(o_totalprice) as avg_order_value, max(o_orderdate) as last_purchase
+select 'CUST-' || o_custkey as customer_id, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as lifetime_value, count(*) as order_count,
+  cast(sum(cast(o_totalprice as decimal(18,2))) as double) / cast(count(*) as double) as avg_order_value, max(o_orderdate) as last_purchase
 from orders group by o_custkey
 """,
     ),
@@ -391,15 +391,18 @@ def duckdb_text(oracle: str, uses: tuple[str, ...]) -> str:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture table ``name`` as a lazy DataFrame."""
-    if name in TABLES:
-        base = table(spark, sf_dir, name)
-        return spread(base) if name in HEAVY else base
-    text = f"with {_with_prefix((name,), 0)} select * from {name}"
-    for base in TABLES:
-        if re.search(rf"\b(from|join) {base}\b", text):
-            src = table(spark, sf_dir, base)
-            (spread(src) if base in HEAVY else src).createOrReplaceTempView(base)
-    return spark.sql(text)
+
+    def build() -> DataFrame:
+        if name in TABLES:
+            base = table(spark, sf_dir, name)
+            return spread(base) if name in HEAVY else base
+        text = f"with {_with_prefix((name,), 0)} select * from {name}"
+        for base in TABLES:
+            if re.search(rf"\b(from|join) {base}\b", text):
+                fixture(spark, sf_dir, base).createOrReplaceTempView(base)
+        return spark.sql(text)
+
+    return plan_once(spark, (sf_dir, "fixture", name), build)
 
 
 def _score(model: str, value: str, confidence: Column) -> Column:

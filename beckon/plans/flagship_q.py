@@ -49,14 +49,14 @@ def filtered(spark, sf):
 
 @query(
     "flagship_top_candidates",
-    f"""select customer_id, k, program_id, round(engagement, 6) as engagement, rank from (select *, row_number() over (partition by customer_id order by engagement desc, event_date desc,
+    f"""select customer_id, k, program_id, engagement, rank from (select *, row_number() over (partition by customer_id order by engagement desc, event_date desc,
       case subject_type when 'product' then 0 when 'service' then 1 when 'event' then 2 else 99 end, k) as rank from {FLAG_SQL} where code is null) where rank <= 3""",
     ("cand", "features"),
 )
 def flagship(spark, sf):
     passed = filtered(spark, sf).filter(F.col("rejection").isNull())
     top = rk.rank(passed, ["customer_id"], rk.by_default("email", "engagement", "k"), 3)
-    return top.select("customer_id", "k", context_id("program").alias("program_id"), F.round(score_value("engagement"), 6).alias("engagement"), "rank")
+    return top.select("customer_id", "k", context_id("program").alias("program_id"), score_value("engagement").alias("engagement"), "rank")
 
 
 @query(

@@ -38,7 +38,7 @@ def w1(spark, sf):
     ("cand_core",),
 )
 def w2(spark, sf):
-    return rk.rank(cands(spark, sf), ["customer_id"], rk.by_score("k")).select("k", "rank")
+    return rk.rank(cands(spark, sf), ["customer_id"], rk.by_score("k", 65536)).select("k", "rank")
 
 
 @query("w3_rank_by_recency", "select k, row_number() over (partition by customer_id order by event_date desc, k) as rank from cand_core", ("cand_core",))
@@ -55,7 +55,7 @@ def w4(spark, sf):
     from beckon.operators.mapping import context_id
 
     df = cands(spark, sf).withColumn("marketplace", context_id("marketplace"))
-    return rk.rank(df, ["marketplace"], rk.composite([rk.by_score("k"), rk.by_recency("k")])).select("k", "rank")
+    return rk.rank(df, ["marketplace"], rk.composite([rk.by_score("k", 65536), rk.by_recency("k")])).select("k", "rank")
 
 
 PERSONAL = """select c.k, c.customer_id, coalesce(quality, 0.5e0) * 0.4e0
@@ -142,7 +142,7 @@ def w10(spark, sf):
     ("cand_core",),
 )
 def w11(spark, sf):
-    return rk.top_n_per_group(fixture(spark, sf, "cand_core"), ["subject_type"], "quality", "k", 1500, 0.1).select("k", "subject_type", "rank")
+    return rk.top_n_per_group(fixture(spark, sf, "cand_core"), ["subject_type"], "quality", "k", 1500, 0.1, 65536).select("k", "subject_type", "rank")
 
 
 @query(

@@ -26,13 +26,13 @@ def feature_rows(spark, sf):
 
 @query(
     "m1_score_models",
-    """select customer_id, 'value' as model_id, round(least(1.0e0, avg_order_value / 400000.0e0), 6) as value, 0.8e0 as confidence from features
-    union all select customer_id, 'loyalty', round(least(1.0e0, order_count / 20.0e0), 6), cast(null as double) from features where order_count >= 5""",
+    """select customer_id, 'value' as model_id, least(1.0e0, avg_order_value / 400000.0e0) as value, 0.8e0 as confidence from features
+    union all select customer_id, 'loyalty', least(1.0e0, order_count / 20.0e0), cast(null as double) from features where order_count >= 5""",
     ("features",),
 )
 def m1(spark, sf):
     out = sc.score_models(feature_rows(spark, sf), sample_models(), AS_OF_ORDERS)
-    return sc.score_long(out, ["customer_id"]).select("customer_id", "model_id", F.round("value", 6).alias("value"), "confidence")
+    return sc.score_long(out, ["customer_id"]).select("customer_id", "model_id", "value", "confidence")
 
 
 def _linear(total: pd.Series, count: pd.Series) -> pd.Series:
@@ -41,7 +41,7 @@ def _linear(total: pd.Series, count: pd.Series) -> pd.Series:
 
 @query(
     "m2_pandas_scorer",
-    "select customer_id, round(least(1.0e0, lifetime_value / order_count / 400000.0e0), 6) as value from features",
+    "select customer_id, least(1.0e0, lifetime_value / order_count / 400000.0e0) as value from features",
     ("features",),
 )
 def m2(spark, sf):
@@ -49,20 +49,19 @@ def m2(spark, sf):
         return _linear(total, count)
 
     df = fixture(spark, sf, "features")
-    return df.select("customer_id", F.round(sc.pandas_scorer(linear, "lifetime_value", "order_count"), 6).alias("value"))
+    return df.select("customer_id", sc.pandas_scorer(linear, "lifetime_value", "order_count").alias("value"))
 
 
 @query(
     "m2_batch_scorer",
-    "select customer_id, round(least(1.0e0, lifetime_value / order_count / 400000.0e0), 6) as value from features",
+    "select customer_id, least(1.0e0, lifetime_value / order_count / 400000.0e0) as value from features",
     ("features",),
 )
 def m2_batch(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"customer_id": pdf["customer_id"], "value": (pdf["lifetime_value"] / pdf["order_count"] / 400000.0).clip(upper=1.0)})
 
-    out = sc.score_batches(fixture(spark, sf, "features").select("customer_id", "lifetime_value", "order_count"), run, "customer_id string, value double")
-    return out.withColumn("value", F.round("value", 6))
+    return sc.score_batches(fixture(spark, sf, "features").select("customer_id", "lifetime_value", "order_count"), run, "customer_id string, value double")
 
 
 @query(

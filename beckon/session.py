@@ -45,6 +45,7 @@ def local_session(cores: int | str = "*", app: str = "beckon", memory: str | Non
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", memory or os.environ.get("BECKON_DRIVER_MEMORY", "8g"))
         .config("spark.sql.files.maxPartitionBytes", "64m")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from functools import lru_cache
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -18,15 +17,15 @@ TABLES = (
 ).split()
 
 
-@lru_cache(maxsize=256)
-def _schema_json(app_id: str, path: str) -> str:
-    spark = SparkSession.getActiveSession()
-    schema = spark.read.parquet(path).schema
-    fields = [
-        T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable)
-        for f in schema.fields
-    ]
-    return T.StructType(fields).json()
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def plan_once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """Reuse an unexecuted plan within one application (no data is kept)."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _PLANS:
+        _PLANS[full] = build()
+    return _PLANS[full]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     configure(spark)
     path = f"{sf_dir}/{name}.parquet"
-    schema = T.StructType.fromJson(json.loads(_schema_json(spark.sparkContext.applicationId, path)))
-    return spark.read.schema(schema).parquet(path)
+
+    def build() -> DataFrame:
+        found = spark.read.parquet(path).schema
+        fields = [
+            T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable) for f in found.fields
+        ]
+        return spark.read.schema(T.StructType(fields)).parquet(path)
+
+    return plan_once(spark, (sf_dir, name), build)
 
 
 def spread(df: DataFrame) -> DataFrame:
