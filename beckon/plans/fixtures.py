@@ -209,7 +209,6 @@ select 'req-' || c_custkey as request_id, 'CUST-' || c_custkey as customer_id,
   case when c_custkey % 4 = 0 then null else 'prog-' || (1 + c_custkey % 5) end as program_id,
   r_name as marketplace, cast(3 as int) as max_results, c_custkey % 20 = 0 as include_scores
 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-where c_custkey % 10 <= 1
 """,
     ),
     "usage_log": (

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from beckon.functions.convert import iso
 from beckon.operators import quality as qa
-from beckon.plans.fixtures import AS_OF_EVENTS, AS_OF_ORDERS, candidates, fixture
+from beckon.plans.fixtures import AS_OF_ORDERS, candidates, fixture
 from beckon.plans.registry import query
 
 JOINED = lambda c: F.array_join(c, "; ")
@@ -206,12 +205,12 @@ def v12(spark, sf):
 
 @query(
     "v13_check_allocation",
-    """select 'exp-' || p_brand as experiment_id, cast(sum(case p_size % 4 when 0 then 25 when 1 then 50 when 2 then 15 else 10 end) as bigint) as total_allocation,
-    sum(case p_size % 4 when 0 then 25 when 1 then 50 when 2 then 15 else 10 end) = 100 as valid from part where p_partkey % 50 < 2 group by p_brand""",
+    """select 'exp-' || (p_partkey // 4) as experiment_id, cast(sum(case p_size % 4 when 0 then 25 when 1 then 50 when 2 then 15 else 10 end) as bigint) as total_allocation,
+    sum(case p_size % 4 when 0 then 25 when 1 then 50 when 2 then 15 else 10 end) = 100 as valid from part group by p_partkey // 4""",
 )
 def v13(spark, sf):
-    groups = fixture(spark, sf, "part").filter("p_partkey % 50 < 2").selectExpr(
-        "concat('exp-', p_brand) as experiment_id", "case p_size % 4 when 0 then 25 when 1 then 50 when 2 then 15 else 10 end as allocation"
+    groups = fixture(spark, sf, "part").selectExpr(
+        "concat('exp-', p_partkey div 4) as experiment_id", "case p_size % 4 when 0 then 25 when 1 then 50 when 2 then 15 else 10 end as allocation"
     )
     return qa.check_allocation(groups)
 

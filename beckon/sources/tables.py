@@ -21,8 +21,8 @@ _PLANS: dict[tuple, DataFrame] = {}
 
 
 def plan_once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse an unexecuted plan within one application (no data is kept)."""
-    full = (spark.sparkContext.applicationId, *key)
+    """Reuse an unexecuted plan within one session (no data is kept)."""
+    full = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), *key)
     if full not in _PLANS:
         _PLANS[full] = build()
     return _PLANS[full]

@@ -80,3 +80,12 @@ def test_plans_prune_before_the_shuffle(spark, sf):
     assert "lineitem" not in plan
     for name in ("CartesianProduct", "BroadcastNestedLoopJoin"):
         assert name not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf):
+    from beckon.plans.catalog import queries
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = queries()["s1_warehouse_scan"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "EqualTo(o_orderstatus,F)" in plan
+    assert "o_orderpriority" not in plan
