@@ -31,7 +31,11 @@ def _local_first(df: DataFrame, keys: Sequence[str], tick: str, order: Sequence[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.sort_values(list(order)).groupby([*keys, tick], sort=False, dropna=False).head(k)
+            pdf = pdf.sort_values(list(order))
+            if k == 1:
+                yield pdf.drop_duplicates([*keys, tick])
+            else:
+                yield pdf[pdf.groupby([*keys, tick], sort=False, dropna=False).cumcount() < k]
 
     return df.mapInPandas(run, df.schema)
 
@@ -45,8 +49,8 @@ def _fold_by_key(
     are hashed into ``groups`` state groups, so Python is called per group and batch, not per
     key.  Entries whose ``a`` lies more than ``hold`` ticks behind are forgotten.
     """
-    src = _local_first(df, keys, tick, order, first)
-    src = src.withColumn("__key", F.to_json(F.struct(*keys))).withColumn("__group", F.pmod(F.xxhash64("__key"), F.lit(groups)))
+    src = df.withColumn("__key", F.to_json(F.struct(*keys))).withColumn("__group", F.pmod(F.xxhash64("__key"), F.lit(groups)))
+    src = _local_first(src, ["__key"], tick, order, first)
     schema = src.schema
     cols = [f.name for f in schema.fields]
 
