@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import decontamination, sharding
+from beckon.llm import attribution, decontamination, langid, packing, sharding
 from beckon.llm.common import read
 
 SHARDS = 16
+WORD_VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +48,26 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (langid.remainder("doc_id", 4) == 2).alias("held_out"))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), tokenizer(WORD_VOCABULARY))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(BYTE_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
     "op4_sharding": op4_sharding,
+    "op6_packing": op6_packing,
+    "op7_token_counts": op7_token_counts,
 }
 ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL}
