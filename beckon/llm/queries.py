@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import attribution, decontamination, langid, packing, sharding
+from beckon.llm import attribution, decontamination, embeddings, langid, packing, sharding
 from beckon.llm.common import read
 
 SHARDS = 16
@@ -63,11 +63,30 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(BYTE_VOCABULARY))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL}
+OP10_SQL = """
+with v as (select vec_id, embedding::double[] as e, label from embeddings),
+n as (select vec_id, label, e from v where label is not null and e is not null and len(e) > 0
+  and len([x for x in e if x is null or not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
+l as (select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+c as (with recursive r(vec_id, reach) as (select a, b from l union select r.vec_id, l.b from r join l on r.reach = l.a)
+  select vec_id, min(reach) as reach from r group by 1),
+k as (select a as vec_id, count(*) as n_links from l group by 1)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(reach, vec_id)) as component_id,
+  vec_id = least(vec_id, coalesce(reach, vec_id)) as kept
+from v left join k using (vec_id) left join c using (vec_id)"""
+
+
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op10_embedding_dedup": OP10_SQL}
