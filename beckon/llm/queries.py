@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import attribution, decontamination, embeddings, langid, packing, sharding
+from beckon.llm import attribution, decontamination, embeddings, langid, packing, sharding, toxicity
 from beckon.llm.common import read
 
 SHARDS = 16
@@ -43,6 +43,13 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join h using (doc_id) left join n using (doc_id)"""
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = langid.remainder("doc_id", 3) == 1
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").filter(~held))
+    return toxicity.score(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(read(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -70,6 +77,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
