@@ -84,3 +84,79 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+# Hashing of white-space words -------------------------------------------------------------------
+
+_PIECE = 1 << 20  # bytes hashed at once
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_VALUES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    known = _POWERS.get(str(base))
+    if known is None or len(known) < n:
+        known = np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(n, _PIECE + (1 << 16)) - 1, base, np.uint64))), dtype=np.uint64)
+        _POWERS[str(base)] = known
+    return known[:n]
+
+
+def _hash_piece(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of a lower-cased buffer."""
+    data = np.frombuffer(buffer, np.uint8)
+    word = np.concatenate(([False], ~_IS_SPACE[data], [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(_VALUES[data] * _powers(_BASE, len(data)), dtype=np.uint64)))
+    shift = _powers(_BASE_INVERSE, len(data))
+    return starts, mix64((sums[ends] - sums[starts]) * shift[starts] + (ends - starts).astype(np.uint64))
+
+
+def _cuts(text: bytes) -> Iterator[bytes]:
+    """A text in pieces that end at white space."""
+    at = 0
+    while len(text) - at > _PIECE:
+        parts = text[at : at + _PIECE].rsplit(None, 1)
+        size = len(parts[0]) if len(parts) == 2 else 0
+        if not size:  # one word longer than a piece
+            rest = text[at + _PIECE :].split(None, 1)
+            size = len(text) - at - (len(rest[1]) if len(rest) == 2 else 0)
+        yield text[at : at + size]
+        at += size
+    yield text[at:]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and the words of each text."""
+    hashes: list[np.ndarray] = []
+    counts = np.zeros(len(texts), dtype=np.int64)
+    group: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if group:
+            starts, found = _hash_piece(b"\n".join(texts[k] for k in group).lower())
+            bounds = np.cumsum([0] + [len(texts[k]) + 1 for k in group])
+            counts[group] = np.diff(np.searchsorted(starts, bounds))
+            hashes.append(found)
+            group.clear()
+            size = 0
+
+    for k, text in enumerate(texts):
+        if len(text) > _PIECE:
+            flush()
+            for piece in _cuts(text):
+                found = _hash_piece(piece.lower())[1]
+                counts[k] += len(found)
+                hashes.append(found)
+            continue
+        group.append(k)
+        size += len(text) + 1
+        if size > _PIECE:
+            flush()
+    flush()
+    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), counts
