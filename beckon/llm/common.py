@@ -160,3 +160,31 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             flush()
     flush()
     return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), counts
+
+
+def whole_groups(batches: Batches, keys: list[str]) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """From batches sorted by integer ``keys``: tables of complete groups, with the row numbers of each group.
+
+    Only the group that a batch breaks off in is held back.
+    """
+
+    def cut(table: pa.Table) -> np.ndarray:
+        change = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+        for k in keys:
+            change |= np.diff(table.column(k).to_numpy()) != 0
+        return np.flatnonzero(change) + 1
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if all(held[0].column(k)[0] == b.column(k)[b.num_rows - 1] for k in keys):
+            continue
+        table = pa.Table.from_batches(held)
+        edges = cut(table)
+        yield table.slice(0, edges[-1]), np.split(np.arange(edges[-1]), edges[:-1])
+        held = table.slice(edges[-1]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.split(np.arange(table.num_rows), cut(table))

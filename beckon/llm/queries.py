@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import attribution, decontamination, embeddings, langid, lm, packing, sharding, toxicity
+from beckon.llm import attribution, decontamination, embeddings, jaccard, langid, lm, packing, sharding, toxicity
 from beckon.llm.common import read
 
 SHARDS = 16
@@ -70,6 +70,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(BYTE_VOCABULARY))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (langid.remainder("doc_id", 10) == 0).alias("held_out"))
     return lm.score(docs)
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
