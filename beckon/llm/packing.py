@@ -32,6 +32,7 @@ from beckon.llm.tokens import encoder
 WINDOW = 2048
 END_ID = 1
 MAX_QUEUES = 10_000
+STRETCH = 512  # windows planned at once
 _SCALE = 1 << 16  # weights up to this keep all products below 2**63 for 7e13 tokens
 
 
@@ -41,7 +42,7 @@ class Schedule:
     def __init__(self, totals: np.ndarray, weights: np.ndarray, size: int = WINDOW) -> None:
         self.totals, self.size = totals.astype(np.int64), size
         self.weights = np.maximum(1, np.round(weights / max(weights.max(), 1e-300) * _SCALE)).astype(np.int64)
-        self.windows = -(-int(self.totals.sum()) // size)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def rank(self, queue: int, at: np.ndarray) -> np.ndarray:
         """Tokens of all queues served before token ``at`` of ``queue``."""
@@ -57,9 +58,13 @@ class Schedule:
 
     def served(self, queue: int, windows: np.ndarray) -> np.ndarray:
         """Tokens of ``queue`` in the first ``windows`` windows."""
-        low = np.zeros(len(windows), dtype=np.int64)
-        high = np.full(len(windows), self.totals[queue])
         goal = windows.astype(np.int64) * self.size
+        total, slack = int(self.totals[queue]), len(self.totals) + 2
+        # while no queue has run dry, a queue is within a few tokens of its share
+        share = (goal * (self.weights[queue] / self.weights.sum())).astype(np.int64)
+        low, high = np.clip(share - slack, 0, total), np.clip(share + slack, 0, total)
+        low = np.where((low > 0) & (self.rank(queue, low - 1) >= goal), 0, low)
+        high = np.where((high < total) & (self.rank(queue, high) < goal), total, high)
         while (low < high).any():
             mid = (low + high) // 2
             late = self.rank(queue, mid) >= goal
@@ -67,17 +72,28 @@ class Schedule:
             low = np.where(late, low, np.minimum(mid + 1, high))
         return low
 
+    def stretch(self, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        """For ``STRETCH`` windows on: ``served`` by queue at each bound, and where each queue starts in a window."""
+        if chunk not in self.known:
+            if len(self.known) >= 256:
+                self.known.clear()
+            windows = np.arange(chunk * STRETCH, (chunk + 1) * STRETCH + 1)
+            served = np.stack([self.served(q, windows) for q in range(len(self.totals))])
+            parts = np.diff(served, axis=1)
+            self.known[chunk] = served, np.cumsum(parts, axis=0) - parts
+        return self.known[chunk]
+
     def cut(self, queue: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """Pieces of the consecutive documents ``[start, end)`` of a queue: document, start, end, window, offset."""
-        first, last = (int(self.rank(queue, np.array([p]))[0]) // self.size for p in (starts[0], ends[-1] - 1))
-        windows = np.arange(first, last + 2)
-        served = np.stack([self.served(q, windows) for q in range(len(self.totals))])
-        before = np.diff(served, axis=1)[:queue].sum(axis=0)
-        edges = np.unique(np.concatenate([starts, served[queue][(served[queue] > starts[0]) & (served[queue] < ends[-1])]]))
+        first, last = (int(self.rank(queue, np.array([p]))[0]) // self.size // STRETCH for p in (starts[0], ends[-1] - 1))
+        chunks = [self.stretch(c) for c in range(first, last + 1)]
+        served = np.concatenate([s[queue][:-1] for s, _ in chunks] + [chunks[-1][0][queue][-1:]])
+        before = np.concatenate([b[queue] for _, b in chunks])
+        edges = np.unique(np.concatenate([starts, served[(served > starts[0]) & (served < ends[-1])]]))
         stops = np.append(edges[1:], ends[-1])
         doc = np.searchsorted(starts, edges, side="right") - 1
-        window = np.searchsorted(served[queue], edges, side="right") - 1
-        return doc, edges, stops, window + first, before[window] + edges - served[queue][window]
+        window = np.searchsorted(served, edges, side="right") - 1
+        return doc, edges, stops, window + first * STRETCH, before[window] + edges - served[window]
 
 
 def token_rows(docs: DataFrame, tokenizer: str, key: str, text: str, queue: str) -> DataFrame:
