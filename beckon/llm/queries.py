@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import attribution, decontamination, embeddings, jaccard, langid, lm, packing, sharding, toxicity
+from beckon.llm import attribution, decontamination, embeddings, jaccard, langid, lm, packing, pii, sharding, toxicity
 from beckon.llm.common import read
 
 SHARDS = 16
@@ -61,6 +61,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), ["doc_id"])
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), tokenizer(WORD_VOCABULARY))
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
