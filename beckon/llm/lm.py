@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from beckon.llm.common import Batches, materialize, mix64, scratch_dir, slices, utf8, word_hashes
 
-BATCH_TOKENS = 1 << 18
+BATCH_TOKENS = 1 << 20
 PART_BYTES = 16 << 20
 MIN_COUNT = 2
 DISCOUNTED = 5
 BEGIN, END = mix64(np.array([101, 102], dtype=np.uint64))
-_OWNER = np.uint32(1 << 31)
+_MANY = 127  # larger counts are written apart
+_OWNER = 128
 _STATS = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
 ANSWER = "kind string, batch long, part int, data binary, total double, types double, " + ", ".join(f"{s} double" for s in _STATS)
 
@@ -165,15 +166,47 @@ def cut(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def narrow(hashes: np.ndarray, bits: int) -> bytes:
-    """Forty bits of each hash after those that name the partition."""
-    low = ((hashes << np.uint64(bits)) >> np.uint64(24)).astype("<u8")
-    return low.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Forty bits of each sorted hash after those that name the partition, as steps where these are short."""
+    low = (hashes << np.uint64(bits)) >> np.uint64(24)
+    steps = np.diff(low, prepend=np.uint64(0))
+    wide = len(steps) > 0 and int(steps.max()) >= 1 << 32
+    return b"8" + steps.tobytes() if wide else b"4" + steps.astype(np.uint32).tobytes()
 
 
 def widen(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 5, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return raw.view("<u8").ravel()
+    return np.cumsum(np.frombuffer(data[1:], np.uint64 if data[:1] == b"8" else np.uint32), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray, owner: np.ndarray | None = None) -> bytes:
+    """A byte for each count, with a mark for owners; counts from ``_MANY`` on follow in full."""
+    code = np.minimum(counts, _MANY).astype(np.uint8)
+    if owner is not None:
+        code |= np.where(owner, _OWNER, 0).astype(np.uint8)
+    return np.array([len(counts)], np.uint32).tobytes() + code.tobytes() + counts[counts >= _MANY].astype(np.int64).tobytes()
+
+
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data[:4], np.uint32)[0])
+    code = np.frombuffer(data[4 : 4 + n], np.uint8)
+    counts = (code & _MANY).astype(np.int64)
+    counts[counts == _MANY] = np.frombuffer(data[4 + n :], np.int64)
+    return counts, code >= _OWNER
+
+
+def pack_sums(counts: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> bytes:
+    """Counts of all words, and the sums of those that have any."""
+    some = np.flatnonzero(mass > 0)
+    return b"".join([np.array([len(counts), len(some)], np.uint32).tobytes(), counts.astype(np.int64).tobytes(), some.astype(np.uint32).tobytes(), mass[some].tobytes(), lower[some].tobytes()])
+
+
+def unpack_sums(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m = (int(x) for x in np.frombuffer(data[:8], np.uint32))
+    counts = np.frombuffer(data[8 : 8 + 8 * n], np.int64)
+    at = 8 + 8 * n
+    some = np.frombuffer(data[at : at + 4 * m], np.uint32)
+    mass, lower = np.zeros(n), np.zeros(n)
+    mass[some], lower[some] = np.frombuffer(data[at + 4 * m :], np.float64).reshape(2, -1)
+    return counts, mass, lower
 
 
 REQUEST = "part int, batch long, keys binary, data binary"
@@ -181,9 +214,10 @@ _REQUEST = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("keys", pa.b
 _ANSWER = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("total", pa.float64()), ("types", pa.float64()), *((s, pa.float64()) for s in _STATS)])
 
 
-def requests(batch: int, hashes: np.ndarray, keys, data: list[np.ndarray], bits: int) -> pa.RecordBatch:
+def requests(batch: int, hashes: np.ndarray, keys, data: list[np.ndarray], pack, bits: int) -> pa.RecordBatch:
+    """One row for each partition: the keys it has of the batch, sorted, and what goes with them."""
     bounds = cut(hashes, bits)
-    rows = [(p, batch, keys(hashes[a:b]), b"".join(d[a:b].tobytes() for d in data)) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+    rows = [(p, batch, keys(hashes[a:b]), pack(*(d[a:b] for d in data))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _REQUEST, strict=True)], schema=_REQUEST)
 
 
@@ -213,30 +247,30 @@ def split(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
 
 def count_words(table: pa.Table) -> pa.Table:
     sizes, words, place = grouped(table, [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()])
-    given = np.concatenate([np.frombuffer(d, np.int64) for d in table.column("data").to_pylist()])
+    given = np.concatenate([unpack_counts(d)[0] for d in table.column("data").to_pylist()])
     counts = np.zeros(len(words), np.int64)
     np.add.at(counts, place, given)
     real = counts[(words != BEGIN) & (counts > 0)]
-    return answers("words", table, sizes, [x.tobytes() for x in split(counts[place], sizes)], (float(real.sum()), float(len(real)), *of_counts(real)))
+    return answers("words", table, sizes, [pack_counts(c) for c in split(counts[place], sizes)], (float(real.sum()), float(len(real)), *of_counts(real)))
 
 
 def count_bigrams(table: pa.Table) -> pa.Table:
     sizes, keys, place = grouped(table, [widen(k) for k in table.column("keys").to_pylist()])
-    given = np.concatenate([np.frombuffer(d, np.uint32) for d in table.column("data").to_pylist()])
+    given = np.concatenate([unpack_counts(d)[0] for d in table.column("data").to_pylist()])
     counts = np.zeros(len(keys), np.int64)
     np.add.at(counts, place, given)
     first = np.full(len(keys), len(place))
     np.minimum.at(first, place, np.arange(len(place)))
-    out = np.minimum(counts, int(_OWNER) - 1).astype(np.uint32)[place]
-    out[first] |= _OWNER  # the batch that adds this bigram to its history's sums
+    owner = np.zeros(len(place), dtype=bool)
+    owner[first] = True  # the batch that adds this bigram to its history's sums
     real = counts[counts > 0]
-    return answers("bigrams", table, sizes, [x.tobytes() for x in split(out, sizes)], (float(real.sum()), float(len(real)), *of_counts(real)))
+    return answers("bigrams", table, sizes, [pack_counts(c, o) for c, o in zip(split(counts[place], sizes), split(owner, sizes), strict=True)], (float(real.sum()), float(len(real)), *of_counts(real)))
 
 
 def back_off(table: pa.Table) -> pa.Table:
     """Backoff weight of each history, and by how much its denominator exceeds its count."""
     sizes, words, place = grouped(table, [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()])
-    data = [np.frombuffer(d, np.float64).reshape(3, -1) for d in table.column("data").to_pylist()]
+    data = [unpack_sums(d) for d in table.column("data").to_pylist()]
     count, mass, lower = (np.zeros(len(words)) for _ in range(3))
     count[place] = np.concatenate([d[0] for d in data])
     np.add.at(mass, place, np.concatenate([d[1] for d in data]))
@@ -247,11 +281,10 @@ def back_off(table: pa.Table) -> pa.Table:
     return answers("weights", table, sizes, parts, None)
 
 
-def collected(table: pa.Table, kind: str, dtype: type, rows: int = 1) -> list[np.ndarray]:
-    """The answers of a kind in the order of the partitions, as ``rows`` arrays."""
+def collected(table: pa.Table, kind: str, read) -> list[np.ndarray]:
+    """The answers of a kind, in the order of the partitions."""
     found = sorted((p, d) for k, p, d in zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), table.column("data").to_pylist(), strict=True) if k == kind)
-    parts = [np.frombuffer(d, dtype).reshape(rows, -1) for _, d in found]
-    return [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, dtype) for k in range(rows)]
+    return [np.concatenate(x) for x in zip(*(read(d) for _, d in found), strict=True)]
 
 
 def stats(answer: DataFrame, kind: str) -> tuple[float, float, list[float]]:
@@ -273,7 +306,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
         for b in rows:
             for r in b.to_pylist():
                 words = np.frombuffer(r["words"], np.uint64)
-                yield requests(r["batch"], words, lambda h: h.tobytes(), [np.frombuffer(r["counts"], np.int64)], word_bits)
+                yield requests(r["batch"], words, np.ndarray.tobytes, [np.frombuffer(r["counts"], np.int64)], pack_counts, word_bits)
 
     def ask_bigrams(rows: Batches) -> Batches:
         for b in rows:
@@ -281,8 +314,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
                 own = Batch(r | {"ids": []})
                 own.bigrams()
                 train = np.repeat(~own.held, own.sizes)
-                counts = np.bincount(own.which, weights=train, minlength=len(own.hashes)).astype(np.uint32)
-                yield requests(r["batch"], own.hashes, lambda h: narrow(h, bigram_bits), [counts], bigram_bits)
+                counts = np.bincount(own.which, weights=train, minlength=len(own.hashes)).astype(np.int64)
+                yield requests(r["batch"], own.hashes, lambda h: narrow(h, bigram_bits), [counts], pack_counts, bigram_bits)
 
     def asked(rows: DataFrame, fn, answer, label: str) -> DataFrame:
         return materialize(rows.mapInArrow(fn, REQUEST).groupBy("part").applyInArrow(answer, ANSWER), label)
@@ -296,27 +329,26 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
     def known(left: pa.Table, right: pa.Table) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         own = Batch(left.to_pylist()[0])
         own.bigrams()
-        counts = collected(right, "words", np.int64)[0]
-        answer = collected(right, "bigrams", np.uint32)[0]
-        pairs = (answer & ~_OWNER).astype(np.int64)
+        counts = collected(right, "words", unpack_counts)[0]
+        pairs, owner = collected(right, "bigrams", unpack_counts)
         kept = np.where(pairs >= MIN_COUNT, factor[np.minimum(pairs, DISCOUNTED + 1)] * pairs, 0.0)
-        return own, counts, kept, (answer & _OWNER) > 0, unigrams.probability(counts)
+        return own, counts, kept, owner, unigrams.probability(counts)
 
     def ask_weights(left: pa.Table, right: pa.Table) -> pa.Table:
         own, counts, kept, owner, single = known(left, right)
         mine = owner & (kept > 0)
         mass = np.bincount(own.first[mine], weights=kept[mine], minlength=len(own.words))
         lower = np.bincount(own.first[mine], weights=single[own.second[mine]], minlength=len(own.words))
-        return pa.Table.from_batches([requests(left.column("batch")[0].as_py(), own.words, lambda h: h.tobytes(), [counts.astype(np.float64), mass, lower], word_bits)])
+        return pa.Table.from_batches([requests(left.column("batch")[0].as_py(), own.words, np.ndarray.tobytes, [counts, mass, lower], pack_sums, word_bits)])
 
     answers_of = words.filter("batch >= 0").unionByName(bigrams.filter("batch >= 0"))
     weight_requests = batches.groupBy("batch").cogroup(answers_of.groupBy("batch")).applyInArrow(ask_weights, REQUEST)
-    weights = materialize(weight_requests.groupBy("part").applyInArrow(back_off, ANSWER), "lm-weights")
+    weights = weight_requests.groupBy("part").applyInArrow(back_off, ANSWER)
     result = pa.schema([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
         own, counts, kept, _, single = known(left, right)
-        weight, extra = collected(right, "weights", np.float64, 2)
+        weight, extra = collected(right, "weights", lambda d: np.frombuffer(d, np.float64).reshape(2, -1))
         doc = np.repeat(np.arange(len(own.sizes)), own.sizes)
         whole = np.maximum(counts, 1) + extra
         seen = kept[own.which] > 0
