@@ -3,7 +3,7 @@
 The tokenizers here cut a normalised text into pieces and encode every piece by itself, so a piece
 that occurs again need not be encoded again, and a new piece is merged by the ranks of the file's merges.
 Texts of plain Latin characters take that path; any other text, and one that spells a special token,
-goes to the tokenizer whole.  Ids are the same; ``tests/llm`` compares them.
+goes to the tokenizer whole.  Ids are the same (where pieces hold no white space, words are looked up whole); ``tests/llm`` compares them.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-CACHED_PIECES = 150_000
+CACHED_PIECES = 300_000
 # The piece pattern of byte-level vocabularies when their file names none.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d|"
@@ -83,6 +84,22 @@ class RankMerger:
         return np.fromiter(chain.from_iterable(merged), np.int64, int(counts.sum())), counts
 
 
+class Learned(dict):
+    """Ids of white-space words, or of pieces where pieces hold white space; a missing one is merged on demand."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.split, self.merge, self.end = encoder.pieces, encoder.merger.merge, encoder.merger.end
+        self.id_of = encoder.merger.id_of.tolist()
+
+    def __missing__(self, word: str) -> bytes:
+        ranks = chain.from_iterable(self.merge(p.encode() + self.end) for p in self.split(word))
+        self[word] = out = array("I", map(self.id_of.__getitem__, ranks)).tobytes()
+        return out
+
+
+_EVEN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xC9)])  # bytes of plain characters
+
+
 class Encoder:
     """``ids(texts)`` and ``spans(texts)`` for one tokenizer file."""
 
@@ -100,10 +117,11 @@ class Encoder:
         self.covers = split is None  # pieces then cover the text without gaps
         self.pieces = _compile(split["pattern"]["Regex"] if split else BYTE_PATTERN).findall
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {t[:2].encode() for t in special} | {b"\xc2", b"\xc4\xb0"}
         self.odd = re.compile("|".join([f"[^{_PLAIN}]", *map(re.escape, special)])).search
         self.merger = RankMerger(spec["model"])
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.ids_of: dict[str, bytes] = {}
+        self.ids_of = Learned(self)
         self.spans_of: dict[str, tuple[int, bytes, bytes]] = {}
 
     def _cut(self, text: str) -> list[str]:
@@ -114,14 +132,6 @@ class Encoder:
             known.clear()
         return list(set().union(*cut) - known.keys())
 
-    def _learn_ids(self, pieces: list[str]) -> None:
-        ranks, counts = self.merger(pieces)
-        raw, ends = self.merger.id_of[ranks].tobytes(), np.cumsum(4 * counts).tolist()
-        at = 0
-        for piece, end in zip(pieces, ends, strict=True):
-            self.ids_of[piece] = raw[at:end]
-            at = end
-
     def _learn_spans(self, pieces: list[str]) -> None:
         ranks, counts = self.merger(pieces)
         ends = np.cumsum(self.merger.bytes_of[ranks])  # in bytes of all pieces
@@ -139,15 +149,27 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [None if self.odd(t) else self._cut(t) for t in texts]
-        self._learn_ids(self._fresh([c for c in cut if c], self.ids_of))
-        get = self.ids_of.__getitem__
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        if len(self.ids_of) > CACHED_PIECES:
+            self.ids_of.clear()
+        get, out = self.ids_of.__getitem__, []
+        for text in texts:
+            if self.is_odd(text):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                own = text.lower() if self.lower else text
+                out.append(b"".join(map(get, self.pieces(own) if self.covers else own.split())))
+        return out
+
+    def is_odd(self, text: str) -> bool:
+        """Whether a text needs the tokenizer itself; most are told by their bytes."""
+        raw = text.encode()
+        if raw.translate(None, _EVEN):
+            return True
+        return any(m in raw for m in self.marks) and bool(self.odd(text))
 
     def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Character starts and ends (exclusive) of each text's tokens."""
-        cut = [None if not self.covers or self.odd(t) else self._cut(t) for t in texts]
+        cut = [None if not self.covers or self.is_odd(t) else self._cut(t) for t in texts]
         self._learn_spans(self._fresh([c for c in cut if c], self.spans_of))
         out = []
         for text, c in zip(texts, cut, strict=True):
