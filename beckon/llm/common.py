@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from beckon.session import checkpoint_dir
+
 # The bytes that may belong to a word of the decontamination contract are those
 # not listed here, after lower-casing A-Z (0-9, a-z and every byte of a non-ASCII character).
 _NOT_WORD = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -25,12 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.gettempdir()
-    return f"{path.rstrip('/')}/beckon-llm"
+    return f"{checkpoint_dir(spark)}/beckon-llm"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
