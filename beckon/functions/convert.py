@@ -45,7 +45,7 @@ def convert_type(col: Column, target: str, source: T.DataType | None = None) ->
         sql = "int" if target == "INTEGER" else "bigint"
         if text:
             return F.when(col.rlike(INT_TEXT), col.try_cast(sql))
-        return col.cast(sql) if number else nothing.cast(sql)
+        return col.try_cast(sql) if number else nothing.cast(sql)
     if target == "DOUBLE":
         if text:
             return F.when(col.rlike(NUMBER_TEXT), F.trim(col).try_cast("double"))
@@ -54,13 +54,13 @@ def convert_type(col: Column, target: str, source: T.DataType | None = None) ->
         if text:
             return F.lower(col) == "true"
         if number:
-            return col.cast("bigint") != 0
+            return col != 0
         return col if isinstance(source, T.BooleanType) else nothing.cast("boolean")
     if target == "INSTANT":
         if text:
             return parse_instant(col)
         if number:
-            return F.timestamp_millis(col.cast("bigint"))
+            return F.timestamp_millis(col.try_cast("bigint"))
         return col.cast("timestamp") if isinstance(source, T.TimestampType | T.TimestampNTZType) else nothing.cast("timestamp")
     if target == "LIST":
         if text:

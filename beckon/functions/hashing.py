@@ -17,12 +17,10 @@ def sha_bucket(text: Column, buckets: int = 100) -> Column:
 
 
 def java_hash_bucket(text: Column, buckets: int = 100) -> Column:
-    """|Java String.hashCode| mod buckets, folding 31*h + c over the characters.
-
-    Characters beyond the basic plane would count as one here and as two in Java.
-    """
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    unsigned = F.aggregate(chars, F.lit(0).cast("bigint"), lambda h, c: (h * 31 + F.ascii(c)) % TWO_32)
+    """|Java String.hashCode| mod buckets, folding 31*h + c over the UTF-16 units."""
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    starts = F.filter(F.sequence(F.lit(1), F.length(units) + 1, F.lit(4)), lambda i: i <= F.length(units))
+    unsigned = F.aggregate(starts, F.lit(0).cast("bigint"), lambda h, i: (h * 31 + F.conv(F.substring(units, i, 4), 16, 10).cast("bigint")) % TWO_32)
     magnitude = F.when(unsigned >= TWO_31, TWO_32 - unsigned).otherwise(unsigned)
     return (magnitude % buckets).cast("int")
 

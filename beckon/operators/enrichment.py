@@ -84,10 +84,12 @@ def enabled_programs(df: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def lookup_score_cache(df: DataFrame, cache: DataFrame, as_of, keys: Sequence[str] = ("customer_id", "subject_id", "model_id")) -> DataFrame:
-    """Unexpired cached score per key (expiry equality still counts), ``cache_hit`` tells."""
-    live = cache.filter(F.col("expires_at") >= as_ts(as_of)).select(
-        *keys, F.col("score_value").alias("cached_value"), F.coalesce("confidence", F.lit(0.0)).alias("cached_confidence"), F.col("scored_at").alias("cached_at")
-    )
+    """Unexpired cached score per key (expiry equality still counts), ``cache_hit`` tells.
+
+    Where the cache holds a key twice the last scored row counts, so rows never multiply.
+    """
+    value = F.struct(F.col("score_value").alias("cached_value"), F.coalesce("confidence", F.lit(0.0)).alias("cached_confidence"), F.col("scored_at").alias("cached_at"))
+    live = cache.filter(F.col("expires_at") >= as_ts(as_of)).groupBy(*keys).agg(F.max_by(value, F.struct("scored_at", "score_value")).alias("__v")).select(*keys, "__v.*")
     out = df.join(live, list(keys), "left")
     return out.withColumn("cache_hit", F.col("cached_value").isNotNull())
 
@@ -152,10 +154,13 @@ def batch_get(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 def customer_history(context: DataFrame) -> DataFrame:
     """One row per customer: engagement map and total, preferences."""
     entry = F.struct(F.col("subject_type").alias("key"), F.col("engagements").alias("value"))
+    prefs = ("channel_pref", "likes_high_value", "likes_media", "preferred_window")
+    # repeated rows of a type add up, and a missing type counts for the total only
+    context = context.groupBy("customer_id", "subject_type").agg(F.sum("engagements").alias("engagements"), *[F.first(c, ignorenulls=True).alias(c) for c in prefs])
     return context.groupBy("customer_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("history"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("subject_type").isNotNull(), entry)))).alias("history"),
         F.sum("engagements").alias("history_total"),
-        *[F.first(c).alias(c) for c in ("channel_pref", "likes_high_value", "likes_media", "preferred_window")],
+        *[F.first(c, ignorenulls=True).alias(c) for c in prefs],
     )
 
 

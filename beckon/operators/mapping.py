@@ -16,6 +16,7 @@ from beckon.schema import SCORE, SUBJECT, TREATMENT, ddl
 # fixed values: required target fields of a candidate
 REQUIRED_FIELDS = ("customerId", "subjectType", "subjectId", "eventDate")
 MIN_TTL_DAYS, DEFAULT_TTL_DAYS = 0, 30
+MAX_TTL_DAYS = 100_000  # more would leave the range of timestamps
 # fixed values: channels of a candidate made from a live event
 REACTIVE_CHANNELS = ("email", "in-app", "push")
 
@@ -149,7 +150,7 @@ def build_attributes(
     """P10: the attribute struct of a fresh, unconsumed candidate."""
 
     def opt(col: Column | None, kind: str) -> Column:
-        return (F.lit(None) if col is None else col).cast(kind)
+        return F.lit(None).cast(kind) if col is None else col.try_cast(kind)
 
     return F.struct(
         event_date.alias("event_date"),
@@ -165,9 +166,10 @@ def build_attributes(
 
 
 def build_metadata(as_of, connector: str, ttl_days: Column | None = None, execution: Column | None = None) -> Column:
-    """P10: version 1, expiry ``as_of`` + TTL (30 days when absent), execution id default "unknown"."""
+    """P10: version 1, expiry ``as_of`` + TTL (30 days when absent or unreadable), execution id default "unknown"."""
     now = as_ts(as_of)
-    days = F.coalesce((F.lit(None) if ttl_days is None else ttl_days).cast("int"), F.lit(DEFAULT_TTL_DAYS))
+    days = (F.lit(None) if ttl_days is None else ttl_days).try_cast("int")
+    days = F.when(F.abs(days.cast("bigint")) <= MAX_TTL_DAYS, days).otherwise(F.lit(DEFAULT_TTL_DAYS))
     return F.struct(
         now.alias("created_at"),
         now.alias("updated_at"),
@@ -192,24 +194,27 @@ def to_candidates(df: DataFrame, mapping: Mapping[str, Any], as_of, connector: s
 
     none = F.lit(None).cast("string")
     pick = {n: (m(n) if m(n) is not None else none) for n in (*REQUIRED_FIELDS, "marketplace", "programId", "vertical")}
-    context = build_context(pick["marketplace"], pick["programId"], pick["vertical"])
+    context = build_context(pick["marketplace"], pick["programId"], pick["vertical"], m("contextList"))
+    about = m("subjectMetadata") if m("subjectMetadata") is not None else F.lit(None)
     flags = {c: m(f) for c, f in (("email", "emailEligible"), ("sms", "smsEligible"), ("push", "pushEligible")) if m(f) is not None}
     channels = build_channel_eligibility(flags, m("channelEligibility")) if flags or m("channelEligibility") is not None else F.create_map(F.lit("email"), F.lit(True))
     missing = [
         (F.col(f"mapped.{n}").isNull() if n in have else F.lit(True), F.lit(f"Missing required field '{n}'")) for n in REQUIRED_FIELDS
     ]
     empty_context = (F.size(context) == 0, F.lit("Context is empty"))
-    event_date = pick["eventDate"].cast("timestamp")
+    kinds = {f.name: f.dataType for f in mapped.schema["mapped"].dataType.fields}
+    event_date = convert_type(pick["eventDate"], "INSTANT", kinds.get("eventDate"))
+    unread = (pick["eventDate"].isNotNull() & event_date.isNull(), F.lit("eventDate is not an instant"))
     return mapped.select(
         *df.columns,
         pick["customerId"].alias("customer_id"),
         context.alias("context"),
-        F.struct(pick["subjectType"].alias("type"), pick["subjectId"].alias("id"), F.lit(None).cast("map<string,string>").alias("metadata")).alias("subject"),
+        F.struct(pick["subjectType"].alias("type"), pick["subjectId"].alias("id"), about.cast("map<string,string>").alias("metadata")).alias("subject"),
         F.lit(None).cast(f"map<string,{ddl(SCORE)}>").alias("scores"),
         build_attributes(event_date, m("deliveryDate"), m("timingWindow"), m("orderValue"), m("mediaEligible"), channels).alias("attributes"),
         build_metadata(as_of, connector, m("ttlDays"), m("workflowExecutionId")).alias("metadata"),
         F.lit(None).cast("array<struct<filter_id:string,reason:string,reason_code:string,timestamp:timestamp>>").alias("rejection_history"),
-        F.concat("mapping_errors", messages(*missing, empty_context)).alias("errors"),
+        F.concat("mapping_errors", messages(*missing, unread, empty_context)).alias("errors"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +124,10 @@ def validate_rows(df: DataFrame, column: str, as_of, schema: Mapping | None = No
 
 
 def typed_rules(df: DataFrame, rules: Sequence[Mapping], as_of=None) -> DataFrame:
-    """V6: messages for regex, number bound, date bound ("now+7d" style) and enum rules; nulls pass."""
+    """V6: messages for regex, number bound, date bound ("now+7d" style) and enum rules; nulls pass.
+
+    A text that a bound needs as number or date and that is neither is reported, not compared.
+    """
 
     def bound(text: str) -> Column:
         if not text.startswith("now"):
@@ -132,18 +136,26 @@ def typed_rules(df: DataFrame, rules: Sequence[Mapping], as_of=None) -> DataFram
         return as_ts(as_of) + F.make_dt_interval(F.lit(days))
 
     parts = []
+    kinds = dict(df.dtypes)
     for r in rules:
         col, name = F.col(r["field"]), r["field"]
+        value = col
         if "pattern" in r:
             parts.append((~col.rlike(r["pattern"]), F.lit(f"{name}: pattern")))
         if r.get("type") == "date":
             lo, hi = (bound(r[k]) if k in r else None for k in ("min", "max"))
+            if kinds.get(name) == "string":
+                value = col.try_cast("timestamp")
         else:
             lo, hi = (F.lit(r[k]) if k in r else None for k in ("min", "max"))
+            if kinds.get(name) == "string" and (lo is not None or hi is not None):
+                value = col.try_cast("double")
+        if value is not col:
+            parts.append((col.isNotNull() & value.isNull(), F.lit(f"{name}: unreadable")))
         if lo is not None:
-            parts.append((col < lo, F.lit(f"{name}: below min")))
+            parts.append((value < lo, F.lit(f"{name}: below min")))
         if hi is not None:
-            parts.append((col > hi, F.lit(f"{name}: above max")))
+            parts.append((value > hi, F.lit(f"{name}: above max")))
         if "enum" in r:
             parts.append((~col.isin(*r["enum"]), F.lit(f"{name}: not allowed")))
     return df.withColumn("rule_errors", messages(*parts))
@@ -161,12 +173,14 @@ def business_rules(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
 def detect_duplicates(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_s: int = 86400) -> DataFrame:
     """V8, T1 batch twin: ``is_duplicate`` for rows less than ``window_s`` after the last kept row.
 
+    Null keys are equal to each other.
     Second precision; of rows in a keeping second the lowest ``tie`` is kept.
     """
     sec = F.unix_seconds(F.col(ts))
-    opened = greedy_openings(df, keys, sec, window_s).filter("tick = opening").select(*keys, F.col("tick").alias("__sec"))
+    opened = greedy_openings(df, keys, sec, window_s).filter("tick = opening").select(*[F.col(k).alias(f"__o_{k}") for k in keys], F.col("tick").alias("__o___sec"))
     first = df.groupBy(*keys, sec.alias("__sec")).agg(F.min(tie).alias("__first"))
-    kept = first.join(opened, [*keys, "__sec"], "left_semi")
+    same = [first[c].eqNullSafe(opened[f"__o_{c}"]) for c in (*keys, "__sec")]
+    kept = first.join(opened, reduce(lambda a, b: a & b, same), "left_semi")
     marks = kept.select(F.col("__first").alias(tie), F.lit(True).alias("__kept"))
     return df.join(marks, tie, "left").withColumn("is_duplicate", F.col("__kept").isNull()).drop("__kept")
 

@@ -30,8 +30,6 @@ CHANNEL_PRIORITIES = {
 W_BASE, W_AFFINITY, W_RECENCY, W_CHANNEL, W_PREFERENCE = 0.4, 0.25, 0.15, 0.1, 0.1
 NEUTRAL, PREFERENCE_BOOST, HIGH_VALUE, DEFAULT_WINDOW_DAYS = 0.5, 0.2, 100.0, 7
 UNKNOWN_PRIORITY = 2147483647
-MAX_RESULTS = 100
-GROUP_LIMIT = 1000  # largest k Spark prunes before the shuffle
 SCORE_STEPS = 1000  # score buckets of a split ranking
 
 
@@ -103,7 +101,7 @@ def composite(strategies: Sequence[Strategy]) -> Strategy:
 
 def rank(df: DataFrame, keys: Sequence[str], strategy: Strategy, limit: int | None = None, name: str = "rank") -> DataFrame:
     """Rank per key, all rows or the first ``limit``."""
-    if limit is not None and limit <= GROUP_LIMIT:
+    if limit is not None and limit <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
         rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*strategy.order))
         return df.withColumn(name, rn).filter(F.col(name) <= limit).withColumn(name, F.col(name).cast("bigint"))
     return split_row_number(df, keys, strategy.order, strategy.buckets, name, limit)
@@ -117,8 +115,10 @@ def affinity_score(own: Column, total: Column) -> Column:
 
 
 def recency_score(event_date: Column, as_of, window: Column) -> Column:
-    """Above one for events after ``as_of``."""
-    return F.greatest(F.lit(0.0), 1.0 - days_between(event_date, as_ts(as_of)) / F.coalesce(window, F.lit(DEFAULT_WINDOW_DAYS)))
+    """Above one for events after ``as_of``; zero when the window is zero or the date is null."""
+    days = F.coalesce(window, F.lit(DEFAULT_WINDOW_DAYS))
+    age = F.try_divide(days_between(event_date, as_ts(as_of)).cast("double"), days.cast("double"))
+    return F.coalesce(F.greatest(F.lit(0.0), 1.0 - age), F.lit(0.0))
 
 
 def preference_score(order_value: Column, likes_value: Column, media: Column, likes_media: Column) -> Column:
@@ -153,16 +153,18 @@ def serve(requests: DataFrame, candidates: DataFrame, primary_model: str, tie: s
     """Answer a table of requests in one pass.
 
     A null program or channel restricts nothing.  ``as_of`` turns the eligibility refresh
-    on.  Requests bring request_id, customer_id, channel, program_id, max_results (at most
-    100) and include_scores.
+    on.  Requests bring request_id, customer_id, channel, program_id, max_results (any number;
+    V15 tells which the service would refuse) and include_scores.
     """
     c = candidates.filter(serving_eligible(as_of)) if as_of is not None else candidates
     asked = ["customer_id", "channel", "program_id"]
     # equal questions are answered once, so many requests of one customer do not multiply its rows
-    hit = c.join(requests.select(*asked).distinct(), "customer_id")
+    questions = requests.groupBy(*asked).agg(F.max("max_results").alias("__most"))
+    hit = c.join(questions, "customer_id")
     program_ok = F.col("program_id").isNull() | (context_id("program") == F.col("program_id"))
     channel_ok = F.col("channel").isNull() | F.coalesce(F.element_at("attributes.channel_eligibility", F.col("channel")), F.lit(False))
-    ranked = rank(hit.filter(program_ok & channel_ok), asked, by_default(F.col("channel"), primary_model, tie), MAX_RESULTS)
+    ranked = rank(hit.filter(program_ok & channel_ok), asked, by_default(F.col("channel"), primary_model, tie))
+    ranked = ranked.filter(F.col("rank") <= F.col("__most")).drop("__most")
     answers = _null_safe(ranked, requests.select("request_id", *asked, "max_results", "include_scores"), asked, "inner")
     return strip_scores(answers.filter(F.col("rank") <= F.col("max_results")), "include_scores")
 
@@ -275,9 +277,9 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return last.select(*keys, "__v.*")
 
 
-def daily_quota(df: DataFrame, client: str, day: Column, score: str, tie: str, quota: str, max_quota: int) -> DataFrame:
-    """Best candidates per client and day up to the client's quota (at most ``max_quota``)."""
+def daily_quota(df: DataFrame, client: str, day: Column, score: str, tie: str, quota: str) -> DataFrame:
+    """Best candidates per client and day up to the row's own quota."""
     timed = df.withColumn("quota_day", day)
     s = F.coalesce(F.col(score), F.lit(0.0))
-    ranked = rank(timed, [client, "quota_day"], Strategy((s.desc(), F.asc(tie)), _score_buckets(s, F.lit(0))), max_quota)
+    ranked = rank(timed, [client, "quota_day"], Strategy((s.desc(), F.asc(tie)), _score_buckets(s, F.lit(0))))
     return ranked.filter(F.col("rank") <= F.col(quota))

@@ -37,8 +37,27 @@ class Model:
 
 
 def pandas_scorer(fn: Callable[..., pd.Series], *cols: str) -> Column:
-    """M2: a vectorised scorer over the named feature columns."""
-    return F.pandas_udf(fn, "double")(*[F.col(c) for c in cols])
+    """M2: a vectorised scorer over the named feature columns.
+
+    A batch that fails is scored row by row, and rows that fail get null, so one row or
+    one model never stops the others.  SQL models guard themselves with ``try_divide``,
+    ``try_cast`` and the like, since sessions run in ANSI mode.
+    """
+
+    def guarded(*values: pd.Series) -> pd.Series:
+        try:
+            return fn(*values)
+        except Exception:  # the model's own failure, whatever it is, is the null of M1
+            return pd.Series([_one(fn, [v.iloc[k : k + 1] for v in values]) for k in range(len(values[0]))], dtype="float64")
+
+    return F.pandas_udf(guarded, "double")(*[F.col(c) for c in cols])
+
+
+def _one(fn: Callable[..., pd.Series], values: list[pd.Series]) -> float | None:
+    try:
+        return float(fn(*values).iloc[0])
+    except Exception:
+        return None
 
 
 def score_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -139,8 +158,11 @@ def cache_rows(scores: DataFrame, as_of, ttl_overrides: Mapping[str, int] | None
 
 
 def write_score_cache(cache: DataFrame, rows: DataFrame) -> DataFrame:
-    """M6: keyed overwrite, returned as the new table."""
-    return cache.join(rows.select(*CACHE_KEY), list(CACHE_KEY), "left_anti").unionByName(rows)
+    """M6: keyed overwrite, returned as the new table; of several rows of a key the last scored wins."""
+    rest = [c for c in rows.columns if c not in CACHE_KEY]
+    order = [c for c in ("scored_at", "expires_at") if c in rest]
+    last = rows.groupBy(*CACHE_KEY).agg(F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("__v")).select(*CACHE_KEY, "__v.*")
+    return cache.join(last.select(*CACHE_KEY), list(CACHE_KEY), "left_anti").unionByName(last)
 
 
 def tiered_ttl(tier: Column, frequency: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beckon.functions.convert import as_ts
@@ -33,23 +33,29 @@ def create_if_absent(store: DataFrame, new: DataFrame, keys: Sequence[str], tie:
     return store.unionByName(fresh, allowMissingColumns=True), refused
 
 
-def update_if_version(store: DataFrame, updates: DataFrame, keys: Sequence[str], fields: Sequence[str], as_of) -> tuple[DataFrame, DataFrame]:
-    """(new store, conflicts).  ``updates`` has one row per key: keys, fields, expected_version.
+def update_if_version(store: DataFrame, updates: DataFrame, keys: Sequence[str], fields: Sequence[str], as_of, guard: str = "version", order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new store, conflicts).  ``updates`` brings keys, fields and ``expected_<guard>``.
 
-    A match raises the version by one and stamps updated_at; a wrong version or an unknown
-    key is a conflict.
+    A match raises the version by one and stamps updated_at; a wrong expectation or an unknown
+    key is a conflict.  With ``guard="updated_at"`` the row must be unchanged since that time.
+    Of several updates of one key that match, the first by ``order`` (else by expectation and
+    fields) wins; the others come too late and are conflicts.
     """
     keys = list(keys)
-    u = updates.select(*keys, F.col("expected_version"), F.struct(*fields).alias("__u"))
+    expected, actual = f"expected_{guard}", f"actual_{guard}"
+    place = Window.partitionBy(*keys, expected).orderBy(*([order] if order else []), *fields)
+    ranked = updates.withColumn("__place", F.row_number().over(place)).select(*keys, expected, F.struct(*fields).alias("__u"), "__place")
+    u = ranked.filter("__place = 1").join(store.select(*keys, F.col(guard).alias(expected)), [*keys, expected], "left_semi")
     both = store.join(u, keys, "left")
-    hit = F.coalesce(F.col("expected_version") == F.col("version"), F.lit(False))
+    hit = F.coalesce(F.col(expected) == F.col(guard), F.lit(False))
     both = both.withColumn("__hit", hit)
     change = {f: F.col(f"__u.{f}") for f in fields} | {"version": F.col("version") + 1, "updated_at": as_ts(as_of)}
     after = both.select([F.when(F.col("__hit"), change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in store.columns])
-    current = store.select(*keys, F.col("version").alias("actual_version"))
-    seen = u.select(*keys, "expected_version").join(current, keys, "left")
-    bad = seen.filter(F.col("actual_version").isNull() | (F.col("actual_version") != F.col("expected_version")))
-    return after, bad.withColumn("conflict", F.when(F.col("actual_version").isNull(), "NOT_FOUND").otherwise("VERSION_MISMATCH"))
+    current = store.select(*keys, F.col(guard).alias(actual), F.lit(True).alias("__known"))
+    seen = ranked.select(*keys, expected, "__place").join(current, keys, "left")
+    late = F.when(F.col("__place") > 1, True).otherwise(~F.coalesce(F.col(actual) == F.col(expected), F.lit(False)))
+    bad = seen.filter(late).withColumn("conflict", F.when(F.col("__known").isNull(), "NOT_FOUND").otherwise("VERSION_MISMATCH"))
+    return after, bad.drop("__known", "__place")
 
 
 def delete_keys(store: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:

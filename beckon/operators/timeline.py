@@ -33,6 +33,12 @@ def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str
     return left.join(renamed, on, how).drop(*[f"__r_{n}" for n in names])
 
 
+def exact(value: Column) -> Column:
+    """Amounts as decimals with six places, so that sums and their differences are exact; NaN and infinity are null."""
+    number = value.cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < 1e22), value).try_cast("decimal(28,6)")
+
+
 def trailing_aggregate(
     df: DataFrame,
     keys: Sequence[str],
@@ -55,7 +61,7 @@ def trailing_aggregate(
     keys = list(keys)
     sums = sums or {}
     base = df.withColumn("__sec", F.unix_seconds(F.col(ts)))
-    parts = {"__n": F.count(F.lit(1)), **{f"__s_{o}": F.sum(F.col(c)) for o, c in sums.items()}}
+    parts = {"__n": F.count(F.lit(1)), **{f"__s_{o}": F.sum(exact(F.col(c))) for o, c in sums.items()}}
     per_second = base.groupBy(*keys, "__sec").agg(*[e.alias(n) for n, e in parts.items()])
     names = list(parts)
     zeros = [F.lit(0).alias(n) for n in names]
@@ -84,7 +90,8 @@ def trailing_aggregate(
     stats = stats.drop("b").withColumnRenamed("home", "__sec")
     joined = _null_safe(base, stats, [*keys, "__sec"])
     out = {count_as: "__n_win", **{o: f"__s_{o}_win" for o in sums}}
-    return joined.select(*df.columns, *[F.coalesce(F.col(c), F.lit(0)).alias(o) for o, c in out.items()])
+    total = lambda o: F.coalesce(F.col(out[o]), F.lit(0))
+    return joined.select(*df.columns, *[(total(o).cast("double") if o in sums else total(o)).alias(o) for o in out])
 
 
 def _carry(buckets: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -151,10 +158,10 @@ def prior_totals(
 ) -> DataFrame:
     """Count and sum of ``value`` over all earlier rows of the key (current row excluded)."""
     keys = list(keys)
-    tagged = df.withColumn("__bucket", _bucket(position, width))
+    tagged = df.withColumn("__bucket", _bucket(position, width)).withColumn("__x", exact(F.col(value)))
     w = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = tagged.withColumn("__n", F.count(value).over(w)).withColumn("__s", F.sum(value).over(w))
-    table = tagged.groupBy(*keys, "__bucket").agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+    inside = tagged.withColumn("__n", F.count("__x").over(w)).withColumn("__s", F.sum("__x").over(w))
+    table = tagged.groupBy(*keys, "__bucket").agg(F.count("__x").alias("n"), F.sum("__x").alias("s"))
     wb = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     table = table.select(*keys, "__bucket", F.sum("n").over(wb).alias("__bn"), F.sum("s").over(wb).alias("__bs"))
     out = _null_safe(inside, table, [*keys, "__bucket"])
@@ -162,7 +169,7 @@ def prior_totals(
     return out.select(
         *df.columns,
         (F.coalesce("__n", zero) + F.coalesce("__bn", zero)).alias(count_as),
-        (F.coalesce("__s", zero) + F.coalesce("__bs", zero)).alias(sum_as),
+        (F.coalesce("__s", zero) + F.coalesce("__bs", zero)).cast("double").alias(sum_as),
     )
 
 

@@ -21,9 +21,12 @@ UNIT_SECONDS = {"h": HOUR, "d": DAY, "w": 7 * DAY}
 def velocity_filter(
     df: DataFrame, customer: str, ts: str, amount: str, max_count: int = MAX_COUNT_PER_HOUR, max_amount: float = MAX_AMOUNT_PER_HOUR, window_s: int = HOUR
 ) -> DataFrame:
-    """trailing-hour count and amount (current row included) and whether both are in bounds."""
+    """trailing-hour count and amount (current row included) and whether both are in bounds.
+
+    Amounts are summed exactly; a row whose amount is NaN or infinite adds nothing and is not allowed.
+    """
     out = trailing_aggregate(df, [customer], ts, window_s, {"window_amount": amount}, "window_count", include_current=True)
-    return out.withColumn("allowed", (F.col("window_count") <= max_count) & (F.col("window_amount") <= max_amount))
+    return out.withColumn("allowed", (F.col("window_count") <= max_count) & (F.col("window_amount") <= max_amount) & ~F.coalesce(F.isnan(amount) | (F.abs(amount) == float("inf")), F.lit(False)))
 
 
 def amount_anomaly(df: DataFrame, customer: str, ts: str, tie: str, amount: str, ratio: float = AMOUNT_RATIO) -> DataFrame:

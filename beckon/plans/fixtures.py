@@ -13,10 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beckon.schema import CANDIDATE, ddl
-from beckon.sources.tables import TABLES, plan_once, spread, table
-
-# tables whose rows are worked on heavily (long texts, candidate building)
-HEAVY = ("orders", "documents", "pages", "conversations")
+from beckon.sources.tables import TABLES, table
 
 AS_OF_ORDERS = "2001-08-02 00:00:00"
 AS_OF_EVENTS = "2024-01-31 00:00:00"
@@ -27,6 +24,7 @@ MACROS = {
     "MILLIS": ("unix_millis({0})", "(epoch_us({0}) // 1000)"),
     "ISO": ("date_format({0}, \"yyyy-MM-dd'T'HH:mm:ss\")", "strftime({0}, '%Y-%m-%dT%H:%M:%S')"),
     "JSONSTR": ("get_json_object({0}, '$.k')", "json_extract_string({0}, '$.k')"),
+    "UPTO": ("explode(sequence(0, {0}))", "unnest(range(0, {0} + 1))"),
     "SEC": ("date_trunc('SECOND', {0})", "date_trunc('second', {0})"),
 }
 
@@ -162,7 +160,7 @@ select 'CUST-' || c_custkey as customer_id, 'prog-1' as program_id from customer
         (),
         """
 select 'CUST-' || c_custkey as customer_id, 'tok-' || c_custkey || '-' || n as token
-from customer cross join (select 0 as n union all select 1 as n union all select 2 as n) counts
+from (select c_custkey, @UPTO{2} as n from customer)
 where c_custkey % 3 <> 0 and n <= c_custkey % 3
 """,
     ),
@@ -390,18 +388,13 @@ def duckdb_text(oracle: str, uses: tuple[str, ...]) -> str:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture table ``name`` as a lazy DataFrame."""
-
-    def build() -> DataFrame:
-        if name in TABLES:
-            base = table(spark, sf_dir, name)
-            return spread(base) if name in HEAVY else base
-        text = f"with {_with_prefix((name,), 0)} select * from {name}"
-        for base in TABLES:
-            if re.search(rf"\b(from|join) {base}\b", text):
-                fixture(spark, sf_dir, base).createOrReplaceTempView(base)
-        return spark.sql(text)
-
-    return plan_once(spark, (sf_dir, "fixture", name), build)
+    if name in TABLES:
+        return table(spark, sf_dir, name)
+    text = f"with {_with_prefix((name,), 0)} select * from {name}"
+    for base in TABLES:
+        if re.search(rf"\b(from|join) {base}\b", text):
+            table(spark, sf_dir, base).createOrReplaceTempView(base)
+    return spark.sql(text)
 
 
 def _score(model: str, value: str, confidence: Column) -> Column:

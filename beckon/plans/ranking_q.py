@@ -254,11 +254,11 @@ def w18(spark, sf):
 
 @query(
     "w19_daily_quota",
-    """select k, client_id, rank from (select k, client_id, daily_quota, row_number() over (partition by client_id, date_trunc('month', created_at) order by coalesce(quality, 0) desc, k) as rank
+    """select k, client_id, rank from (select k, client_id, daily_quota, row_number() over (partition by client_id, date_trunc('day', created_at) order by coalesce(quality, 0) desc, k) as rank
     from cand_core join clients using (program_id)) where rank <= daily_quota""",
     ("cand_core", "clients"),
 )
 def w19(spark, sf):
     df = fixture(spark, sf, "cand_core").join(fixture(spark, sf, "clients").select("client_id", "program_id", "daily_quota"), "program_id")
-    out = rk.daily_quota(df, "client_id", F.date_trunc("month", "created_at"), "quality", "k", "daily_quota", 50)
+    out = rk.daily_quota(df, "client_id", F.date_trunc("day", "created_at"), "quality", "k", "daily_quota")
     return out.select("k", "client_id", "rank")

@@ -26,12 +26,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir`` when set.
+    """Shared folder for lineage cuts and sinks: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local runs) a local folder is made.
+    Only a single local JVM may go without the setting (tests); a cluster must name the folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or tempfile.mkdtemp(prefix="beckon-ckpt-")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/beckon-checkpoints"
 
 
 def local_session(cores: int | str = "*", app: str = "beckon", memory: str | None = None) -> SparkSession:

@@ -2,60 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from beckon.session import configure
 
-FEW_SPLITS = 8
-
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def plan_once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse an unexecuted plan within one session (no data is kept)."""
-    full = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), *key)
-    if full not in _PLANS:
-        _PLANS[full] = build()
-    return _PLANS[full]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table with zone-less timestamps taken as UTC instants.
 
     The scan is given the instant type directly, so filters on time columns still
-    reach Parquet (a cast above the scan would block the pushdown).
+    reach Parquet (a cast above the scan would block the pushdown).  The files are listed
+    anew at every call.
     """
     configure(spark)
     path = f"{sf_dir}/{name}.parquet"
-
-    def build() -> DataFrame:
-        found = spark.read.parquet(path).schema
-        fields = [
-            T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable) for f in found.fields
-        ]
-        return spark.read.schema(T.StructType(fields)).parquet(path)
-
-    return plan_once(spark, (sf_dir, name), build)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a table of only a few input splits over the session's cores.
-
-    Meant for work that is heavy per row.  Larger tables already have enough splits and are
-    returned as they are, so no shuffle is added at scale.
-    """
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes")).rstrip("b").replace("m", "0" * 6).replace("g", "0" * 9))
-    if size > FEW_SPLITS * split:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    found = spark.read.parquet(path).schema
+    fields = [
+        T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable) for f in found.fields
+    ]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
