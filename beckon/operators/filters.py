@@ -36,10 +36,10 @@ def filter_eligibility(params: Mapping, filter_id: str, as_of=None) -> Column:
     missing = [~F.coalesce(flags[c], F.lit(False)) for c in channels]
     window = F.col("attributes.timing_window")
     names = F.concat_ws(", ", *[F.when(m, F.lit(c)) for m, c in zip(missing, channels)])
-    reason = F.concat(F.lit("Not eligible for required channels: "), names)
+    reason = F.concat(F.lit("closed channels: "), names)
     out = F.when(reduce(lambda a, b: a | b, missing, F.lit(False)), _reject(filter_id, "CHANNEL_INELIGIBLE", reason))
     if params.get("checkTimingWindow", True):
-        out = out.when(window.isNull() | (window == ""), _reject(filter_id, "TIMING_WINDOW_MISSING", "Timing window not specified"))
+        out = out.when(window.isNull() | (window == ""), _reject(filter_id, "TIMING_WINDOW_MISSING", "no timing window"))
     return out
 
 
@@ -48,9 +48,9 @@ def filter_trust(params: Mapping, filter_id: str, as_of=None) -> Column:
     low, high = params.get("minTrustScore", TRUST_MIN), params.get("maxFraudScore", FRAUD_MAX)
     trust, fraud = F.col("scores")["trust"]["value"], F.col("scores")["fraud"]["value"]
     return (
-        F.when(trust.isNull(), _reject(filter_id, "TRUST_SCORE_MISSING", "Trust score not available"))
-        .when(trust < low, _reject(filter_id, "TRUST_SCORE_LOW", F.concat(F.lit("Trust score "), trust.cast("string"), F.lit(f" below minimum threshold {low}"))))
-        .when(fraud > high, _reject(filter_id, "FRAUD_DETECTED", F.concat(F.lit("High fraud score detected: "), fraud.cast("string"))))
+        F.when(trust.isNull(), _reject(filter_id, "TRUST_SCORE_MISSING", "no trust score"))
+        .when(trust < low, _reject(filter_id, "TRUST_SCORE_LOW", F.concat(F.lit("trust "), trust.cast("string"), F.lit(f" under {low}"))))
+        .when(fraud > high, _reject(filter_id, "FRAUD_DETECTED", F.concat(F.lit("fraud at "), fraud.cast("string"))))
     )
 
 
@@ -59,13 +59,13 @@ def filter_quality(params: Mapping, filter_id: str, as_of=None) -> Column:
     q = F.col("scores")["quality"]
     floor, sure = params.get("minQualityScore", QUALITY_MIN), params.get("minConfidence", CONFIDENCE_MIN)
     out = (
-        F.when(q["value"].isNull(), _reject(filter_id, "QUALITY_SCORE_MISSING", "Quality score not available"))
-        .when(q["value"] < floor, _reject(filter_id, "QUALITY_SCORE_LOW", F.concat(F.lit("Quality score "), q["value"].cast("string"), F.lit(f" below minimum threshold {floor}"))))
-        .when(q["confidence"] < sure, _reject(filter_id, "CONFIDENCE_LOW", F.concat(F.lit("Quality score confidence "), q["confidence"].cast("string"), F.lit(f" below minimum threshold {sure}"))))
+        F.when(q["value"].isNull(), _reject(filter_id, "QUALITY_SCORE_MISSING", "no quality score"))
+        .when(q["value"] < floor, _reject(filter_id, "QUALITY_SCORE_LOW", F.concat(F.lit("quality "), q["value"].cast("string"), F.lit(f" under {floor}"))))
+        .when(q["confidence"] < sure, _reject(filter_id, "CONFIDENCE_LOW", F.concat(F.lit("quality confidence "), q["confidence"].cast("string"), F.lit(f" under {sure}"))))
     )
     if params.get("requireMedia", False):
         media = F.coalesce(F.col("attributes.media_eligible"), F.lit(False))
-        out = out.when(~media, _reject(filter_id, "MEDIA_INELIGIBLE", "Media eligibility required but not met"))
+        out = out.when(~media, _reject(filter_id, "MEDIA_INELIGIBLE", "media wanted, not eligible"))
     return out
 
 
@@ -75,13 +75,13 @@ def filter_business_rule(params: Mapping, filter_id: str, as_of=None) -> Column:
     out = F.when(F.lit(False), _reject(filter_id, "", ""))
     if "minOrderValue" in params:
         value = attrs["order_value"]
-        out = out.when(value.isNull(), _reject(filter_id, "ORDER_VALUE_MISSING", "Order value not available"))
-        out = out.when(value < params["minOrderValue"], _reject(filter_id, "ORDER_VALUE_LOW", F.concat(F.lit("Order value "), value.cast("string"), F.lit(f" below minimum threshold {params['minOrderValue']}"))))
+        out = out.when(value.isNull(), _reject(filter_id, "ORDER_VALUE_MISSING", "no order value"))
+        out = out.when(value < params["minOrderValue"], _reject(filter_id, "ORDER_VALUE_LOW", F.concat(F.lit("order value "), value.cast("string"), F.lit(f" under {params['minOrderValue']}"))))
     if "maxDaysSinceEvent" in params:
         age = days_between(attrs["event_date"], as_ts(as_of))
-        out = out.when(age > params["maxDaysSinceEvent"], _reject(filter_id, "EVENT_TOO_OLD", F.concat(F.lit("Event occurred "), age.cast("string"), F.lit(f" days ago, exceeds maximum of {params['maxDaysSinceEvent']} days"))))
+        out = out.when(age > params["maxDaysSinceEvent"], _reject(filter_id, "EVENT_TOO_OLD", F.concat(F.lit("event is "), age.cast("string"), F.lit(f" days old, limit {params['maxDaysSinceEvent']}"))))
     if params.get("requireDeliveryDate", False):
-        out = out.when(attrs["delivery_date"].isNull(), _reject(filter_id, "DELIVERY_DATE_MISSING", "Delivery date is required but not provided"))
+        out = out.when(attrs["delivery_date"].isNull(), _reject(filter_id, "DELIVERY_DATE_MISSING", "no delivery date"))
     return out
 
 

@@ -73,7 +73,7 @@ def map_fields(df: DataFrame, mapping: Mapping[str, Any], into: str = "mapped")
         src, kind = source_path(df, rule.source)
         value = convert_type(src, rule.type, kind) if rule.type else src
         if rule.required:
-            errors.append((value.isNull(), F.lit(f"Required field '{target}' mapping failed")))
+            errors.append((value.isNull(), F.lit(f"{target}: no usable value")))
         elif rule.default is not None:
             value = F.coalesce(value, F.lit(rule.default))
         fields.append(value.alias(target))
@@ -199,12 +199,12 @@ def to_candidates(df: DataFrame, mapping: Mapping[str, Any], as_of, connector: s
     flags = {c: m(f) for c, f in (("email", "emailEligible"), ("sms", "smsEligible"), ("push", "pushEligible")) if m(f) is not None}
     channels = build_channel_eligibility(flags, m("channelEligibility")) if flags or m("channelEligibility") is not None else F.create_map(F.lit("email"), F.lit(True))
     missing = [
-        (F.col(f"mapped.{n}").isNull() if n in have else F.lit(True), F.lit(f"Missing required field '{n}'")) for n in REQUIRED_FIELDS
+        (F.col(f"mapped.{n}").isNull() if n in have else F.lit(True), F.lit(f"{n}: absent")) for n in REQUIRED_FIELDS
     ]
-    empty_context = (F.size(context) == 0, F.lit("Context is empty"))
+    empty_context = (F.size(context) == 0, F.lit("context: no entry"))
     kinds = {f.name: f.dataType for f in mapped.schema["mapped"].dataType.fields}
     event_date = convert_type(pick["eventDate"], "INSTANT", kinds.get("eventDate"))
-    unread = (pick["eventDate"].isNotNull() & event_date.isNull(), F.lit("eventDate is not an instant"))
+    unread = (pick["eventDate"].isNotNull() & event_date.isNull(), F.lit("eventDate: not an instant"))
     return mapped.select(
         *df.columns,
         pick["customerId"].alias("customer_id"),

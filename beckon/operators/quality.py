@@ -18,6 +18,12 @@ STRING_FIELDS = ("customerId", "subjectType", "subjectId")
 NUMERIC_FIELDS = ("orderValue", "ttlDays")
 BOOLEAN_FIELDS = ("mediaEligible", "emailEligible", "smsEligible", "pushEligible")
 MAX_FUTURE = "INTERVAL '3650' DAY"
+# fixed values: message texts of the record checks, which consumers compare
+MISSING_TEXT = "Required field '{0}' is missing"
+NULL_TEXT = "Required field '{0}' is null"
+BLANK_TEXT = "Required field '{0}' is blank"
+DATE_TEXT = "Field '{0}' has invalid date format: "
+TYPE_TEXT = "Field '{0}' must be {1}, got "
 MAX_REQUEST_LIMIT = 100
 
 
@@ -63,9 +69,9 @@ def required_errors() -> Column:
     for f in REQUIRED:
         kind = Record.kind(f)
         parts += [
-            (kind.isNull(), F.lit(f"Required field '{f}' is missing")),
-            (kind == "VOID", F.lit(f"Required field '{f}' is null")),
-            ((kind == "STRING") & (F.trim(Record.text(f)) == ""), F.lit(f"Required field '{f}' is blank")),
+            (kind.isNull(), F.lit(MISSING_TEXT.format(f))),
+            (kind == "VOID", F.lit(NULL_TEXT.format(f))),
+            ((kind == "STRING") & (F.trim(Record.text(f)) == ""), F.lit(BLANK_TEXT.format(f))),
         ]
     return messages(*parts)
 
@@ -78,7 +84,7 @@ def date_errors(as_of) -> Column:
         kind, text = Record.kind(f), Record.text(f)
         millis = text.try_cast("double")
         ok = F.when(kind == "STRING", is_iso_date(text)).when(kind == "NUMBER", (millis > 0) & (millis < latest)).otherwise(False)
-        parts.append((kind.isNotNull() & (kind != "VOID") & ~ok, F.concat(F.lit(f"Field '{f}' has invalid date format: "), text)))
+        parts.append((kind.isNotNull() & (kind != "VOID") & ~ok, F.concat(F.lit(DATE_TEXT.format(f)), text)))
     return messages(*parts)
 
 
@@ -88,7 +94,7 @@ def type_errors() -> Column:
     for fields, want, word in ((STRING_FIELDS, "STRING", "a string"), (NUMERIC_FIELDS, "NUMBER", "numeric"), (BOOLEAN_FIELDS, "BOOLEAN", "boolean")):
         for f in fields:
             kind = Record.kind(f)
-            parts.append((~kind.isin(want, "VOID"), F.concat(F.lit(f"Field '{f}' must be {word}, got "), F.initcap(kind))))
+            parts.append((~kind.isin(want, "VOID"), F.concat(F.lit(TYPE_TEXT.format(f, word)), F.initcap(kind))))
     return messages(*parts)
 
 
@@ -208,11 +214,11 @@ def program_config_errors() -> Column:
         "dataConnectors": "data connector", "scoringModels": "scoring model", "filters": "filter", "channels": "channel", "marketplaces": "marketplace",
     }
     return messages(
-        *[(_blank(F.col(c)), F.lit(f"{c}: must not be blank")) for c in ("programId", "programName")],
-        *[(empty(c), F.lit(f"{c}: must have at least one {word}")) for c, word in lists.items()],
-        (F.coalesce(F.col("candidateTTLDays") <= 0, F.lit(True)), F.lit("candidateTTLDays: must be positive")),
-        (F.col("timingWindowDays") <= 0, F.lit("timingWindowDays: must be positive if specified")),
-        (F.trim("batchSchedule") == "", F.lit("batchSchedule: must not be blank if specified")),
+        *[(_blank(F.col(c)), F.lit(f"{c}: blank")) for c in ("programId", "programName")],
+        *[(empty(c), F.lit(f"{c}: names no {word}")) for c, word in lists.items()],
+        (F.coalesce(F.col("candidateTTLDays") <= 0, F.lit(True)), F.lit("candidateTTLDays: not above zero")),
+        (F.col("timingWindowDays") <= 0, F.lit("timingWindowDays: given but not above zero")),
+        (F.trim("batchSchedule") == "", F.lit("batchSchedule: given but blank")),
     )
 
 
@@ -220,12 +226,12 @@ def connector_config_errors(expected_type: str, required: Sequence[str] = ("data
     """Messages over connectorId, connectorType, sourceConfig."""
     cfg = F.col("sourceConfig")
     return messages(
-        (_blank(F.col("connectorId")), F.lit("Connector ID cannot be blank")),
-        (_blank(F.col("connectorType")), F.lit("Connector type cannot be blank")),
-        (F.col("connectorType") != expected_type, F.concat(F.lit("Connector type '"), F.col("connectorType"), F.lit(f"' does not match expected type '{expected_type}'"))),
-        (F.coalesce(F.size(cfg), F.lit(0)) <= 0, F.lit(f"Source configuration is required for connector type '{expected_type}'")),
-        (cfg.isNull(), F.lit("Source configuration is required")),
-        *[(cfg.isNotNull() & _blank(cfg[k]), F.lit(f"Source config must contain '{k}' field")) for k in required],
+        (_blank(F.col("connectorId")), F.lit("connectorId: blank")),
+        (_blank(F.col("connectorType")), F.lit("connectorType: blank")),
+        (F.col("connectorType") != expected_type, F.concat(F.lit("connectorType: "), F.col("connectorType"), F.lit(f" is not {expected_type}"))),
+        (F.coalesce(F.size(cfg), F.lit(0)) <= 0, F.lit(f"sourceConfig: empty for {expected_type}")),
+        (cfg.isNull(), F.lit("sourceConfig: absent")),
+        *[(cfg.isNotNull() & _blank(cfg[k]), F.lit(f"sourceConfig: {k} missing")) for k in required],
     )
 
 

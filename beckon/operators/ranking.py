@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beckon.functions.convert import as_ts, days_between
 from beckon.operators.filters import serving_eligible
@@ -226,18 +227,43 @@ def keyset_page(df: DataFrame, score: str, tie: str, size: int, after: tuple[flo
 # --- W13-W15: throttles and queues ---
 
 
-def fixed_window_throttle(df: DataFrame, key: str, ts: str, tie: str, max_requests: int, window_ms: int) -> DataFrame:
+def fixed_window_throttle(df: DataFrame, key: str, ts: str, tie: str, max_requests: int, window_ms: int, permits: str | None = None) -> DataFrame:
     """The first request opens a window, later ones pass while the window has room.
 
     A window resets with the first request at or after its length; denied requests do not
     count, so the first ``max_requests`` of each window pass.  Millisecond precision.
+    With ``permits`` a request takes that many (null: one); one that does not fit takes nothing,
+    and a smaller later one may still pass.
     """
     tick = F.unix_millis(F.col(ts))
     opened = greedy_openings(df, [key], tick, window_ms).select(key, F.col("tick").alias("__t"), F.col("opening").alias("window_start_ms"))
     placed = _null_safe(df.withColumn("__t", tick), opened, [key, "__t"])
+    if permits is not None:
+        return _take_permits(placed.drop("__t"), [key, "window_start_ms"], [ts, tie], permits, max_requests)
     return _first_in_window(placed, [key, "window_start_ms"], ts, tie, max_requests).drop("__t")
 
 
+def _take_permits(df: DataFrame, window: Sequence[str], order: Sequence[str], permits: str, most: int) -> DataFrame:
+    """Rows stream by in order; what a window has used is all that is held."""
+    keyed = df.withColumn("__w", F.xxhash64(*window)).withColumn("__n", F.coalesce(F.col(permits).cast("bigint"), F.lit(1)))
+
+    def run(batches):
+        at, used = None, 0
+        for pdf in batches:
+            allowed = []
+            for w, n in zip(pdf["__w"].tolist(), pdf["__n"].tolist()):
+                if w != at:
+                    at, used = w, 0
+                fits = used + n <= most
+                used += n if fits else 0
+                allowed.append(fits)
+            yield pdf.assign(allowed=allowed)
+
+    schema = T.StructType([*keyed.schema.fields, T.StructField("allowed", T.BooleanType())])
+    sorted_rows = keyed.repartition("__w").sortWithinPartitions("__w", *order)
+    return sorted_rows.mapInPandas(run, schema).drop("__w", "__n")
+
+
 def _first_in_window(df: DataFrame, keys: Sequence[str], ts: str, tie: str, k: int) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc(ts), F.asc(tie)))
     passed = df.withColumn("__rn", rn).filter(F.col("__rn") <= k).select(F.col(tie), F.lit(True).alias("__ok"))

@@ -180,11 +180,11 @@ def d8(spark, sf):
 
 @query(
     "d9_upsert",
-    "select subject_id, case when k % 6 = 0 and k % 10 <> 0 then -2.0e0 else order_value end as order_value from cand_core where k % 2 = 0",
+    "select subject_id, case when k % 6 = 0 and k % 10 <> 0 then -2.0e0 else order_value end as order_value from cand_core",
     ("cand_core",),
 )
 def d9(spark, sf):
-    store = store_rows(spark, sf).filter("k % 2 = 0")
+    store = store_rows(spark, sf)
     rows = store.filter("k % 6 = 0")
     rows = rows.withColumn("order_value", F.lit(-1.0)).unionByName(rows.withColumns({"order_value": F.lit(-2.0), "version": F.col("version") + 1}))
     ok, _ = st.upsert_report(rows, F.col("k") % 10 != 0)
@@ -280,8 +280,9 @@ def d16(spark, sf):
     variables = {"customerName": "customer_id", "kind": "subject_type", "place": "marketplace", "window": "timing_window"}
     df = fixture(spark, sf, "cand_core").select("k", "customer_id", "subject_type", "marketplace", "timing_window")
     out = dl.render_template(df, "Hi {{customerName}}, your {kind} from {place}: {{window}} {left}", variables)
-    short = dl.render_template(out.drop("missing_variable"), "{customerName} {window}", variables, "short_message").withColumnRenamed("missing_variable", "short_missing")
-    return short.withColumn("missing_variable", F.lit(True)).select("k", "message", "missing_variable", "short_message", "short_missing")
+    out = out.withColumnRenamed("missing_variable", "__first")
+    short = dl.render_template(out, "{customerName} {window}", variables, "short_message").withColumnRenamed("missing_variable", "short_missing")
+    return short.withColumnRenamed("__first", "missing_variable").select("k", "message", "missing_variable", "short_message", "short_missing")
 
 
 @query(

@@ -29,8 +29,8 @@ CHAIN_SQL = f"""select *, case when e is not null then 'eligibility' when t is n
 
 @query(
     "f1_filter_eligibility",
-    f"""select k, {ELIG_CODE} as reason_code, case when not (email and push) then 'Not eligible for required channels: ' || {MISSING_CH}
-    when timing_window is null then 'Timing window not specified' end as reason from cand_core""",
+    f"""select k, {ELIG_CODE} as reason_code, case when not (email and push) then 'closed channels: ' || {MISSING_CH}
+    when timing_window is null then 'no timing window' end as reason from cand_core""",
     ("cand_core",),
 )
 def f1(spark, sf):

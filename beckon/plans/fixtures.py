@@ -128,7 +128,7 @@ select event_id as delivery_id, 'CUST-' || user_id as customer_id, user_id,
   case when event_id % 14 = 0 then 'failed' else 'delivered' end as status,
   case when event_id % 28 = 0 then 'FREQUENCY_CAP_EXCEEDED' when event_id % 14 = 0 then 'SEND_FAILED' else null end as error_code,
   ts as sent_at
-from events where event_id % 2 = 0
+from events
 """,
     ),
     "opens": (

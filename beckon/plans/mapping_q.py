@@ -73,8 +73,8 @@ def p2(spark, sf):
 @query(
     "p3_required_and_default",
     f"""select k, case when k % 43 = 0 or order_value is null then -1.0e0 else order_value end as order_value,
-    concat_ws('; ', case when k % 29 = 1 then 'Required field ''customerId'' mapping failed' end,
-      case when not {EVENT_OK} then 'Required field ''eventDate'' mapping failed' end) as errors from cand_core""",
+    concat_ws('; ', case when k % 29 = 1 then 'customerId: no usable value' end,
+      case when not {EVENT_OK} then 'eventDate: no usable value' end) as errors from cand_core""",
     ("cand_core",),
 )
 def p3(spark, sf):

@@ -161,10 +161,10 @@ def config_rows(spark, sf):
 
 @query(
     "v10_validate_program_configs",
-    """select c_custkey, concat_ws('; ', case when c_custkey % 5 = 0 then 'programId: must not be blank' end, case when c_custkey % 7 = 0 then 'programName: must not be blank' end,
-    case when c_custkey % 3 = 0 then 'dataConnectors: must have at least one data connector' end, case when c_custkey % 13 = 0 then 'scoringModels: must have at least one scoring model' end,
-    case when c_custkey % 11 = 0 then 'marketplaces: must have at least one marketplace' end, case when c_custkey % 4 = 0 then 'candidateTTLDays: must be positive' end,
-    case when c_custkey % 6 = 1 then 'timingWindowDays: must be positive if specified' end, case when c_custkey % 9 = 0 then 'batchSchedule: must not be blank if specified' end) as errors from customer""",
+    """select c_custkey, concat_ws('; ', case when c_custkey % 5 = 0 then 'programId: blank' end, case when c_custkey % 7 = 0 then 'programName: blank' end,
+    case when c_custkey % 3 = 0 then 'dataConnectors: names no data connector' end, case when c_custkey % 13 = 0 then 'scoringModels: names no scoring model' end,
+    case when c_custkey % 11 = 0 then 'marketplaces: names no marketplace' end, case when c_custkey % 4 = 0 then 'candidateTTLDays: not above zero' end,
+    case when c_custkey % 6 = 1 then 'timingWindowDays: given but not above zero' end, case when c_custkey % 9 = 0 then 'batchSchedule: given but blank' end) as errors from customer""",
 )
 def v10(spark, sf):
     return config_rows(spark, sf).select("c_custkey", JOINED(qa.program_config_errors()).alias("errors"))
@@ -172,10 +172,10 @@ def v10(spark, sf):
 
 @query(
     "v11_validate_connector_configs",
-    """select s_suppkey, concat_ws('; ', case when s_suppkey % 5 = 0 then 'Connector ID cannot be blank' end,
-    case when s_suppkey % 4 = 0 then 'Connector type ''csv'' does not match expected type ''data-warehouse''' end,
-    case when s_suppkey % 7 = 0 then 'Source configuration is required for connector type ''data-warehouse''; Source configuration is required'
-      else nullif(concat_ws('; ', case when s_suppkey % 3 = 0 then 'Source config must contain ''database'' field' end, case when s_suppkey % 2 = 0 then 'Source config must contain ''query'' field' end), '') end) as errors
+    """select s_suppkey, concat_ws('; ', case when s_suppkey % 5 = 0 then 'connectorId: blank' end,
+    case when s_suppkey % 4 = 0 then 'connectorType: csv is not data-warehouse' end,
+    case when s_suppkey % 7 = 0 then 'sourceConfig: empty for data-warehouse; sourceConfig: absent'
+      else nullif(concat_ws('; ', case when s_suppkey % 3 = 0 then 'sourceConfig: database missing' end, case when s_suppkey % 2 = 0 then 'sourceConfig: query missing' end), '') end) as errors
     from supplier""",
 )
 def v11(spark, sf):

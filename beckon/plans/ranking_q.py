@@ -192,6 +192,21 @@ def w13(spark, sf):
     return rk.fixed_window_throttle(df, "program_id", "ts", "event_id", 3, 7_200_000).select("event_id", "window_start_ms", "allowed")
 
 
+@query(
+    "w13_throttle_permits",
+    """with recursive e as (select event_id, ts, event_id % 5 as dkey, 1 + (event_id * 7) % 3 as n, epoch_us(ts) // 1000 as ms from events),
+    o as (select dkey, min(ms) as ms from e group by dkey union all select o.dkey, (select min(e.ms) from e where e.dkey = o.dkey and e.ms >= o.ms + 7200000) from o
+      where (select min(e.ms) from e where e.dkey = o.dkey and e.ms >= o.ms + 7200000) is not null),
+    p as (select event_id, n, e.dkey || '-' || o.ms as w, row_number() over (partition by e.dkey, o.ms order by ts, event_id) as rn from e asof join o on o.dkey = e.dkey and o.ms <= e.ms),
+    f as (select w, rn, event_id, n <= 4 as allowed, case when n <= 4 then n else 0 end as used from p where rn = 1
+      union all select p.w, p.rn, p.event_id, f.used + p.n <= 4, case when f.used + p.n <= 4 then f.used + p.n else f.used end from f join p on p.w = f.w and p.rn = f.rn + 1)
+    select event_id, allowed from f""",
+)
+def w13_permits(spark, sf):
+    df = fixture(spark, sf, "events").select("event_id", "ts", (F.col("event_id") % 5).alias("program"), (1 + (F.col("event_id") * 7) % 3).alias("n"))
+    return rk.fixed_window_throttle(df, "program", "ts", "event_id", 4, 7_200_000, permits="n").select("event_id", "allowed")
+
+
 @query(
     "w14_tumbling_throttle",
     "select event_id, row_number() over (partition by event_id % 5, time_bucket(interval '1 hour', ts) order by ts, event_id) <= 2 as allowed from events",

@@ -11,11 +11,15 @@ from beckon.session import checkpoint_dir, configure
 from beckon.sources.tables import table
 
 
+MAX_FILES = 64  # files of one micro-batch; bounds what a trigger takes up
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stream over one table's Parquet file, typed like the batch read."""
     configure(spark)
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", MAX_FILES)
+    return files.parquet(sf_dir)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from beckon.sources.events import parse_customer_events, route_events
 DEDUP_WINDOW_S, DEDUP_STATE_S = 300, 600
 LATENESS_S = 600
 LATENESS = "10 minutes"
-STATE_GROUPS = 64  # raise with the cluster; fixed for the life of a checkpoint
+STORE_PARTS = 256  # hash folders of the candidate store; fixed for the life of a store
 
 
 def _local_first(df: DataFrame, keys: Sequence[str], tick: str, order: Sequence[str], k: int) -> DataFrame:
@@ -41,65 +42,83 @@ def _local_first(df: DataFrame, keys: Sequence[str], tick: str, order: Sequence[
 
 
 def _fold_by_key(
-    df: DataFrame, keys: Sequence[str], tick: str, order: Sequence[str], first: int, hold: int, groups: int, step: Callable[[tuple | None, int], tuple[bool, tuple]]
+    df: DataFrame, keys: Sequence[str], ts: str, tick: str, order: Sequence[str], first: int | None, hold_ms: int, tick_ms: int, fold: Callable[[tuple | None, pd.DataFrame], tuple[list[bool], tuple]]
 ) -> DataFrame:
-    """Filter a stream by a per-key fold over its ticks.
+    """Filter a stream by a fold over the ticks of each key.
 
-    ``step(state, tick)`` says whether the row passes and gives the next (a, b) state.  Keys
-    are hashed into ``groups`` state groups, so Python is called per group and batch, not per
-    key.  Entries whose ``a`` lies more than ``hold`` ticks behind are forgotten.
+    ``fold(state, rows)`` takes a key's rows of a micro-batch in order and says which pass, with
+    the next state (a tick and a count).  State is kept per key, so it spreads with the keys; it
+    ends when the watermark is ``hold_ms`` past the state's tick.  The event-time timeout also
+    makes Spark drop rows later than the watermark, so no row can meet a forgotten state that
+    still mattered.
     """
-    src = df.withColumn("__key", F.to_json(F.struct(*keys))).withColumn("__group", F.pmod(F.xxhash64("__key"), F.lit(groups)))
-    src = _local_first(src, ["__key"], tick, order, first)
+    src = df.withColumn("__key", F.to_json(F.struct(*keys)))
+    if first is not None:
+        src = _local_first(src, ["__key"], tick, order, first)
     schema = src.schema
     cols = [f.name for f in schema.fields]
 
-    def run(group, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = {k: (a, b) for k, a, b in zip(*state.get)} if state.exists else {}
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches)).sort_values(list(order))
-        keep = []
-        for key, at in zip(pdf["__key"].tolist(), pdf[tick].tolist()):
-            passed, held[key] = step(held.get(key), at)
-            keep.append(passed)
-        oldest = int(pdf[tick].max()) - hold
-        held = {k: v for k, v in held.items() if v[0] >= oldest}
-        state.update((list(held), [v[0] for v in held.values()], [v[1] for v in held.values()]))
+        keep, held = fold(state.get if state.exists else None, pdf)
+        state.update(held)
+        state.setTimeoutTimestamp(max(held[0] * tick_ms + hold_ms, state.getCurrentWatermarkMs() + 1))
         yield pdf.loc[keep, cols]
 
-    state_schema = "keys array<string>, a array<bigint>, b array<bigint>"
-    out = src.groupBy("__group").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-    return out.drop("__key", "__group")
+    out = src.groupBy("__key").applyInPandasWithState(run, schema, "at bigint, used bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.drop("__key")
 
 
 def dedup_events_stream(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_s: int = DEDUP_WINDOW_S, state_s: int = DEDUP_STATE_S, lateness_s: int = LATENESS_S, groups: int = STATE_GROUPS
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_s: int = DEDUP_WINDOW_S, state_s: int = DEDUP_STATE_S, lateness_s: int = LATENESS_S
 ) -> DataFrame:
     """Passes an event unless the key's last passed event is less than ``window_s`` old.
 
     Exact for ordered arrival; inside a micro-batch rows are ordered by second and tie.  Rows
-    later than ``lateness_s`` are dropped; a key is forgotten ``state_s`` (at least the
-    window) plus the lateness after its last passed event.
+    later than the watermark, ``lateness_s`` behind the latest event, are dropped; a key is
+    forgotten when the watermark is ``state_s`` (at least the window) past its last passed event.
     """
     src = df.withColumn("__sec", F.unix_seconds(F.col(ts))).withWatermark(ts, f"{lateness_s} seconds")
 
-    def step(state, sec):
-        if state is not None and sec - state[0] < window_s:
-            return False, state
-        return True, (sec, 0)
+    def fold(state, pdf):
+        secs = pdf["__sec"].to_numpy()
+        keep = np.zeros(len(secs), dtype=bool)
+        at = int(np.searchsorted(secs, state[0] + window_s)) if state else 0
+        last = state[0] if state else None
+        while at < len(secs):  # one step for each passed event
+            keep[at] = True
+            last = int(secs[at])
+            at = int(np.searchsorted(secs, last + window_s))
+        return keep, (last, 0)
+
+    return _fold_by_key(src, keys, ts, "__sec", ["__sec", tie], 1, max(state_s, window_s) * 1000, 1000, fold).drop("__sec")
 
-    hold = max(state_s, window_s) + lateness_s
-    return _fold_by_key(src, keys, "__sec", ["__sec", tie], 1, hold, groups, step).drop("__sec")
 
+def stream_throttle(df: DataFrame, key: str, ts: str, tie: str, max_requests: int, window_ms: int, lateness_s: int = LATENESS_S, permits: str | None = None) -> DataFrame:
+    """T4: requests a fixed window lets pass; state is the window's start and count.
 
-def stream_throttle(df: DataFrame, key: str, ts: str, tie: str, max_requests: int, window_ms: int, lateness_s: int = LATENESS_S, groups: int = STATE_GROUPS) -> DataFrame:
-    """T4: requests a fixed window lets pass; state is the window's start and count."""
+    With ``permits`` a request takes that many; one that does not fit takes nothing, and a
+    smaller later one may still pass.
+    """
     src = df.withColumn("__ms", F.unix_millis(F.col(ts))).withWatermark(ts, f"{lateness_s} seconds")
 
-    def step(state, ms):
-        start, used = (ms, 0) if state is None or ms - state[0] >= window_ms else state
-        return used < max_requests, (start, used + (used < max_requests))
+    def fold(state, pdf):
+        start, used = state if state else (None, 0)
+        keep = []
+        wanted = pdf[permits].fillna(1).tolist() if permits else [1] * len(pdf)
+        for ms, n in zip(pdf["__ms"].tolist(), wanted):
+            if start is None or ms - start >= window_ms:
+                start, used = ms, 0
+            fits = used + n <= max_requests
+            used += n if fits else 0
+            keep.append(fits)
+        return keep, (int(start), int(used))
 
-    return _fold_by_key(src, [key], "__ms", ["__ms", ts, tie], max_requests, window_ms + lateness_s * 1000, groups, step).drop("__ms")
+    first = None if permits else max_requests
+    return _fold_by_key(src, [key], ts, "__ms", ["__ms", ts, tie], first, window_ms, 1, fold).drop("__ms")
 
 
 def reactive_candidates(events: DataFrame, as_of=None, body: str = "body", tie: str = "event_id") -> DataFrame:
@@ -130,17 +149,20 @@ def append_if_absent(batch: DataFrame, batch_id: int, path: str, order: str) ->
     """T2 sink for ``foreachBatch``: write rows whose key is not stored yet.
 
     Every micro-batch owns one folder and overwrites it, so a replayed batch does not
-    duplicate; keys are checked against the other batches' folders only.
+    duplicate; keys are checked against the earlier batches' folders, and there only in the hash
+    folders that the batch's own keys fall in.
     """
     spark = batch.sparkSession
     keys = list(STORE_KEYS)
     rows = with_store_keys(batch)
     rest = [c for c in rows.columns if c not in keys]
     fresh = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__v")).select(*keys, "__v.*")
+    fresh = fresh.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(STORE_PARTS)).cast("int"))
     if batch_id > 0:
-        stored = spark.read.parquet(path).filter(F.col("batch") < batch_id).select(*keys)
-        fresh = fresh.join(stored, keys, "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most STORE_PARTS numbers
+        stored = spark.read.parquet(path).filter((F.col("batch") < batch_id) & F.col("part").isin(touched)).select("part", *keys)
+        fresh = fresh.join(stored, ["part", *keys], "left_anti")
+    fresh.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={batch_id}")
 
 
 def opt_out_tombstones(events: DataFrame) -> DataFrame:

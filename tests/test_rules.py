@@ -64,7 +64,7 @@ def test_quality_confidence_null_passes(spark):
 def test_eligibility_order_and_empty_window(spark):
     df = frame(spark, cand(window=""), cand(window=None), cand(channels={"email": True, "sms": False}, window=None), cand())
     got = df.select(fl.filter_eligibility({"requiredChannels": ["sms", "email"]}, "e").alias("r")).select("r.*").collect()
-    assert got[2].reason == "Not eligible for required channels: sms"
+    assert got[2].reason == "closed channels: sms"
     assert codes(df, fl.filter_eligibility({}, "e")) == ["TIMING_WINDOW_MISSING", "TIMING_WINDOW_MISSING", "TIMING_WINDOW_MISSING", None]
     assert codes(df, fl.filter_eligibility({"checkTimingWindow": False}, "e")) == [None] * 4
 
