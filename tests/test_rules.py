@@ -137,7 +137,7 @@ def test_nested_path_null_hop_and_defaults(spark):
 def test_context_without_entries_is_an_error(spark):
     df = spark.createDataFrame([("c", "product", "s", "2024-01-01T00:00:00Z", None, None)], "c string, t string, s string, e string, m string, p string")
     mapping = {"customerId": "c", "subjectType": "t", "subjectId": "s", "eventDate": {"sourceField": "e", "type": "INSTANT"}, "marketplace": "m", "programId": "p"}
-    assert mp.bad_rows(mp.to_candidates(df, mapping, AS_OF)).select("errors").first()[0] == ["Context is empty"]
+    assert mp.bad_rows(mp.to_candidates(df, mapping, AS_OF)).select("errors").first()[0] == ["context: no entry"]
 
 
 @pytest.mark.parametrize(
