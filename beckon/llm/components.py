@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return nodes.union(roots).distinct()
+
+
+def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of each item's connected set."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root

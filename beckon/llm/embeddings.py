@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beckon.llm.common import Batches, materialize, mix64
-from beckon.llm.components import components
+from beckon.llm.components import components, roots_of
 
 THRESHOLD = 0.93
 RECALL = 0.999
@@ -108,20 +108,6 @@ def plan_tables(count: int, dim: int, threshold: float, recall: float, probes: i
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(rate, 0.999)))), hashes
 
 
-def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each item's connected set."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def compare(key: int, first: int, second: int, node: np.ndarray, count: np.ndarray, block: np.ndarray, vectors: np.ndarray, keys: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links found in a pair of blocks of one bucket: node, linked rows, least connected node."""
     order = np.argsort(node, kind="stable")

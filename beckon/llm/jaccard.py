@@ -11,9 +11,13 @@ the OR of its members' bitmaps, their size range and the largest number of shing
 traversal expands pairs of tree nodes and prunes a pair whose sizes cannot be similar, whose members already
 hang together, or whose largest possible overlap, ``popcount(a & b)`` plus shared bits, is too small.
 
-Rounds: first every node is compared with one hub of each of its entries, which joins copies with work linear in
-their number; only entries that still hold several components are traversed.  Surviving pairs are verified on the
-sets.  Entries of more than ``BLOCK`` nodes are cut into pairs of blocks.
+Rounds: first every node is compared with the hub that it shares most of its entries with, which joins copies
+with work linear in their number.  Entries that still hold several components are traversed with coarse bitmaps of
+the sets' longer prefixes (similar sets share at least ``EXTRA`` hundredths there); nodes of surviving pairs form
+clusters, so that a pair is looked at once and not under every entry that it shares.  Clusters are traversed with
+fine bitmaps of the whole sets; a surviving pair is verified on the sets unless its nodes already hang together, so
+what leaves a task are links of a spanning forest, never all pairs.  Entries and clusters of more than ``BLOCK`` nodes
+are cut into pairs of blocks.
 
 Edge cases: a null, empty or blank text has the empty set and links with nothing; a text shorter than a shingle
 is one shingle; repeated rows share a component; a null key is kept as a row; an empty table gives no rows;
@@ -30,16 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beckon.llm.common import Batches, materialize, mix64, slices, utf8, whole_groups, word_hashes
-from beckon.llm.components import components
+from beckon.llm.components import components, roots_of
 
 WIDTH = 4
 PERCENT = 85
 HOT = 100  # documents from which on a shingle goes to the end of the order
 HOT_LIMIT = 1 << 18  # the most frequent ones only: the order is broadcast
 CHUNK = 4 << 20  # shingles counted at once
-BLOCK = 2048
+BLOCK = 1024
 FAN = 8
 LEAF = 32
+STEP = 2048
+EXTRA = 30
+STRONG = 0.3  # share of a node's prefix that makes a hub worth a comparison
 BLOOM_BITS = (20, 28)
 _WEIGHTS = mix64(np.arange(64, dtype=np.uint64) + np.uint64(500)) | np.uint64(1)
 
@@ -75,9 +82,14 @@ def least_overlap(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
 
 
-def prefix(shingles: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
+def spare(n, percent: int):
+    """Shingles that the coarse prefix of a set of ``n`` has more than its entries; similar sets share one more there."""
+    return EXTRA * n // 100
+
+
+def prefix(shingles: np.ndarray, hot: np.ndarray, percent: int, more: int = 0) -> np.ndarray:
     n = len(shingles)
-    size = n - int(least_overlap(n, percent)) + 1
+    size = n - int(least_overlap(n, percent)) + 1 + more
     if len(hot):
         at = np.searchsorted(hot, shingles)
         common = hot[np.minimum(at, len(hot) - 1)] == shingles
@@ -151,9 +163,9 @@ def bloom_filter(nodes: DataFrame) -> tuple[int, np.ndarray]:
     return bits, table
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Bitmap of 8 to 16 bits a shingle, as 64-bit words (a power of two of them)."""
-    size = 1 << max(6, (8 * len(shingles) - 1).bit_length())
+def signature(shingles: np.ndarray, each: int = 8) -> np.ndarray:
+    """Bitmap of at least ``each`` bits a shingle, as 64-bit words (a power of two of them)."""
+    size = 1 << max(6, (each * len(shingles) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[mix64(shingles) & np.uint64(size - 1)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -162,9 +174,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 class SignatureTree:
     """Levels of nodes over members of one bitmap width, sorted by component and size."""
 
-    def __init__(self, rows: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> None:
+    def __init__(self, rows: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray, marked: np.ndarray, group: np.ndarray) -> None:
+        """``marked``: shingles that a member's bitmap stands for."""
         self.rows = rows
-        excess = sizes - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
+        excess = marked - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
         self.levels = [(bitmaps, sizes, sizes, excess, group)]
         while len(self.levels[-1][1]) > LEAF:
             maps, low, high, most, own = self.levels[-1]
@@ -173,7 +186,7 @@ class SignatureTree:
             self.levels.append((np.bitwise_or.reduceat(maps, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(most, at), np.where(same & (own[at] >= 0), own[at], -1)))
 
 
-def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int, coarse: bool) -> np.ndarray:
     """Which pairs of tree nodes can hold a similar pair of different components."""
     keep = (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i]) & ((a[4][i] != b[4][j]) | (a[4][i] < 0))
     live = np.flatnonzero(keep)
@@ -181,42 +194,55 @@ def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) ->
     for at in range(0, len(live), step):
         k = live[at : at + step]
         shared = np.bitwise_count(a[0][i[k]] & b[0][j[k]]).sum(axis=1, dtype=np.int64) + np.minimum(a[3][i[k]], b[3][j[k]])
-        keep[k] = (100 + percent) * shared >= percent * (a[1][i[k]] + b[1][j[k]])
+        if coarse:
+            keep[k] = shared > spare(np.minimum(a[1][i[k]], b[1][j[k]]), percent)
+        else:
+            keep[k] = (100 + percent) * shared >= percent * (a[1][i[k]] + b[1][j[k]])
     return keep
 
 
-def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int, coarse: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members that may be similar; ``a is b`` gives each pair once."""
-    depth_a, depth_b = len(a.levels) - 1, len(b.levels) - 1
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[-1][1])), np.arange(len(b.levels[-1][1])), indexing="ij"))
-    while True:
+    top = [np.arange(len(t.levels[-1][1])) for t in (a, b)]
+    i, j = (x.ravel() for x in np.meshgrid(*top, indexing="ij"))
+    open_pairs = [(len(a.levels) - 1, len(b.levels) - 1, i, j)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while open_pairs:
+        depth_a, depth_b, i, j = open_pairs.pop()
         if a is b:
             keep = i < j if depth_a == 0 else i <= j
             i, j = i[keep], j[keep]
-        keep = possible(a.levels[depth_a], b.levels[depth_b], i, j, percent)
+        keep = possible(a.levels[depth_a], b.levels[depth_b], i, j, percent, coarse)
         i, j = i[keep], j[keep]
-        if depth_a == depth_b == 0 or not len(i):
-            return a.rows[i], b.rows[j]
-        if depth_a and depth_a >= depth_b:
-            i, j = (i[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(j, FAN)
-            keep = i < len(a.levels[depth_a - 1][1])
-            i, j, depth_a = i[keep], j[keep], depth_a - 1
-            if a is not b:
-                continue
-        if depth_b > depth_a or a is b:
-            j, i = (j[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(i, FAN)
-            keep = j < len(b.levels[depth_b - 1][1])
-            i, j, depth_b = i[keep], j[keep], depth_b - 1
-
-
-def candidates(maps: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if depth_a == depth_b == 0:
+            found.append((a.rows[i], b.rows[j]))
+            continue
+        down_a = depth_a > 0 and (a is b or depth_a >= depth_b)
+        down_b = depth_b > 0 and (a is b or not down_a)
+        for at in range(0, len(i), STEP):  # few pairs at a time: depth first keeps memory bounded
+            x, y = i[at : at + STEP], j[at : at + STEP]
+            if down_a:
+                x, y = (x[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(y, FAN)
+                keep = x < len(a.levels[depth_a - 1][1])
+                x, y = x[keep], y[keep]
+            if down_b:
+                y, x = (y[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(x, FAN)
+                keep = y < len(b.levels[depth_b - 1][1])
+                x, y = x[keep], y[keep]
+            open_pairs.append((depth_a - down_a, depth_b - down_b, x, y))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def candidates(maps: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, coarse: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs between ``left`` and ``right`` rows (the same rows: within) that pass the traversal, by bitmap width."""
     widths = np.array([len(m) for m in maps])
+    marked = sizes - least_overlap(sizes, percent) + 1 + spare(sizes, percent) if coarse else sizes
+    marked = np.minimum(marked, sizes)
 
     def tree(rows: np.ndarray, width: int) -> SignatureTree:
         rows = rows[np.lexsort((sizes[rows], group[rows]))]
         folded = np.stack([maps[k] if len(maps[k]) == width else np.bitwise_or.reduce(maps[k].reshape(-1, width), axis=0) for k in rows])
-        return SignatureTree(rows, folded, sizes[rows], group[rows])
+        return SignatureTree(rows, folded, sizes[rows], marked[rows], group[rows])
 
     out = []
     within = left is right
@@ -224,13 +250,13 @@ def candidates(maps: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, lef
         own, other = left[widths[left] == w], right[widths[right] == w]
         if within and len(own) > 1:
             one = tree(own, w)
-            out.append(dual_traversal(one, one, percent))
+            out.append(dual_traversal(one, one, percent, coarse))
         elif not within and len(own) and len(other):
-            out.append(dual_traversal(tree(own, w), tree(other, w), percent))
+            out.append(dual_traversal(tree(own, w), tree(other, w), percent, coarse))
         for x, y in ((left, right),) if within else ((left, right), (right, left)):
             own, wide = x[widths[x] == w], y[widths[y] == 2 * w]  # similar sizes differ by less than two
             if len(own) and len(wide):
-                out.append(dual_traversal(tree(own, w), tree(wide, w), percent))
+                out.append(dual_traversal(tree(own, w), tree(wide, w), percent, coarse))
     return out
 
 
@@ -242,10 +268,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for b in slices(whole, "x", 8 << 20):
                 keep = []
                 for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    at = np.searchsorted(v, u)
-                    shared = int((v[np.minimum(at, len(v) - 1)] == u).sum())
-                    keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
+                    keep.append(alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
                 done = b.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([done.column("a"), done.column("b")], names=["a", "b"])
 
@@ -254,6 +277,116 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def load_sets(docs: DataFrame, nodes: DataFrame, text: str, width: int) -> DataFrame:
+    """(node, set) of the wanted nodes: one pass over the texts behind a Bloom filter."""
+    bits, table = bloom_filter(nodes)
+    wanted = docs.sparkSession.sparkContext.broadcast(table)
+
+    def load(batches: Batches) -> Batches:
+        for _, sets in each_set("text", width, batches):
+            sets = [s for s in sets if len(s)]
+            found = np.array([node_of(s) for s in sets], dtype=np.int64)
+            keep = np.ones(len(found), dtype=bool)
+            for p in bloom_places(found, bits):
+                keep &= (wanted.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            kept = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(found[kept]), pa.array([sets[k].tobytes() for k in kept], pa.binary())], names=["node", "set"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(load, "node long, set binary")
+    return materialize(rows.groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
+
+
+def meet(batches: Batches) -> Batches:
+    """Of rows sorted by entry and node: those of entries with several nodes, each with the hub, the least node."""
+    entry, hub, waiting = None, 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        e, node, n = (b.column(c).to_numpy() for c in ("entry", "node", "n"))
+        at = np.concatenate(([0], np.flatnonzero(np.diff(e)) + 1))
+        sizes = np.diff(np.append(at, len(e)))
+        hubs, full = node[at].copy(), sizes > 1
+        extra = []
+        if entry is not None and e[0] == entry:
+            extra = [waiting] if waiting else []
+            hubs[0], full[0] = hub, True
+        keep = np.repeat(full, sizes)
+        cols = [e[keep], node[keep], n[keep], np.repeat(hubs, sizes)[keep]]
+        cols = [np.concatenate([c, np.array([x[k] for x in extra], c.dtype)]) for k, c in enumerate(cols)]
+        entry, hub = e[-1], hubs[-1]
+        waiting = None if full[-1] else (e[-1], node[-1], n[-1], node[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["entry", "node", "n", "hub"])
+
+
+def coarse_task(percent: int):
+    """Over rows sorted by (entry, i, j): which nodes hang together by pairs that may be similar."""
+
+    def run(batches: Batches) -> Batches:
+        for table, groups in whole_groups(batches, ["entry", "i", "j"]):
+            node, n, component, block, i, j = (table.column(c).to_numpy() for c in ("node", "n", "component", "block", "i", "j"))
+            maps, out = table.column("map"), [np.empty((0, 2), np.int64)]
+            for g in groups:
+                if len(g) < 2:
+                    continue
+                _, own = np.unique(component[g], return_inverse=True)
+                own_maps = [np.frombuffer(m, np.uint64) for m in maps.slice(g[0], len(g)).to_pylist()]
+                pairs = candidates(own_maps, n[g], own, *sides(block[g], i[g[0]], j[g[0]]), percent, True)
+                a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
+                root = roots_of(len(g), a, b)
+                met = np.flatnonzero(root != np.arange(len(g)))
+                out.append(np.stack([node[g][met], node[g][root[met]]], axis=1))
+            edges = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def sides(block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    if i == j:
+        everyone = np.arange(len(block))
+        return everyone, everyone
+    return np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+
+def alike(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    if len(u) > len(v):
+        u, v = v, u
+    shared = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+    return 100 * shared >= percent * (len(u) + len(v) - shared)
+
+
+def fine_task(percent: int):
+    """Over rows sorted by (cluster, i, j): verified links that join components."""
+
+    def run(batches: Batches) -> Batches:
+        for table, groups in whole_groups(batches, ["cluster", "i", "j"]):
+            node, component, block, i, j = (table.column(c).to_numpy() for c in ("node", "component", "block", "i", "j"))
+            column, links = table.column("set"), []
+            for g in groups:
+                if len(g) < 2:
+                    continue
+                sets = [np.frombuffer(x, np.uint64) for x in column.slice(g[0], len(g)).to_pylist()]
+                n = np.array([len(x) for x in sets])
+                _, own = np.unique(component[g], return_inverse=True)
+                up = list(range(int(own.max()) + 1))
+                for a, b in candidates([signature(x) for x in sets], n, own, *sides(block[g], i[g[0]], j[g[0]]), percent):
+                    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                        p, q = find_root(up, own[x]), find_root(up, own[y])
+                        if p != q and alike(sets[x], sets[y], percent):
+                            up[max(p, q)] = min(p, q)
+                            links.append((node[g[x]], node[g[y]]))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in links], pa.int64()), pa.array([k[1] for k in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def find_root(up: list[int], k: int) -> int:
+    while up[k] != k:
+        up[k] = up[up[k]]
+        k = up[k]
+    return k
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row: components of the exact similarity graph, by smallest key."""
     sc = docs.sparkSession.sparkContext
@@ -263,97 +396,64 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
     def describe(batches: Batches) -> Batches:
         for b, sets in each_set("text", width, batches):
-            heads = [prefix(s, order.value, percent).tobytes() for s in sets]
-            cols = [b.column("key"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(heads, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "n", "head"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["key", "node", "n"])
 
-    named = materialize(rows.mapInArrow(describe, f"key {kind}, node long, n long, head binary"), "shingle-nodes")
-    classes = named.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"))
+    named = materialize(rows.mapInArrow(describe, f"key {kind}, node long, n long"), "shingle-nodes")
+
+    def once(batches: Batches):
+        """Sets by node; copies of a set in one task count once."""
+        seen: set[int] = set()
+        for _, sets in each_set("text", width, batches):
+            fresh = {node_of(s): s for s in sets if len(s)}
+            fresh = {k: s for k, s in fresh.items() if k not in seen}
+            seen.update(fresh)
+            yield fresh
 
     def enter(batches: Batches) -> Batches:
-        for b in batches:
-            heads = [np.frombuffer(h, np.int64) for h in b.column("head").to_pylist()]
+        for fresh in once(batches):
+            heads = [prefix(s, order.value, percent) for s in fresh.values()]
             times = np.array([len(h) for h in heads], dtype=np.int64)
-            cols = [np.concatenate(heads) if heads else np.empty(0, np.int64), np.repeat(b.column("node").to_numpy(), times), np.repeat(b.column("n").to_numpy(), times)]
+            n = np.array([len(s) for s in fresh.values()], dtype=np.int32)
+            cols = [np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64), np.repeat(np.array(list(fresh), dtype=np.int64), times), np.repeat(n, times)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["entry", "node", "n"])
 
-    def meet(batches: Batches) -> Batches:
-        """Rows of entries with several nodes, each with the entry's hub, its least node."""
-        entry, hub, hub_n, waiting = None, 0, 0, False
-        names = ["entry", "node", "n", "hub", "hub_n"]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            e, node, n = (b.column(c).to_numpy() for c in ("entry", "node", "n"))
-            at = np.concatenate(([0], np.flatnonzero(np.diff(e)) + 1))
-            sizes = np.diff(np.append(at, len(e)))
-            hubs, hubs_n, full = node[at].copy(), n[at].copy(), sizes > 1
-            extra = []
-            if entry is not None and e[0] == entry:
-                if waiting:
-                    extra = [(entry, hub, hub_n, hub, hub_n)]
-                hubs[0], hubs_n[0], full[0] = hub, hub_n, True
-            keep = np.repeat(full, sizes)
-            cols = [e[keep], node[keep], n[keep], np.repeat(hubs, sizes)[keep], np.repeat(hubs_n, sizes)[keep]]
-            cols = [np.concatenate([c, np.array([x[k] for x in extra], c.dtype)]) for k, c in enumerate(cols)]
-            entry, hub, hub_n, waiting = e[-1], hubs[-1], hubs_n[-1], not full[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-    entries = classes.mapInArrow(enter, "entry long, node long, n long").repartition("entry").sortWithinPartitions("entry", "node")
-    met = materialize(entries.mapInArrow(meet, "entry long, node long, n long, hub long, hub_n long"), "shingle-entries")
-
-    bits, table = bloom_filter(met.select("node").distinct())
-    wanted = sc.broadcast(table)
+    def sketch(batches: Batches) -> Batches:
+        for fresh in once(batches):
+            maps = [signature(prefix(s, order.value, percent, spare(len(s), percent)), 4).tobytes() for s in fresh.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array([len(s) for s in fresh.values()], pa.int64()), pa.array(maps, pa.binary())], names=["node", "n", "map"])
 
-    def load(batches: Batches) -> Batches:
-        for _, sets in each_set("text", width, batches):
-            sets = [s for s in sets if len(s)]
-            nodes = np.array([node_of(s) for s in sets], dtype=np.int64)
-            keep = np.ones(len(nodes), dtype=bool)
-            for p in bloom_places(nodes, bits):
-                keep &= (wanted.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            kept = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array([sets[k].tobytes() for k in kept], pa.binary())], names=["node", "set"])
+    entries = rows.select("text").mapInArrow(enter, "entry long, node long, n int").repartition("entry").sortWithinPartitions("entry", "node")
+    met = materialize(entries.mapInArrow(meet, "entry long, node long, n int, hub long"), "shingle-entries")
 
-    sets = materialize(rows.select("text").mapInArrow(load, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
-    near = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("node") != F.col("hub"))
-    stars = met.filter(near).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = materialize(verified(stars, sets, percent), "shingle-links")
+    size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    shared = met.filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= STRONG * size)
+    stars = materialize(shared.groupBy("node").agg(F.max_by("hub", "c").alias("b")).select(F.col("node").alias("a"), "b"), "shingle-stars")
+    near = load_sets(docs, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), text, width)
+    links = materialize(verified(stars, near, percent), "shingle-links")
     joined = components(links)
 
-    grouped = met.select("entry", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_entries = grouped.groupBy("entry").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("entry", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = grouped.join(open_entries, "entry").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("entry", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def sign(batches: Batches) -> Batches:
-        for b in batches:
-            found = [np.frombuffer(s, np.uint64) for s in b.column("set").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in found], pa.int64()), pa.array([signature(s).tobytes() for s in found], pa.binary())], names=["node", "n", "map"])
-
-    signed = sets.mapInArrow(sign, "node long, n long, map binary")
-    loaded = dealt.join(signed, "node").repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
-
-    def traverse(batches: Batches) -> Batches:
-        for table, groups in whole_groups(batches, ["entry", "i", "j"]):
-            node, n, component, block, i, j = (table.column(c).to_numpy() for c in ("node", "n", "component", "block", "i", "j"))
-            maps = table.column("map")
-            found = []
-            for g in groups:
-                if len(g) < 2:
-                    continue
-                _, own = np.unique(component[g], return_inverse=True)
-                own_maps = [np.frombuffer(m, np.uint64) for m in maps.slice(g[0], len(g)).to_pylist()]
-                all_rows = np.arange(len(g))
-                left, right = (all_rows, all_rows) if i[g[0]] == j[g[0]] else (np.flatnonzero(block[g] == i[g[0]]), np.flatnonzero(block[g] == j[g[0]]))
-                found += [(node[g][a], node[g][b]) for a, b in candidates(own_maps, n[g], own, left, right, percent) if len(a)]
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    survivors = loaded.select("entry", "i", "j", "node", "n", "component", "block", "map").mapInArrow(traverse, "a long, b long").distinct()
-    more = materialize(verified(survivors, sets, percent), "shingle-links")
+    grouped = met.select("entry", "node").distinct().join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # entries with the same nodes ask the same question; one of them stays
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    still = grouped.groupBy("entry").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), *marks).filter("low != high")
+    still = still.groupBy("m", "mark1", "mark2").agg(F.min("entry").alias("entry")).select("entry", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+
+    def in_blocks(frame: DataFrame, group: str) -> DataFrame:
+        """Each row once for every pair (i, j) of its group's blocks that has its own."""
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        out = frame.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return out.select(group, "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    coarse = rows.select("text").mapInArrow(sketch, "node long, n long, map binary").groupBy("node").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    loaded = in_blocks(grouped.join(still, "entry"), "entry").join(coarse, "node").repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    edges = loaded.select("entry", "i", "j", "node", "n", "component", "block", "map").mapInArrow(coarse_task(percent), "a long, b long")
+    clusters = materialize(components(edges).withColumnRenamed("component", "cluster"), "shingle-clusters")
+
+    sets = load_sets(docs, clusters.select("node"), text, width)
+    sized = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = clusters.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sized, "cluster")
+    loaded = in_blocks(placed, "cluster").join(sets, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    more = materialize(loaded.select("cluster", "i", "j", "node", "component", "block", "set").mapInArrow(fine_task(percent), "a long, b long"), "shingle-links")
     final = components(links.union(more)).withColumnRenamed("component", "root")
     placed = named.select("key", "node", "n").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("key").alias("least"))

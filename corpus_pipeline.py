@@ -36,7 +36,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (8): of every group of similar documents the one with the least id stays.
 
-    Repeated rows of that id are one document; documents without words group with nothing.
+    Repeated rows of that id are one document; documents without words group with nothing, and rows
+    without an id stay, as no key tells them apart.
     """
     groups = jaccard.similar_groups(docs, width=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
     gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
