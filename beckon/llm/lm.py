@@ -1,19 +1,21 @@
 """LM scoring (9): Katz backoff over words.
 
-A bigram model over words and one end per text, with a begin mark as first history.  Counts of one to five are
-discounted by Good-Turing; bigrams seen fewer than ``MIN_COUNT`` times are left to the backoff.  The backoff
-weight of a history is what its bigrams leave over, divided by what their words leave over of the unigram
-distribution, so every conditional distribution sums to one.  Unigrams are discounted likewise; their left-over
-mass is the probability of a word that training never saw.
+A model of ``order`` words (two by default) over words and one end per text, with a begin mark as first history; a
+text's first tokens have the shorter histories there are.  Counts of one to five are discounted by Good-Turing at each
+order; n-grams seen fewer than ``MIN_COUNT`` times would be left to the backoff, and at one none is.  The backoff weight
+of a history is what its n-grams leave over, divided by what their words leave over of the distribution of the next
+lower order, so every conditional distribution sums to one.  Unigrams are discounted likewise; their left-over mass is
+the probability of a word that training never saw.
 
 The model lives in tables partitioned by a hash of the n-gram.  Tokens travel as packed arrays: documents are
 tokenised once into batches of about ``BATCH_TOKENS`` tokens over a local dictionary, stored bucketed by batch.
 Each round sends every batch's distinct n-grams, sorted, to the partitions of the table; a partition adds up the
-counts of the training texts and answers in the order asked.  Three rounds (words, bigrams, backoff weights) give
-a batch all it needs to evaluate its tokens; the batches themselves are never shuffled.  Frequent words are one
+counts of the training texts and answers in the order asked.  One round for the words and two for each higher order
+(counts, backoff weights) give a batch all it needs to evaluate its tokens; the batches themselves are never shuffled.
+The weight of an n-gram history that only one batch has is worked out there and not asked for.  Frequent words are one
 entry per batch, so none is a hot key, and a partition's size is fixed by their number, which grows with the data.
 
-Words are known by 64-bit hashes, bigrams inside a partition by 40 bits more than those that choose it.
+Words are known by 64-bit hashes, n-grams inside a partition by 40 bits more than those that choose it.
 
 Edge cases: a null or empty text is its end alone; repeated rows train and are scored each; without training text
 the unknown word has probability one; an empty table gives no rows; other columns are ignored.
@@ -22,6 +24,7 @@ the unknown word has probability one; an empty table gives no rows; other column
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,12 @@ from beckon.llm.common import Batches, materialize, mix64, scratch_dir, slices,
 
 BATCH_TOKENS = 1 << 20
 PART_BYTES = 16 << 20
-MIN_COUNT = 2
+MIN_COUNT = 1
+ORDER = 2
 DISCOUNTED = 5
 BEGIN, END = mix64(np.array([101, 102], dtype=np.uint64))
-_MANY = 127  # larger counts are written apart
+_MANY = 63  # larger counts are written apart
+_SHARED = 64
 _OWNER = 128
 _STATS = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
 ANSWER = "kind string, batch long, part int, data binary, total double, types double, " + ", ".join(f"{s} double" for s in _STATS)
@@ -131,27 +136,48 @@ def store(batches: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+@dataclass
+class Level:
+    """A batch's distinct n-grams of one length, in the order of their hashes."""
+
+    hashes: np.ndarray
+    which: np.ndarray  # by token, -1 where the text has no such n-gram yet
+    first: np.ndarray  # place of the history in the level below
+    suffix: np.ndarray  # place of the n-gram without its first word in the level below
+
+
 class Batch:
-    """One stored batch with its bigrams."""
+    """One stored batch with its n-grams."""
 
     def __init__(self, row: dict) -> None:
         read = lambda c, t: np.frombuffer(row[c], t)
         self.ids = row["ids"]
         self.sizes, self.held = read("sizes", np.uint32).astype(np.int64), read("held", np.uint8).astype(bool)
         self.tokens, self.words, self.counts = read("tokens", np.uint32).astype(np.int64), read("words", np.uint64), read("counts", np.int64)
-        self.history = np.empty_like(self.tokens)
-        self.history[1:] = self.tokens[:-1]
-        self.history[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.words, BEGIN)
 
-    def bigrams(self) -> None:
-        """Distinct bigrams in the order of their hashes: ``first``, ``second``, ``hashes``; ``which`` by token."""
-        code, which = np.unique(self.history * len(self.words) + self.tokens, return_inverse=True)
-        first, second = code // len(self.words), code % len(self.words)
-        hashes = mix64(self.words[first] * np.uint64(0xD6E8FEB86659FD93) + self.words[second])
-        order = np.argsort(hashes, kind="stable")
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        self.first, self.second, self.hashes, self.which = first[order], second[order], hashes[order], back[which]
+    def levels(self, order: int) -> list[Level]:
+        """Levels 1 to ``order``, from index 1 on."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        place = np.arange(len(self.tokens)) - np.repeat(starts, self.sizes)
+        none = np.zeros(0, np.int64)
+        own = [Level(self.words, none, none, none), Level(self.words, self.tokens, none, none)]
+        history = np.empty_like(self.tokens)
+        for n in range(2, order + 1):
+            low = own[-1]
+            history[1:] = low.which[:-1]
+            if n == 2:
+                history[starts] = np.searchsorted(self.words, BEGIN)
+            at = np.flatnonzero(place >= n - 2)
+            code, some, which = np.unique(history[at] * len(self.words) + self.tokens[at], return_index=True, return_inverse=True)
+            first, last = code // len(self.words), code % len(self.words)
+            hashes = mix64(low.hashes[first] * np.uint64(0xD6E8FEB86659FD93) + self.words[last])
+            order_of = np.argsort(hashes, kind="stable")
+            back = np.empty_like(order_of)
+            back[order_of] = np.arange(len(order_of))
+            by_token = np.full(len(self.tokens), -1)
+            by_token[at] = back[which]
+            own.append(Level(hashes[order_of], by_token, first[order_of], low.which[at[some]][order_of]))
+        return own
 
 
 def parts_for(bytes_total: float) -> int:
@@ -177,11 +203,13 @@ def widen(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data[1:], np.uint64 if data[:1] == b"8" else np.uint32), dtype=np.uint64)
 
 
-def pack_counts(counts: np.ndarray, owner: np.ndarray | None = None) -> bytes:
-    """A byte for each count, with a mark for owners; counts from ``_MANY`` on follow in full."""
+def pack_counts(counts: np.ndarray, owner: np.ndarray | None = None, shared: np.ndarray | None = None) -> bytes:
+    """A byte for each count, with marks for owners and for what several batches have; counts from ``_MANY`` on follow in full."""
     code = np.minimum(counts, _MANY).astype(np.uint8)
     if owner is not None:
         code |= np.where(owner, _OWNER, 0).astype(np.uint8)
+    if shared is not None:
+        code |= np.where(shared, _SHARED, 0).astype(np.uint8)
     return np.array([len(counts)], np.uint32).tobytes() + code.tobytes() + counts[counts >= _MANY].astype(np.int64).tobytes()
 
 
@@ -193,6 +221,12 @@ def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return counts, code >= _OWNER
 
 
+def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, owners, and what several batches have."""
+    code = np.frombuffer(data[4 : 4 + int(np.frombuffer(data[:4], np.uint32)[0])], np.uint8)
+    return *unpack_counts(data), (code & _SHARED) > 0
+
+
 def pack_sums(counts: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> bytes:
     """Counts of all words, and the sums of those that have any."""
     some = np.flatnonzero(mass > 0)
@@ -218,6 +252,8 @@ def requests(batch: int, hashes: np.ndarray, keys, data: list[np.ndarray], pack,
     """One row for each partition: the keys it has of the batch, sorted, and what goes with them."""
     bounds = cut(hashes, bits)
     rows = [(p, batch, keys(hashes[a:b]), pack(*(d[a:b] for d in data))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+    if not rows:
+        return pa.RecordBatch.from_pylist([], schema=_REQUEST)
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _REQUEST, strict=True)], schema=_REQUEST)
 
 
@@ -254,7 +290,7 @@ def count_words(table: pa.Table) -> pa.Table:
     return answers("words", table, sizes, [pack_counts(c) for c in split(counts[place], sizes)], (float(real.sum()), float(len(real)), *of_counts(real)))
 
 
-def count_bigrams(table: pa.Table) -> pa.Table:
+def count_grams(table: pa.Table, kind: str) -> pa.Table:
     sizes, keys, place = grouped(table, [widen(k) for k in table.column("keys").to_pylist()])
     given = np.concatenate([unpack_counts(d)[0] for d in table.column("data").to_pylist()])
     counts = np.zeros(len(keys), np.int64)
@@ -262,29 +298,36 @@ def count_bigrams(table: pa.Table) -> pa.Table:
     first = np.full(len(keys), len(place))
     np.minimum.at(first, place, np.arange(len(place)))
     owner = np.zeros(len(place), dtype=bool)
-    owner[first] = True  # the batch that adds this bigram to its history's sums
+    owner[first] = True  # the batch that adds this n-gram to its history's sums
+    shared = (np.bincount(place, minlength=len(keys)) > 1)[place]
     real = counts[counts > 0]
-    return answers("bigrams", table, sizes, [pack_counts(c, o) for c, o in zip(split(counts[place], sizes), split(owner, sizes), strict=True)], (float(real.sum()), float(len(real)), *of_counts(real)))
+    parts = [pack_counts(*x) for x in zip(split(counts[place], sizes), split(owner, sizes), split(shared, sizes), strict=True)]
+    return answers(kind, table, sizes, parts, (float(real.sum()), float(len(real)), *of_counts(real)))
 
 
-def back_off(table: pa.Table) -> pa.Table:
+def weigh(count: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Backoff weight of each history, and by how much its denominator exceeds its count."""
-    sizes, words, place = grouped(table, [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()])
+    whole = np.where(count > 0, np.maximum(count, mass + 0.5), 1.0)
+    weight = np.where(count > 0, (1 - mass / whole) / (1 - lower), 1.0)
+    return np.stack([weight, whole - np.maximum(count, 1.0)])
+
+
+def back_off(table: pa.Table, kind: str, keys) -> pa.Table:
+    sizes, histories, place = grouped(table, [keys(k) for k in table.column("keys").to_pylist()])
     data = [unpack_sums(d) for d in table.column("data").to_pylist()]
-    count, mass, lower = (np.zeros(len(words)) for _ in range(3))
+    count, mass, lower = (np.zeros(len(histories)) for _ in range(3))
     count[place] = np.concatenate([d[0] for d in data])
     np.add.at(mass, place, np.concatenate([d[1] for d in data]))
     np.add.at(lower, place, np.concatenate([d[2] for d in data]))
-    whole = np.where(count > 0, np.maximum(count, mass + 0.5), 1.0)
-    weight = np.where(count > 0, (1 - mass / whole) / (1 - lower), 1.0)
-    parts = [np.concatenate([w, m]).tobytes() for w, m in zip(split(weight[place], sizes), split((whole - np.maximum(count, 1.0))[place], sizes), strict=True)]
-    return answers("weights", table, sizes, parts, None)
+    weight, extra = weigh(count, mass, lower)
+    parts = [np.concatenate([w, m]).tobytes() for w, m in zip(split(weight[place], sizes), split(extra[place], sizes), strict=True)]
+    return answers(kind, table, sizes, parts, None)
 
 
-def collected(table: pa.Table, kind: str, read) -> list[np.ndarray]:
-    """The answers of a kind, in the order of the partitions."""
+def collected(table: pa.Table, kind: str, read, none: bytes = b"") -> list[np.ndarray]:
+    """The answers of a kind, in the order of the partitions; those of ``none`` where nothing was asked."""
     found = sorted((p, d) for k, p, d in zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), table.column("data").to_pylist(), strict=True) if k == kind)
-    return [np.concatenate(x) for x in zip(*(read(d) for _, d in found), strict=True)]
+    return [np.concatenate(x) for x in zip(*(read(d) for _, d in found or [(0, none)]), strict=True)]
 
 
 def stats(answer: DataFrame, kind: str) -> tuple[float, float, list[float]]:
@@ -292,15 +335,17 @@ def stats(answer: DataFrame, kind: str) -> tuple[float, float, list[float]]:
     return row[0], row[1], list(row[2:])
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str = "held_out") -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str = "held_out", order: int = ORDER) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows with ``held`` do not train.
 
-    ``base_score`` is the additively smoothed unigram score, ``score`` the Katz model's log10 probability.
+    ``base_score`` is the additively smoothed unigram score, ``score`` the log10 probability of the Katz model of ``order``.
     """
+    if order < 1:
+        raise ValueError("the order must be one or more")
     kind = docs.schema[key].dataType.simpleString()
     batches = store(tokens_of(docs, key, text, held))
     tokens = batches.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    word_bits, bigram_bits = parts_for(2.0 * tokens), parts_for(6.0 * tokens)
+    word_bits, gram_bits = parts_for(2.0 * tokens), parts_for(6.0 * tokens)
 
     def ask_words(rows: Batches) -> Batches:
         for b in rows:
@@ -308,62 +353,109 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
                 words = np.frombuffer(r["words"], np.uint64)
                 yield requests(r["batch"], words, np.ndarray.tobytes, [np.frombuffer(r["counts"], np.int64)], pack_counts, word_bits)
 
-    def ask_bigrams(rows: Batches) -> Batches:
-        for b in rows:
-            for r in b.to_pylist():
-                own = Batch(r | {"ids": []})
-                own.bigrams()
-                train = np.repeat(~own.held, own.sizes)
-                counts = np.bincount(own.which, weights=train, minlength=len(own.hashes)).astype(np.int64)
-                yield requests(r["batch"], own.hashes, lambda h: narrow(h, bigram_bits), [counts], pack_counts, bigram_bits)
-
     def asked(rows: DataFrame, fn, answer, label: str) -> DataFrame:
         return materialize(rows.mapInArrow(fn, REQUEST).groupBy("part").applyInArrow(answer, ANSWER), label)
 
+    def grams(n: int) -> DataFrame:
+        def ask(rows: Batches) -> Batches:
+            for b in rows:
+                for r in b.to_pylist():
+                    batch = Batch(r | {"ids": []})
+                    own = batch.levels(n)[n]
+                    there = own.which >= 0
+                    train = np.repeat(~batch.held, batch.sizes)[there]
+                    counts = np.bincount(own.which[there], weights=train, minlength=len(own.hashes)).astype(np.int64)
+                    yield requests(r["batch"], own.hashes, lambda h: narrow(h, gram_bits), [counts], pack_counts, gram_bits)
+
+        def answer(table: pa.Table) -> pa.Table:
+            return count_grams(table, f"grams{n}")
+
+        return asked(batches.drop("ids", "n"), ask, answer, f"lm-grams{n}")
+
     words = asked(batches.select("batch", "words", "counts"), ask_words, count_words, "lm-words")
-    bigrams = asked(batches.drop("ids", "n"), ask_bigrams, count_bigrams, "lm-bigrams")
     total, types, of = stats(words, "words")
     unigrams = Unigrams(total, types, of)
-    factor = discounts(stats(bigrams, "bigrams")[2], MIN_COUNT)
-
-    def known(left: pa.Table, right: pa.Table) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        own = Batch(left.to_pylist()[0])
-        own.bigrams()
-        counts = collected(right, "words", unpack_counts)[0]
-        pairs, owner = collected(right, "bigrams", unpack_counts)
-        kept = np.where(pairs >= MIN_COUNT, factor[np.minimum(pairs, DISCOUNTED + 1)] * pairs, 0.0)
-        return own, counts, kept, owner, unigrams.probability(counts)
-
-    def ask_weights(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, counts, kept, owner, single = known(left, right)
-        mine = owner & (kept > 0)
-        mass = np.bincount(own.first[mine], weights=kept[mine], minlength=len(own.words))
-        lower = np.bincount(own.first[mine], weights=single[own.second[mine]], minlength=len(own.words))
-        return pa.Table.from_batches([requests(left.column("batch")[0].as_py(), own.words, np.ndarray.tobytes, [counts, mass, lower], pack_sums, word_bits)])
-
-    answers_of = words.filter("batch >= 0").unionByName(bigrams.filter("batch >= 0"))
-    weight_requests = batches.groupBy("batch").cogroup(answers_of.groupBy("batch")).applyInArrow(ask_weights, REQUEST)
-    weights = weight_requests.groupBy("part").applyInArrow(back_off, ANSWER)
+    answers_of, factor = words.filter("batch >= 0"), {}
+
+    def counted(own: list[Level], right: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of level ``n``, what of them its histories give directly, owners, and what several batches have."""
+        if n == 1:
+            counts = collected(right, "words", unpack_counts)[0]
+            return counts, unigrams.probability(counts), np.ones(len(counts), dtype=bool), np.ones(len(counts), dtype=bool)
+        counts, owner, shared = collected(right, f"grams{n}", unpack_grams, pack_counts(np.zeros(0, np.int64)))
+        return counts, np.where(counts >= MIN_COUNT, factor[n][np.minimum(counts, DISCOUNTED + 1)] * counts, 0.0), owner, shared
+
+    def sums(own: list[Level], n: int, kept: np.ndarray, owner: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By history: what its n-grams that this batch owns take, and what their words have at the order below."""
+        level, mine = own[n], owner & (kept > 0)
+        add = lambda x: np.bincount(level.first[mine], weights=x[mine], minlength=len(own[n - 1].hashes))
+        return add(kept), add(lower[level.suffix])
+
+    def wanted(own: list[Level], n: int, shared: np.ndarray) -> np.ndarray:
+        """Histories of level ``n`` whose weight the batch asks for."""
+        histories = np.unique(own[n].first)
+        return histories[shared[histories]]
+
+    def probabilities(own: list[Level], right: pa.Table, top: int) -> tuple[list[np.ndarray], tuple]:
+        """Probability of each n-gram's last word given its history, for levels 1 to ``top``; ``counted`` of the last."""
+        last = counted(own, right, 1)
+        out = [last[1], last[1]]
+        for n in range(2, top + 1):
+            counts, shared = last[0], last[3]
+            last = counted(own, right, n)
+            _, kept, owner, _ = last
+            mass, lower = sums(own, n, kept, owner, out[-1])
+            weight, extra = weigh(counts, mass, lower)
+            ask = wanted(own, n, shared)
+            weight[ask], extra[ask] = collected(right, f"weights{n}", lambda d: np.frombuffer(d, np.float64).reshape(2, -1))
+            whole = np.maximum(counts, 1) + extra
+            out.append(np.where(kept > 0, kept / whole[own[n].first], weight[own[n].first] * out[-1][own[n].suffix]))
+        return out, last
+
+    def weights(n: int) -> DataFrame:
+        bits = word_bits if n == 2 else gram_bits
+        pack = np.ndarray.tobytes if n == 2 else lambda h: narrow(h, bits)
+        unpack = (lambda k: np.frombuffer(k, np.uint64)) if n == 2 else widen
+
+        def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+            own = Batch(left.to_pylist()[0]).levels(n)
+            below, (counts, _, _, shared) = probabilities(own, right, n - 1)
+            _, kept, owner, _ = counted(own, right, n)
+            mass, lower = sums(own, n, kept, owner, below[-1])
+            want = wanted(own, n, shared)
+            return pa.Table.from_batches([requests(left.column("batch")[0].as_py(), own[n - 1].hashes[want], pack, [counts[want], mass[want], lower[want]], pack_sums, bits)])
+
+        def answer(table: pa.Table) -> pa.Table:
+            return back_off(table, f"weights{n}", unpack)
+
+        return batches.groupBy("batch").cogroup(answers_of.groupBy("batch")).applyInArrow(ask, REQUEST).groupBy("part").applyInArrow(answer, ANSWER)
+
+    for n in range(2, order + 1):
+        found = grams(n)
+        factor[n] = discounts(stats(found, f"grams{n}")[2], MIN_COUNT)
+        answers_of = answers_of.unionByName(found.filter("batch >= 0"))
+        weighed = weights(n)
+        answers_of = answers_of.unionByName(weighed if n == order else materialize(weighed, f"lm-weights{n}"))
     result = pa.schema([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, counts, kept, _, single = known(left, right)
-        weight, extra = collected(right, "weights", lambda d: np.frombuffer(d, np.float64).reshape(2, -1))
-        doc = np.repeat(np.arange(len(own.sizes)), own.sizes)
-        whole = np.maximum(counts, 1) + extra
-        seen = kept[own.which] > 0
-        with np.errstate(divide="ignore"):
-            direct = np.log10(kept[own.which]) - np.log10(whole)[own.history]
-            backed = np.log10(weight)[own.history] + np.log10(single)[own.tokens]
-        begin = np.searchsorted(own.words, BEGIN)
+        batch = Batch(left.to_pylist()[0])
+        own = batch.levels(order)
+        counts = collected(right, "words", unpack_counts)[0]
+        doc = np.repeat(np.arange(len(batch.sizes)), batch.sizes)
+        given = probabilities(own, right, order)[0]
+        katz = given[1][batch.tokens]
+        for level, p in zip(own[2:], given[2:], strict=True):
+            there = level.which >= 0
+            katz[there] = p[level.which[there]]
+        begin = np.searchsorted(batch.words, BEGIN)
         base = np.log10((counts + 0.1) / (total + 0.1 * (types + 1)))
-        n = len(own.sizes)
+        n = len(batch.sizes)
         known_words = counts > 0
         known_words[begin] = False
         add = lambda x: np.bincount(doc, weights=x, minlength=n)
-        cols = [pa.array(own.held), pa.array(own.sizes), pa.array(add(known_words[own.tokens]).astype(np.int64)), pa.array(np.full(n, int(total))), pa.array(add(base[own.tokens])), pa.array(add(np.where(seen, direct, backed)))]
+        cols = [pa.array(batch.held), pa.array(batch.sizes), pa.array(add(known_words[batch.tokens]).astype(np.int64)), pa.array(np.full(n, int(total))), pa.array(add(base[batch.tokens])), pa.array(add(np.log10(katz)))]
         return pa.Table.from_arrays([left.column("ids").combine_chunks().flatten(), *cols], names=["key", *result.names])
 
-    full = answers_of.unionByName(weights)
-    out = batches.groupBy("batch").cogroup(full.groupBy("batch")).applyInArrow(evaluate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = batches.groupBy("batch").cogroup(answers_of.groupBy("batch")).applyInArrow(evaluate, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)

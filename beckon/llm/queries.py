@@ -11,6 +11,7 @@ from beckon.llm import attribution, decontamination, embeddings, jaccard, langid
 from beckon.llm.common import read
 
 SHARDS = 16
+LM_ORDER = 3
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
@@ -80,7 +81,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (langid.remainder("doc_id", 10) == 0).alias("held_out"))
-    return lm.score(docs)
+    return lm.score(docs, order=LM_ORDER)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,65 @@ def test_katz_matches_brute_force_and_sums_to_one(spark, monkeypatch, batch):
         assert sum(p(v, w) for w in [*uni, "unknown"]) == pytest.approx(1.0)
 
 
+def katz_of(order, texts, held):
+    """Plain recursive Katz backoff of any order that keeps every n-gram seen."""
+    tokens = [["begin", *(t or "").encode().lower().split(), "end"] for t in texts]
+    grams = [Counter() for _ in range(order + 1)]
+    for own, out in zip(tokens, held, strict=True):
+        for n in range(1, order + 1):
+            grams[n].update(tuple(own[k - n + 1 : k + 1]) for k in range(max(1, n - 1), len(own)) if not out)
+    of = [Counter(g.values()) for g in grams]
+    one = lm.Unigrams(sum(grams[1].values()), len(grams[1]), [float(of[1][r]) for r in range(1, 7)])
+    d = [lm.discounts([float(o[r]) for r in range(1, 7)], 1) for o in of]
+    seen, times = {}, Counter()
+    for n in range(2, order + 1):
+        for g, c in grams[n].items():
+            seen.setdefault(g[:-1], []).append(g[-1])
+            times[g[:-1]] += c
+    memo = {}
+
+    def history(h):
+        if h not in memo:
+            mass = sum(d[len(h) + 1][min(6, grams[len(h) + 1][(*h, w)])] * grams[len(h) + 1][(*h, w)] for w in seen[h])
+            whole = max(times[h], mass + 0.5)
+            memo[h] = whole, (1 - mass / whole) / (1 - sum(p(h[1:], w) for w in seen[h]))
+        return memo[h]
+
+    def p(h, w):
+        if not h:
+            return float(one.probability(np.array([grams[1][(w,)]]))[0])
+        c = grams[len(h) + 1][(*h, w)]
+        if c:
+            return d[len(h) + 1][min(6, c)] * c / history(h)[0]
+        return (history(h)[1] if h in seen else 1.0) * p(h[1:], w)
+
+    return [sum(math.log10(p(tuple(own[max(0, k - order + 1) : k]), own[k])) for k in range(1, len(own))) for own in tokens], p, grams
+
+
+@pytest.mark.parametrize(("order", "batch"), [(1, 50), (2, 50), (3, 1 << 20), (3, 50), (4, 50)])
+def test_katz_of_any_order_keeps_what_was_seen_once(spark, monkeypatch, order, batch):
+    monkeypatch.setattr(lm, "BATCH_TOKENS", batch)
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(60)]
+    texts = [None, "", "W1 w1\tw2"] + [" ".join(rng.choice(words, int(rng.integers(1, 60)), p=np.arange(60, 0, -1) / 1830)) for _ in range(150)] + ["never seen words w1"]
+    texts += texts[20:30] + [f"{t} w3" for t in texts[30:40]]
+    held = [k % 7 == 3 for k in range(len(texts))]
+    frame = spark.createDataFrame([(k, t, h) for k, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, held_out boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm.score(frame, order=order).collect()}
+    want, p, grams = katz_of(order, texts, held)
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, abs=1e-6)
+    for h in [("begin",), (b"w0",), ("begin", b"w0"), (b"w1", b"w2"), (b"w0", b"w1", b"w2")]:
+        if len(h) < order:
+            assert sum(p(h, *g) for g in [*grams[1], ("unknown",)]) == pytest.approx(1.0)
+
+
+def test_order_and_batches_without_long_texts(spark):
+    frame = spark.createDataFrame([(1, None, False), (2, "", True)], "doc_id long, text string, held_out boolean")
+    assert all(math.isfinite(r["score"]) for r in lm.score(frame, order=4).collect())
+    with pytest.raises(ValueError):
+        lm.score(frame, order=0)
+
+
 def test_katz_edges(spark):
     kind = "doc_id long, text string, held_out boolean"
     assert lm.score(spark.createDataFrame([], kind)).count() == 0
