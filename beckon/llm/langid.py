@@ -7,7 +7,9 @@ phrase ends and the next begins.  Each phrase costs ``log2`` of the language's s
 the larger sample, then to the smaller name.
 
 Automata are made dense and stepped for many texts and all languages at once.  Symbols are lower-cased
-letters, runs of anything else are one space; the parse starts anew every ``SEGMENT`` symbols, so that
+letters, runs of anything else are one space.  Where the samples have more letters than there are symbols, the most
+frequent ``DIRECT`` have one each and every other is spelled in ``DIGITS`` symbols, so no letter of a sample is lost
+whatever its script; a letter that no sample has is a symbol that no automaton knows.  The parse starts anew every ``SEGMENT`` symbols, so that
 long texts are parsed in many lanes.
 
 Edge cases: a null text or one without letters is ``und`` with score 0; with no labelled text at all
@@ -37,16 +39,20 @@ ROW_CHARS = 2000
 LANGUAGE_CHARS = 40_000
 TABLE_CELLS = 16_000_000
 SYMBOLS = 64
+DIRECT = 30  # letters with a symbol of their own where not all can have one; the rest is spelled
+DIGITS = SYMBOLS - 2 - DIRECT
 MAX_LANGUAGES = 500
 SEGMENT = 1024
 _BUCKETS = 1 << 20
+_SPELLED = 255
 
 
 @dataclass
 class LanguageModel:
     names: list[str]
     sizes: list[int]
-    symbol_of: np.ndarray  # by code point: 0 no letter, 1.. known letters, last other letters
+    symbol_of: np.ndarray  # by code point: 0 no letter, 1.. known letters, last other letters, _SPELLED for several symbols
+    spelled: np.ndarray  # code points of the letters that are spelled, sorted
     roots: np.ndarray  # by language, times SYMBOLS
     table: np.ndarray  # [state * SYMBOLS + symbol] -> 2 * next state * SYMBOLS, plus 1 if a phrase ended
 
@@ -54,7 +60,24 @@ class LanguageModel:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
         out = self.symbol_of[points]
         if len(out):
-            out = out[(out != 0) | np.concatenate(([True], out[:-1] != 0))]
+            kept = (out != 0) | np.concatenate(([True], out[:-1] != 0))
+            out = out[kept]
+            if len(self.spelled) and (out == _SPELLED).any():
+                out = self.spell(out, points[kept])
+        return out
+
+    def spell(self, codes: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Replace every ``_SPELLED`` by the digits of its letter's place, as many for each letter."""
+        many = codes == _SPELLED
+        place = np.searchsorted(self.spelled, points[many])
+        width = 1
+        while DIGITS**width < len(self.spelled):
+            width += 1
+        sizes = np.where(many, width, 1)
+        out = np.repeat(codes, sizes)
+        starts = (np.cumsum(sizes) - sizes)[many]
+        for k in range(width):
+            out[starts + k] = 1 + DIRECT + place // DIGITS ** (width - 1 - k) % DIGITS
         return out
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -109,9 +132,13 @@ def build(samples: dict[str, list[str]]) -> LanguageModel:
     points[0xD800:0xE000] = 0  # surrogates are no characters
     alphabet = points.tobytes().decode("utf-32-le")
     symbol_of = np.fromiter((SYMBOLS - 1 if c.isalpha() else 0 for c in alphabet), np.uint8, len(alphabet))
-    for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2], 1):
+    ranked = sorted(letters, key=lambda c: (-letters[c], c))
+    direct = SYMBOLS - 2 if len(ranked) <= SYMBOLS - 2 else DIRECT
+    for k, c in enumerate(ranked[:direct], 1):
         symbol_of[ord(c)] = k
-    model = LanguageModel([], [], symbol_of, np.zeros(0, np.int32), np.zeros(0, np.int32))
+    spelled = np.array(sorted(map(ord, ranked[direct:])), dtype=np.uint32)
+    symbol_of[spelled] = _SPELLED
+    model = LanguageModel([], [], symbol_of, spelled, np.zeros(0, np.int32), np.zeros(0, np.int32))
     budget = min(LANGUAGE_CHARS, TABLE_CELLS // SYMBOLS // 2 // max(1, len(samples)))
     tables, roots, base, sized = [], [], 0, []
     for name in sorted(samples):

@@ -114,6 +114,24 @@ def test_language_of_held_out_rows(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_languages_of_large_scripts(spark):
+    """Three languages of the same 900 Han letters in other pairs, one of Hangul and one of Latin letters."""
+    rng = np.random.default_rng(6)
+    words = {"en": ["the", "cat", "and", "dog", "house", "green", "river", "walks"], "ko": ["".join(chr(0xAC00 + int(x)) for x in rng.integers(0, 3000, 2)) for _ in range(400)]}
+    for name in ("xa", "xb", "xc"):
+        words[name] = ["".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 900, 2)) for _ in range(400)]
+    rows = []
+    for name, own in words.items():
+        rows += [(len(rows) + k, " ".join(rng.choice(own, 60)), name) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame.filter("doc_id % 4 > 0"))
+    letters = sorted({c for k, t, _ in rows for c in t if k % 4 and c.isalpha()})
+    codes = [tuple(model.symbols(c).tolist()) for c in letters]
+    assert (langid.SYMBOLS - 1,) not in codes and len(set(codes)) == len(letters) > 1000
+    got = langid.identify(frame, model).filter("doc_id % 4 = 0").collect()
+    assert len(got) == 50 and all(r["lang"] == r["lang_pred"] for r in got)
+
+
 def test_language_edges(spark):
     model = langid.build({"en": ["the cat and the dog"], "de": ["der hund und die katze"]})
     out = langid.identify(docs(spark, EDGE + [(20, "123 ...", "a"), (21, "die katze und der hund", "a")]), model, prefix="p_")
