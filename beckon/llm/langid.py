@@ -12,6 +12,11 @@ frequent ``DIRECT`` have one each and every other is spelled in ``DIGITS`` symbo
 whatever its script; a letter that no sample has is a symbol that no automaton knows.  The parse starts anew every ``SEGMENT`` symbols, so that
 long texts are parsed in many lanes.
 
+``fit`` also learns what each language needs: a model of every other sample row gives the phrases per symbol of the
+rows between, a high quantile of them, and of random letters.  A text's distance is 0 where its winner knows it as well
+as such held-out text and 1 where no better than random letters; ``SHORT_PHRASES`` are free, so a short text is not judged
+by its luck.  A language too small to be held out has the strictest need of the others.
+
 Edge cases: a null text or one without letters is ``und`` with score 0; with no labelled text at all
 every text is ``und``; null labels and texts teach nothing; repeated texts teach once; the sample is
 bounded by ``SAMPLE_ROWS`` rows of at most ``ROW_CHARS`` characters for each language and ``TABLE_CELLS``
@@ -22,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,9 @@ DIRECT = 30  # letters with a symbol of their own where not all can have one; th
 DIGITS = SYMBOLS - 2 - DIRECT
 MAX_LANGUAGES = 500
 SEGMENT = 1024
+NEED_QUANTILE = 0.95  # so that a few wrong labels do not loosen it
+LONG = 50  # symbols from which a held-out text has a rate of its own
+SHORT_PHRASES = 3
 _BUCKETS = 1 << 20
 _SPELLED = 255
 
@@ -55,6 +63,8 @@ class LanguageModel:
     spelled: np.ndarray  # code points of the letters that are spelled, sorted
     roots: np.ndarray  # by language, times SYMBOLS
     table: np.ndarray  # [state * SYMBOLS + symbol] -> 2 * next state * SYMBOLS, plus 1 if a phrase ended
+    need: list[float] = field(default_factory=list)  # phrases per symbol of held-out text, by language
+    junk: list[float] = field(default_factory=list)  # and of random letters
 
     def symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
@@ -105,25 +115,53 @@ class LanguageModel:
         np.add.at(total, np.array(owner)[order], count.T)
         return total
 
-    def judge(self, text: str) -> tuple[str, float, float]:
+    def judge(self, text: str) -> tuple[str, float, float, float]:
         return self.judge_all([text])[0]
 
-    def judge_all(self, texts: list[str]) -> list[tuple[str, float, float]]:
-        """(language, confidence 0 to 1, bits per symbol) of each text."""
+    def judge_all(self, texts: list[str]) -> list[tuple[str, float, float, float]]:
+        """(language, confidence 0 to 1, bits per symbol, distance) of each text; without ``calibrate`` the distance is 0."""
         codes = [self.symbols(t) for t in texts]
         if not self.names:
-            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
-        bits = self.phrases(codes) * np.log2(np.maximum(2, np.array(self.sizes)))
+            return [(UNKNOWN, 0.0, 0.0, 0.0)] * len(texts)
+        phrases = self.phrases(codes)
+        bits = phrases * np.log2(np.maximum(2, np.array(self.sizes)))
         out = []
-        for row, own in zip(bits, codes, strict=True):
+        for row, count, own in zip(bits, phrases, codes, strict=True):
             if not own.any():
-                out.append((UNKNOWN, 0.0, 0.0))
+                out.append((UNKNOWN, 0.0, 0.0, 0.0))
                 continue
             best = int(np.argmin(row))
             rest = np.delete(row, best)
-            out.append((self.names[best], float(rest.min() / (rest.min() + row[best])) if len(rest) else 1.0, float(row[best] / len(own))))
+            out.append((self.names[best], float(rest.min() / (rest.min() + row[best])) if len(rest) else 1.0, float(row[best] / len(own)), self.distance(best, int(count[best]), len(own))))
         return out
 
+    def distance(self, language: int, phrases: int, symbols: int) -> float:
+        if not self.need:
+            return 0.0
+        need = self.need[language]
+        return float(max(0.0, (phrases - SHORT_PHRASES) / symbols - need) / max(0.05, self.junk[language] - need))
+
+    def calibrate(self, samples: dict[str, list[str]]) -> None:
+        """Learn ``need`` and ``junk`` from the samples the model was built of."""
+        rows = {name: texts if len(texts) > 1 else [t[k * len(t) // 2 : (k + 1) * len(t) // 2] for t in texts for k in (0, 1)] for name, texts in samples.items()}
+        half = build({name: texts[::2] for name, texts in rows.items()})
+        rng = np.random.default_rng(0)
+        found = {}
+        for k, name in enumerate(half.names):
+            codes = [c for c in map(half.symbols, rows[name][1::2]) if c.any()]
+            if not codes:
+                continue
+            sizes = np.array([len(c) for c in codes])
+            phrases = half.phrases(codes)[:, k]
+            rates = (phrases / sizes)[sizes >= LONG]
+            letters = sorted({c for t in rows[name] for c in t.lower() if c.isalpha()})
+            spaces = sum(int((c == 0).sum()) for c in codes) / sizes.sum()
+            drawn = [half.symbols("".join(np.where(rng.random(1000) < spaces, " ", rng.choice(letters, 1000)))) for _ in range(8)]
+            need = max(phrases.sum() / sizes.sum(), np.quantile(rates, NEED_QUANTILE) if len(rates) else 0.0)
+            found[name] = float(need), float(half.phrases(drawn)[:, k].sum() / sum(map(len, drawn)))
+        other = min(found.values(), default=(1.0, 1.0))
+        self.need, self.junk = ([found.get(name, other)[k] for name in self.names] for k in (0, 1))
+
 
 def build(samples: dict[str, list[str]]) -> LanguageModel:
     """Model of sample texts by language; larger samples come first, so they win ties."""
@@ -184,23 +222,25 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMode
         own = texts.setdefault(r["lang"], [])
         if len(own) < SAMPLE_ROWS:
             own.append(r["text"])
-    return build(texts)
+    model = build(texts)
+    model.calibrate(texts)
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``bits`` (names after ``prefix``)."""
-    names = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}bits"]
+    """``docs`` with ``lang_pred``, ``score``, ``bits`` and ``distance`` (names after ``prefix``)."""
+    names = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}bits", f"{prefix}distance"]
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"docs has {sorted(clash)}; pass a prefix")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), *(T.StructField(n, T.DoubleType()) for n in names[1:])])
 
     def run(batches: Batches) -> Batches:
         own = shared.value
         for whole in batches:
             for b in slices(whole, text):
                 found = own.judge_all([x.decode() for x in utf8(b.column(text))])
-                tail = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+                tail = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*b.columns, *tail], names=[*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)

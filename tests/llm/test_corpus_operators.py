@@ -336,6 +336,26 @@ def test_pipeline_stages(spark, sf):
     assert {r["doc_id"] for r in packed} == set(kept["personal_data"])
 
 
+def test_language_stage_rejects_gibberish_and_unlearned_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    real = docs.collect()
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    random = ["".join(rng.choice(letters + [" "] * spaces, 1000)) for spaces in (0, 5) for _ in range(5)]
+    foreign = [r["text"] for r in real if r["lang"] == "es" and len(r["text"]) > 300]
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä " * 2
+    cyrillic = "все люди рождаются свободными и равными в своем достоинстве и правах " * 5
+    known = docs.filter("lang != 'es'")
+    own = [r["text"] for r in real if r["lang"] != "es"]
+    texts = [(t, None) for t in [*random, finnish, cyrillic, *foreign]] + [("".join(rng.choice(letters, 1000)), "en")]
+    rows = [(10**6 + k, t, lang, None, None) for k, (t, lang) in enumerate(texts)]
+    rows += [(2 * 10**6 + k, t, None, None, None) for k, t in enumerate(own)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, known.union(spark.createDataFrame(rows, docs.schema)), sf).select("doc_id").collect()}
+    assert {r["doc_id"] for r in real if r["lang"] != "es"} <= kept
+    assert not [texts[k - 10**6] for k in kept if 10**6 <= k < 2 * 10**6] and len(foreign) > 5
+    assert sum(k >= 2 * 10**6 for k in kept) >= 0.98 * len(own)
+
+
 def test_pipeline_on_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
