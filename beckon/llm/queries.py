@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import attribution, decontamination, embeddings, jaccard, langid, lm, packing, pii, sharding, toxicity
+from beckon.llm import attribution, decontamination, embeddings, filters, jaccard, langid, lines, lm, packing, pii, sharding, toxicity
 from beckon.llm.common import read
 
 SHARDS = 16
@@ -88,6 +88,16 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filters.audit(docs, read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -99,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_line_dedup": op11_line_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 OP10_SQL = """
 with v as (select vec_id, embedding::double[] as e, label from embeddings),
@@ -113,5 +125,33 @@ select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(r
   vec_id = least(vec_id, coalesce(reach, vec_id)) as kept
 from v left join k using (vec_id) left join c using (vec_id)"""
 
-
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op10_embedding_dedup": OP10_SQL}
+OP11_SQL = """
+with l as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+e as (select r, doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos, len(ls) as n_lines from l),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from e),
+h as (select key, max(doc_id) as keeper from k where length(key) >= 40 group by 1 having count(distinct doc_id) >= 5),
+m as (select r, doc_id, n_lines, pos, line, keeper is not null and doc_id is distinct from keeper as gone from k left join h using (key))
+select doc_id, max(n_lines)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from m group by r, doc_id"""
+OP13_SQL = """
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as ws,
+  min(doc_id) over (partition by coalesce(text, '')) as least from documents),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by 1),
+d as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+  [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+   regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] as fails from w left join l using (doc_id)),
+m as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from d group by all),
+f as (select unnest(range(1, 6)) as f),
+o as (select [a.f, b.f, c.f, e.f, 15 - a.f - b.f - c.f - e.f] as ord from f a, f b, f c, f e where len(list_distinct([a.f, b.f, c.f, e.f])) = 4),
+s as (select list_transform(ord, lambda x: chr((64 + x)::int)).array_to_string('') as filter_order, ord[:step - 1] as before, ord[step] as this, step
+  from o, (select unnest(range(1, 6)) as step)),
+x as (select part, filter_order, step, this, n, good, toxic, fails[this] as bad, len(list_filter(before, lambda b: fails[b])) > 0 as gone,
+  len(list_filter(fails, lambda b: b)) = 1 as alone from m, s),
+r as (select part, filter_order, step::int as step, this, coalesce(sum(n) filter (not bad and not gone), 0)::bigint as kept,
+  coalesce(sum(n) filter (bad and not gone), 0)::bigint as removed, coalesce(sum(n) filter (bad and gone), 0)::bigint as redundant,
+  coalesce(sum(n) filter (bad and alone), 0)::bigint as unique_fails, coalesce(sum(good) filter (bad and not gone), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (bad and not gone), 0)::bigint as toxic_lost from x group by part, filter_order, step, this)
+select * exclude (this), sum(removed) over (partition by part, this)::bigint as shapley from r"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op10_embedding_dedup": OP10_SQL, "op11_line_dedup": OP11_SQL, "op13_filter_audit": OP13_SQL}
