@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import attribution, decontamination, embeddings, filters, jaccard, langid, lines, lm, packing, pii, sharding, toxicity
-from beckon.llm.common import read
+from beckon.llm import attribution, decontamination, embeddings, filters, jaccard, langid, lines, lm, packing, pii, runs, sharding, toxicity
+from beckon.llm.common import Batches, read, slices, utf8
 
 SHARDS = 16
 LM_ORDER = 3
@@ -93,6 +94,34 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def planted(words: list[bytes], h: int) -> list[bytes]:
+    """The words with the repetition that the contract plants in one document of ten; ``h`` is the id's CRC-32."""
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def plant(batches: Batches) -> Batches:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                texts = [b" ".join(planted(t.split(), h)) if h is not None and h % 10 == 0 else t for t, h in zip(utf8(b.column("text")), b.column("h").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    found = runs.collapse_runs(docs.mapInArrow(plant, docs.select("doc_id", "text").schema))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return filters.audit(docs, read(spark, sf_dir, "labels"))
@@ -110,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }
 OP10_SQL = """
