@@ -38,12 +38,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (8): of every group of similar documents the one with the least id stays.
 
-    Repeated rows of that id are one document; documents without words group with nothing, and rows
-    without an id stay, as no key tells them apart.
+    A row is known by its id and a 64-bit hash of all its columns, so texts that share an id are documents of their own;
+    rows equal in every column are one document.  Rows without an id come last in a group; documents without words
+    group with nothing.
     """
-    groups = jaccard.similar_groups(docs, width=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
-    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64(*docs.columns).alias("row"))
+    keyed = docs.withColumn("__key", row)
+    groups = jaccard.similar_groups(keyed, key="__key", width=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
+    gone = groups.filter("__key != component_id").select("__key").distinct()
+    return keyed.join(gone, "__key", "left_anti").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
