@@ -336,6 +336,18 @@ def test_pipeline_stages(spark, sf):
     assert {r["doc_id"] for r in packed} == set(kept["personal_data"])
 
 
+def test_duplicate_stage_knows_rows_not_ids(spark):
+    a = " ".join(f"alpha{k}" for k in range(40))
+    b = " ".join(f"beta{k}" for k in range(40))
+    c = " ".join(f"gamma{k}" for k in range(40))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(3, a), (5, a), (5, b), (7, a + " tail"), (None, c), (None, c), (None, b), (8, ""), (9, None), (9, "  "), (9, None)]
+    given = [(k, t, "en", "s", None) for k, t in rows] + [(None, "one two", "en", None, None), (None, "one two", "en", "x", None), (None, "three", None, None, 1)]
+    out = [tuple(r)[:2] for r in corpus_pipeline.duplicate_stage(spark, spark.createDataFrame(given, schema), "").collect()]
+    want = [(3, a), (5, b), (None, c), (8, ""), (9, None), (9, "  "), (None, "one two"), (None, "three")]
+    assert sorted(out, key=str) == sorted(want, key=str)
+
+
 def test_language_stage_rejects_gibberish_and_unlearned_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     real = docs.collect()
@@ -367,7 +379,7 @@ def test_every_query_is_registered(spark, sf):
     import __spark_entry__ as entry
 
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
-    assert names == [f"op{k}" for k in range(1, 11)] and "pipeline" in entry.queries()
+    assert names == [f"op{k}" for k in range(1, 14)] and "pipeline" in entry.queries()
 
 
 def test_digests_are_whole(spark, sf):
