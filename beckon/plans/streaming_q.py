@@ -15,6 +15,7 @@ from beckon.plans.sources_q import _ROUTED, route_rules
 from beckon.sources.events import parse_opt_out_events
 from beckon.streaming import operators as so
 from beckon.streaming.core import drain, stream_table, work_dir
+from beckon.streaming.store import read_store
 
 
 def stream_fixture(spark, sf, name):
@@ -55,7 +56,7 @@ def t2(spark, sf):
         so.append_if_absent(scored, batch_id, f"{path}/store", "event_id")
 
     candidates.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{path}/store")
+    out = read_store(spark, f"{path}/store")
     return out.select("customer_id", "subject_id", "program_id", "event_id", F.col("scores")["base"]["value"].alias("score"))
 
 
@@ -125,6 +126,29 @@ def t6_stream(spark, sf):
     return out.withColumns({"window_start": iso(F.col("window_start")), "total": F.round("total", 4)})
 
 
+@query(
+    "t6_velocity_exact_stream",
+    """with e as (select event_id, user_id % 20 as grp, @EPOCH{ts} as sec, value from events),
+    w as (select event_id, count(*) over r as n, sum(value) over r as s from e window r as (partition by grp order by sec range between 3600 preceding and current row))
+    select event_id, n as window_count, round(s, 4) as window_amount, n <= 2 and s <= 100 as allowed from w""",
+)
+def t6_exact(spark, sf):
+    src = stream_table(spark, sf, "events").select("event_id", "ts", "value", (F.col("user_id") % 20).alias("grp"))
+    out = drain(so.velocity_alerts(src, "grp", "ts", "value", 2, 100.0), "t6x")
+    return out.select("event_id", "window_count", F.round("window_amount", 4).alias("window_amount"), "allowed")
+
+
+@query(
+    "t6_changes_exact_stream",
+    """with e as (select event_id, user_id % 20 as grp, @EPOCH{ts} as sec from events where event_type in ('click', 'signup'))
+    select event_id, count(*) over r as recent_changes, count(*) over r >= 2 as alert from e window r as (partition by grp order by sec range between 600 preceding and current row)""",
+)
+def t6_changes(spark, sf):
+    src = stream_table(spark, sf, "events").filter("event_type in ('click', 'signup')").select("event_id", "ts", (F.col("user_id") % 20).alias("grp"))
+    out = drain(so.velocity_stream(src, ["grp"], "ts", window_s=600), "t6c")
+    return out.select("event_id", F.col("window_count").alias("recent_changes"), (F.col("window_count") >= 2).alias("alert"))
+
+
 @query(
     "t7_route_stream",
     f"""select event_id, 'order-confirmed' as rule_id from {_ROUTED} where source = 'orders' and event_type = 'purchase' and state = 'CONFIRMED'

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
 
 from beckon.functions.redact import redact_columns
 from beckon.operators.filters import default_chain, filter_chain
 from beckon.operators.mapping import candidates_from_events, context_id
 from beckon.operators.scoring import Model, score_models
+from beckon.operators.timeline import exact
+from beckon.operators.velocity import MAX_AMOUNT_PER_HOUR, MAX_COUNT_PER_HOUR
 from beckon.sources.events import parse_customer_events, route_events
+from beckon.streaming import store
+from beckon.streaming.keyed import GROUPS, first_in_window, first_per_window, fold_groups, trailing_seconds
 
 # fixed values: duplicate window and state lifetime in seconds
 DEDUP_WINDOW_S, DEDUP_STATE_S = 300, 600
 LATENESS_S = 600
 LATENESS = "10 minutes"
-STORE_PARTS = 256  # hash folders of the candidate store; fixed for the life of a store
 
 
 def _local_first(df: DataFrame, keys: Sequence[str], tick: str, order: Sequence[str], k: int) -> DataFrame:
@@ -41,84 +43,59 @@ def _local_first(df: DataFrame, keys: Sequence[str], tick: str, order: Sequence[
     return df.mapInPandas(run, df.schema)
 
 
-def _fold_by_key(
-    df: DataFrame, keys: Sequence[str], ts: str, tick: str, order: Sequence[str], first: int | None, hold_ms: int, tick_ms: int, fold: Callable[[tuple | None, pd.DataFrame], tuple[list[bool], tuple]]
-) -> DataFrame:
-    """Filter a stream by a fold over the ticks of each key.
-
-    ``fold(state, rows)`` takes a key's rows of a micro-batch in order and says which pass, with
-    the next state (a tick and a count).  State is kept per key, so it spreads with the keys; it
-    ends when the watermark is ``hold_ms`` past the state's tick.  The event-time timeout also
-    makes Spark drop rows later than the watermark, so no row can meet a forgotten state that
-    still mattered.
-    """
-    src = df.withColumn("__key", F.to_json(F.struct(*keys)))
-    if first is not None:
-        src = _local_first(src, ["__key"], tick, order, first)
-    schema = src.schema
-    cols = [f.name for f in schema.fields]
-
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(list(order))
-        keep, held = fold(state.get if state.exists else None, pdf)
-        state.update(held)
-        state.setTimeoutTimestamp(max(held[0] * tick_ms + hold_ms, state.getCurrentWatermarkMs() + 1))
-        yield pdf.loc[keep, cols]
-
-    out = src.groupBy("__key").applyInPandasWithState(run, schema, "at bigint, used bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.drop("__key")
-
-
 def dedup_events_stream(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_s: int = DEDUP_WINDOW_S, state_s: int = DEDUP_STATE_S, lateness_s: int = LATENESS_S
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_s: int = DEDUP_WINDOW_S, state_s: int = DEDUP_STATE_S, lateness_s: int = LATENESS_S, groups: int = GROUPS
 ) -> DataFrame:
     """Passes an event unless the key's last passed event is less than ``window_s`` old.
 
     Exact for ordered arrival; inside a micro-batch rows are ordered by second and tie.  Rows
     later than the watermark, ``lateness_s`` behind the latest event, are dropped; a key is
     forgotten when the watermark is ``state_s`` (at least the window) past its last passed event.
+    Rows without a time are left to ``untimed``; null keys are equal to each other.
     """
     src = df.withColumn("__sec", F.unix_seconds(F.col(ts))).withWatermark(ts, f"{lateness_s} seconds")
-
-    def fold(state, pdf):
-        secs = pdf["__sec"].to_numpy()
-        keep = np.zeros(len(secs), dtype=bool)
-        at = int(np.searchsorted(secs, state[0] + window_s)) if state else 0
-        last = state[0] if state else None
-        while at < len(secs):  # one step for each passed event
-            keep[at] = True
-            last = int(secs[at])
-            at = int(np.searchsorted(secs, last + window_s))
-        return keep, (last, 0)
-
-    return _fold_by_key(src, keys, ts, "__sec", ["__sec", tie], 1, max(state_s, window_s) * 1000, 1000, fold).drop("__sec")
+    order = ["__sec", tie]
+    fold = first_per_window("__sec", window_s, max(state_s, window_s) * 1000, 1000)
+    first = lambda d: _local_first(d, ["__key"], "__sec", order, 1)
+    return fold_groups(src, keys, ts, order, fold, groups=groups, prepare=first).drop("__sec")
 
 
-def stream_throttle(df: DataFrame, key: str, ts: str, tie: str, max_requests: int, window_ms: int, lateness_s: int = LATENESS_S, permits: str | None = None) -> DataFrame:
+def stream_throttle(
+    df: DataFrame, key: str, ts: str, tie: str, max_requests: int, window_ms: int, lateness_s: int = LATENESS_S, permits: str | None = None, groups: int = GROUPS
+) -> DataFrame:
     """T4: requests a fixed window lets pass; state is the window's start and count.
 
-    With ``permits`` a request takes that many; one that does not fit takes nothing, and a
-    smaller later one may still pass.
+    With ``permits`` a request takes that many (null: one); one that does not fit takes nothing, and a
+    smaller later one may still pass.  A request for less than none never passes and opens no window.
+    Rows without a time are left to ``untimed``.
     """
     src = df.withColumn("__ms", F.unix_millis(F.col(ts))).withWatermark(ts, f"{lateness_s} seconds")
+    order = list(dict.fromkeys(["__ms", ts, tie]))
+    first = None if permits else lambda d: _local_first(d, ["__key"], "__ms", order, max_requests)
+    return fold_groups(src, [key], ts, order, first_in_window("__ms", window_ms, max_requests, permits), groups=groups, prepare=first).drop("__ms")
+
 
-    def fold(state, pdf):
-        start, used = state if state else (None, 0)
-        keep = []
-        wanted = pdf[permits].fillna(1).tolist() if permits else [1] * len(pdf)
-        for ms, n in zip(pdf["__ms"].tolist(), wanted):
-            if start is None or ms - start >= window_ms:
-                start, used = ms, 0
-            fits = used + n <= max_requests
-            used += n if fits else 0
-            keep.append(fits)
-        return keep, (int(start), int(used))
+def velocity_stream(df: DataFrame, keys: Sequence[str], ts: str, amount: str | None = None, window_s: int = 3600, lateness_s: int = LATENESS_S, groups: int = GROUPS) -> DataFrame:
+    """T6, exact: every event with the count and sum of its key's events in the ``window_s`` seconds up to its own.
+
+    Answers at once, from a ring of seconds per key.  Equal to the batch operators (``velocity_filter``,
+    ``change_velocity``) where a key's events arrive in order; a late event counts itself in, but answers given before
+    stand.  Sums are exact; NaN and infinite amounts add nothing.
+    """
+    value = F.coalesce(exact(F.col(amount)), F.lit(0).cast("decimal(28,6)")) if amount else F.lit(0).cast("decimal(28,6)")
+    high = F.floor(value / F.lit(1_000_000))
+    src = df.withColumns({"__sec": F.unix_seconds(F.col(ts)), "__high": high.cast("bigint"), "__low": ((value - high * 1_000_000) * 1_000_000).cast("bigint")})
+    src = src.withWatermark(ts, f"{lateness_s} seconds")
+    added = [T.StructField("window_count", T.LongType()), T.StructField("window_amount", T.DoubleType())]
+    out = fold_groups(src, keys, ts, ["__sec"], trailing_seconds(window_s), added, groups)
+    return out.drop("__sec", "__high", "__low", *([] if amount else ["window_amount"]))
 
-    first = None if permits else max_requests
-    return _fold_by_key(src, [key], ts, "__ms", ["__ms", ts, tie], first, window_ms, 1, fold).drop("__ms")
+
+def velocity_alerts(df: DataFrame, customer: str, ts: str, amount: str, max_count: int = MAX_COUNT_PER_HOUR, max_amount: float = MAX_AMOUNT_PER_HOUR, window_s: int = 3600, lateness_s: int = LATENESS_S) -> DataFrame:
+    """The trailing-hour rule of F15 on live events; a NaN amount is not allowed and comes out as null."""
+    broken = F.coalesce(F.isnan(amount) | (F.abs(amount) == float("inf")), F.lit(False))
+    out = velocity_stream(df.withColumn("__broken", broken), [customer], ts, amount, window_s, lateness_s)
+    return out.withColumn("allowed", (F.col("window_count") <= max_count) & (F.col("window_amount") <= max_amount) & ~F.col("__broken")).drop("__broken")
 
 
 def reactive_candidates(events: DataFrame, as_of=None, body: str = "body", tie: str = "event_id") -> DataFrame:
@@ -146,23 +123,8 @@ def with_store_keys(df: DataFrame) -> DataFrame:
 
 
 def append_if_absent(batch: DataFrame, batch_id: int, path: str, order: str) -> None:
-    """T2 sink for ``foreachBatch``: write rows whose key is not stored yet.
-
-    Every micro-batch owns one folder and overwrites it, so a replayed batch does not
-    duplicate; keys are checked against the earlier batches' folders, and there only in the hash
-    folders that the batch's own keys fall in.
-    """
-    spark = batch.sparkSession
-    keys = list(STORE_KEYS)
-    rows = with_store_keys(batch)
-    rest = [c for c in rows.columns if c not in keys]
-    fresh = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__v")).select(*keys, "__v.*")
-    fresh = fresh.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(STORE_PARTS)).cast("int"))
-    if batch_id > 0:
-        touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most STORE_PARTS numbers
-        stored = spark.read.parquet(path).filter((F.col("batch") < batch_id) & F.col("part").isin(touched)).select("part", *keys)
-        fresh = fresh.join(stored, ["part", *keys], "left_anti")
-    fresh.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={batch_id}")
+    """T2 sink for ``foreachBatch``: candidates whose key is not stored yet, see ``store``."""
+    store.append_if_absent(with_store_keys(batch), batch_id, path, order, STORE_KEYS)
 
 
 def opt_out_tombstones(events: DataFrame) -> DataFrame:
