@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beckon.functions.convert import as_ts, is_iso_date, messages
-from beckon.operators.timeline import greedy_openings
+from beckon.operators.timeline import _null_safe, greedy_openings
 
 # fixed values: field groups of a raw record and the bounds of a plausible epoch
 REQUIRED = ("customerId", "subjectType", "subjectId", "eventDate")
@@ -179,16 +178,19 @@ def business_rules(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
 def detect_duplicates(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window_s: int = 86400) -> DataFrame:
     """V8, T1 batch twin: ``is_duplicate`` for rows less than ``window_s`` after the last kept row.
 
-    Null keys are equal to each other.
-    Second precision; of rows in a keeping second the lowest ``tie`` is kept.
+    Null keys are equal to each other; a row without a time is no duplicate.
+    Second precision; of rows in a keeping second the lowest ``tie`` is kept, of several rows with that tie (an event that
+    was delivered again) one.
     """
     sec = F.unix_seconds(F.col(ts))
-    opened = greedy_openings(df, keys, sec, window_s).filter("tick = opening").select(*[F.col(k).alias(f"__o_{k}") for k in keys], F.col("tick").alias("__o___sec"))
+    opened = greedy_openings(df, keys, sec, window_s).filter("tick = opening").select(*keys, F.col("tick").alias("__sec"))
     first = df.groupBy(*keys, sec.alias("__sec")).agg(F.min(tie).alias("__first"))
-    same = [first[c].eqNullSafe(opened[f"__o_{c}"]) for c in (*keys, "__sec")]
-    kept = first.join(opened, reduce(lambda a, b: a & b, same), "left_semi")
-    marks = kept.select(F.col("__first").alias(tie), F.lit(True).alias("__kept"))
-    return df.join(marks, tie, "left").withColumn("is_duplicate", F.col("__kept").isNull()).drop("__kept")
+    kept = _null_safe(first, opened, [*keys, "__sec"], "left_semi").withColumn("__kept", F.lit(True))
+    # copies of one event are numbered, so that exactly one stays
+    copy = F.row_number().over(Window.partitionBy(*keys, "__sec", tie).orderBy(tie))
+    rows = _null_safe(df.withColumn("__sec", sec), kept, [*keys, "__sec"]).withColumn("__copy", copy)
+    stays = F.coalesce(F.col("__kept"), F.lit(False)) & F.col(tie).eqNullSafe(F.col("__first")) & (F.col("__copy") == 1)
+    return rows.withColumn("is_duplicate", F.col("__sec").isNotNull() & ~stays).drop("__sec", "__first", "__kept", "__copy")
 
 
 def dead_letter_split(df: DataFrame, errors: str = "errors") -> tuple[DataFrame, DataFrame]:

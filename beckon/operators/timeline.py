@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 DAY = 86400
 MAX_BLOCK_TICKS = 1_000_000  # distinct ticks one block may hold (one gap at least)
+SPELL = 1024  # blocks of a greedy window that are composed to one
+_ANY = np.iinfo(np.int64).max
 
 
 def _bucket(position: Column, width: int) -> Column:
@@ -213,32 +215,103 @@ def first_k_flag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 
 
 def _exit_runs(gap: int):
-    """For a block's sorted ticks: last opening inside the block, per possible first opening.
+    """For a block's sorted ticks: first and last tick, and the last opening inside per possible first opening.
 
     Only ticks in the first ``gap`` of the block (and the next one) can be the first opening,
     and neighbouring ones mostly share their exit, so the result is run-length coded.
     """
 
-    @F.pandas_udf("struct<upto:array<bigint>,exit:array<bigint>>")
+    @F.pandas_udf("struct<first:bigint,last:bigint,upto:array<bigint>,exit:array<bigint>>")
     def runs(ticks: pd.Series, start: pd.Series) -> pd.DataFrame:
-        uptos, exits = [], []
-        for arr, first in zip(ticks, start):
+        rows = []
+        for arr, begin in zip(ticks, start):
             s = np.asarray(arr, dtype=np.int64)
+            n = min(int(np.searchsorted(s, begin + gap)) + 1, len(s))
+            if len(s) == 1:
+                rows.append((s[0], s[0], s, s))
+                continue
             nxt = np.searchsorted(s, s + gap)
             last = np.arange(len(s))
             for i in range(len(s) - 1, -1, -1):
                 if nxt[i] < len(s):
                     last[i] = last[nxt[i]]
-            n = min(int(np.searchsorted(s, first + gap)) + 1, len(s))
             ex = s[last[:n]]
             ends = np.append(np.flatnonzero(np.diff(ex)), n - 1)
-            uptos.append(s[ends].tolist())
-            exits.append(ex[ends].tolist())
-        return pd.DataFrame({"upto": uptos, "exit": exits})
+            rows.append((s[0], s[-1], s[ends], ex[ends]))
+        return pd.DataFrame(rows, columns=["first", "last", "upto", "exit"])
 
     return runs
 
 
+def _leave(opened: np.ndarray | int, gap: int, upto: np.ndarray, exits: np.ndarray):
+    """Last opening after a block that is entered with the last opening ``opened``."""
+    i = np.searchsorted(upto, np.asarray(opened) + gap)
+    return np.where(i < len(upto), exits[np.minimum(i, len(exits) - 1)], opened)
+
+
+def _new_group(pdf: pd.DataFrame, cols: Sequence[str], before: tuple | None) -> tuple[list[bool], tuple]:
+    """Which rows start another group than the row before them, and the last row's group."""
+    change = np.zeros(len(pdf), dtype=bool)
+    for n, c in enumerate(cols):
+        v = pdf[c].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+        change[0] |= before is None or before[n] != v[0]
+    return change.tolist(), tuple(pdf[c].iat[-1] for c in cols)
+
+
+def _compose(gap: int):
+    """Rows sorted by (key, spell, block): one block for each spell, which stands for all of its blocks in sequence."""
+    names = ["__key", "__spell", "first", "last", "upto", "exit"]
+
+    def run(batches):
+        before, held = None, None
+        for pdf in batches:
+            change, before = _new_group(pdf, names[:2], before)
+            out = []
+            for new, key, spell, first, last, upto, exits in zip(change, *(pdf[c] for c in names)):
+                upto, exits = np.asarray(upto, dtype=np.int64), np.asarray(exits, dtype=np.int64)
+                if new:
+                    if held is not None:
+                        out.append(held)
+                    held = (key, spell, first, last, upto, exits)
+                    continue
+                key, spell, first0, last0, upto0, exits0 = held
+                if first >= last0 + gap:  # whatever was open, this block begins anew
+                    upto1, exits1 = np.array([_ANY]), _leave(exits0[:1], gap, upto, exits)
+                else:
+                    # entries that open nothing in the blocks so far go on to this one
+                    more = upto > upto0[-1]
+                    upto1 = np.concatenate([upto0, upto[more]])
+                    exits1 = np.concatenate([_leave(exits0, gap, upto, exits), exits[more]])
+                ends = np.append(np.flatnonzero(np.diff(exits1)), len(exits1) - 1)
+                held = (key, spell, first0, last, upto1[ends], exits1[ends])
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held is not None:
+            yield pd.DataFrame([held], columns=names)
+
+    return run
+
+
+def _chain(group: Sequence[str], gap: int, at: Sequence[str], seeded: bool):
+    """Rows sorted within groups: the last opening before each; ``seeded`` groups start from their own ``prior``."""
+
+    def run(batches):
+        before, opened = None, None
+        for pdf in batches:
+            change, before = _new_group(pdf, group, before)
+            seeds = pdf["prior"] if seeded else [None] * len(pdf)
+            priors = []
+            for new, seed, upto, exits in zip(change, seeds, pdf["upto"], pdf["exit"]):
+                if new:
+                    opened = None if pd.isna(seed) else int(seed)
+                priors.append(opened)
+                opened = int(exits[0]) if opened is None else int(_leave(opened, gap, np.asarray(upto, dtype=np.int64), np.asarray(exits, dtype=np.int64)))
+            yield pdf[list(at)].assign(prior=pd.array(priors, dtype="Int64"))
+
+    return run
+
+
 def _opening_of(gap: int):
     @F.pandas_udf("array<bigint>")
     def assign(ticks: pd.Series, prior: pd.Series) -> pd.Series:
@@ -258,48 +331,29 @@ def _opening_of(gap: int):
     return assign
 
 
-def greedy_openings(df: DataFrame, keys: Sequence[str], tick: Column, gap: int, block: int | None = None) -> DataFrame:
+def greedy_openings(df: DataFrame, keys: Sequence[str], tick: Column, gap: int, block: int | None = None, spell: int = SPELL) -> DataFrame:
     """Distinct ``(keys, tick)`` with the ``opening`` of the greedy window each tick falls in.
 
     A tick is an opening itself when ``tick = opening``.  Blocks of ``block * gap`` ticks work
-    in parallel.  A block that starts at least one gap after the previous tick stands alone;
-    only runs of blocks that lean on each other pass their state along, and only as one short
-    summary row per block.  Lone ticks never leave the JVM.
+    in parallel, and each tells in one short row what it makes of the opening it is entered with.
+    These rows are functions, and ``spell`` of them in sequence are composed to one, also in parallel; only
+    composed ones of a key pass their state along in sequence, a row for ``spell`` blocks.  So a key that holds
+    most rows is spread over its blocks and spells.
     """
     keys = list(keys)
     size = gap * (block or max(1, min(16, MAX_BLOCK_TICKS // gap)))
-    at = [*keys, "__block"]
     ticks = df.select(*keys, tick.cast("bigint").alias("tick")).filter(F.col("tick").isNotNull())
-    blocks = (
-        ticks.withColumn("__block", _bucket(F.col("tick"), size)).groupBy(*at).agg(F.sort_array(F.collect_set("tick")).alias("__ticks"))
-    )
-    # a block depends on the one before only when its first tick is closer than the gap
-    edges = blocks.select(*at, F.col("__ticks")[0].alias("__first"), F.element_at("__ticks", -1).alias("__last"))
-    w = Window.partitionBy(*keys).orderBy("__block")
-    tied = F.coalesce(F.col("__first") < F.lag("__last").over(w) + gap, F.lit(False))
-    ties = edges.withColumn("__tied", tied).withColumn("__next", F.lead("__tied").over(w))
-    chained = ties.filter(F.col("__tied") | F.col("__next")).select(*at, "__tied")
-    summary = _null_safe(blocks, chained, at, "inner").select(*at, "__tied", _exit_runs(gap)("__ticks", F.col("__block") * size).alias("r"))
-    summary = summary.select(*at, "__tied", "r.upto", "r.exit").repartition(*keys).sortWithinPartitions(*at)
-    out_schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("__block", T.LongType()), T.StructField("prior", T.LongType())])
-
-    def chain(batches):
-        opened = None
-        for pdf in batches:
-            priors = []
-            for lean, upto, exits in zip(pdf["__tied"], pdf["upto"], pdf["exit"]):
-                if not lean:
-                    opened = None
-                priors.append(opened)
-                i = 0 if opened is None else int(np.searchsorted(upto, opened + gap))
-                if i < len(upto):
-                    opened = int(exits[i])
-            yield pdf[at].assign(prior=pd.array(priors, dtype="Int64"))
-
-    priors = summary.mapInPandas(chain, out_schema)
-    solved = _null_safe(blocks, priors, at)
-    lone = F.col("prior").isNull() & (F.size("__ticks") == 1)
-    easy = solved.filter(lone).select(*keys, F.col("__ticks")[0].alias("tick"), F.col("__ticks")[0].alias("opening"))
-    rest = solved.filter(~lone).withColumn("__open", _opening_of(gap)("__ticks", "prior"))
+    blocks = ticks.withColumn("__block", _bucket(F.col("tick"), size)).groupBy(*keys, "__block").agg(F.sort_array(F.collect_set("tick")).alias("__ticks"))
+    blocks = blocks.withColumn("__key", F.to_json(F.struct(*keys)))
+    summary = blocks.select("__key", _bucket(F.col("__block"), spell).alias("__spell"), "__block", _exit_runs(gap)("__ticks", F.col("__block") * size).alias("r"))
+    summary = summary.select("__key", "__spell", "__block", "r.*").repartition("__key", "__spell")
+    in_spell = ["__key", "__spell", "__block"]
+    told = "first bigint, last bigint, upto array<bigint>, exit array<bigint>"
+    whole = summary.sortWithinPartitions(*in_spell).mapInPandas(_compose(gap), f"__key string, __spell bigint, {told}")
+    chained = whole.repartition("__key").sortWithinPartitions("__key", "__spell")
+    entered = chained.mapInPandas(_chain(["__key"], gap, ["__key", "__spell"], False), "__key string, __spell bigint, prior bigint")
+    seeded = summary.join(entered, ["__key", "__spell"], "left").repartition("__key", "__spell").sortWithinPartitions(*in_spell)
+    priors = seeded.mapInPandas(_chain(["__key", "__spell"], gap, ["__key", "__block"], True), "__key string, __block bigint, prior bigint")
+    solved = blocks.join(priors, ["__key", "__block"], "left").withColumn("__open", _opening_of(gap)("__ticks", "prior"))
     pairs = F.explode(F.arrays_zip(F.col("__ticks").alias("tick"), F.col("__open").alias("opening")))
-    return easy.unionByName(rest.select(*keys, pairs.alias("z")).select(*keys, "z.tick", "z.opening"))
+    return solved.select(*keys, pairs.alias("z")).select(*keys, "z.tick", "z.opening")

@@ -70,7 +70,7 @@ def test_greedy_openings(spark):
         data = _rows(500, span, span)
         df = spark.createDataFrame(data, "id int, key string, ts timestamp, v double")
         got = {}
-        for r in tl.greedy_openings(df, ["key"], F.unix_seconds("ts"), gap, block=4).collect():
+        for r in tl.greedy_openings(df, ["key"], F.unix_seconds("ts"), gap, block=4, spell=3).collect():
             got.setdefault(r.key, {})[r.tick] = r.opening
         for key in {k for _, k, _, _ in data}:
             secs = sorted({int((t - dt.datetime(1970, 1, 1)).total_seconds()) for _, k, t, _ in data if k == key})
