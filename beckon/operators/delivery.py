@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,6 +101,9 @@ def shadow_delivery(plan: DataFrame, shadow: Column, channel: str, campaign: str
     return out.withColumns({n: F.when(F.col("shadow_mode"), v).otherwise(F.col(n)) for n, v in swap.items()})
 
 
+_PLACEHOLDER = re.compile(r"(\{\{\w+\}\}|\{\w+\})")
+
+
 def unsubscribe_link(base: str, customer: Column, program: Column) -> Column:
     """D4."""
     return F.concat(F.lit(f"{base}?customerId="), customer, F.lit("&programId="), program)
@@ -114,20 +118,24 @@ def apply_tracking_events(deliveries: DataFrame, events: DataFrame) -> DataFrame
 
 
 def render_template(df: DataFrame, template: str, variables: Mapping[str, str], into: str = "message") -> DataFrame:
-    """Put column values into ``{{name}}`` / ``{name}``; ``missing_variable`` flags null values."""
-    text, gaps = F.lit(template), []
-    for name, column in variables.items():
-        value = F.col(column).cast("string")
-        used = "{{" + name + "}}" in template or "{" + name + "}" in template
-        if not used:
+    """Put column values into ``{{name}}`` / ``{name}``; ``missing_variable`` flags nulls and unknown names.
+
+    The template is cut at its placeholders once, so values are never searched for placeholders themselves.
+    """
+    pieces, missing = [], F.lit(False)
+    for k, part in enumerate(_PLACEHOLDER.split(template)):
+        if k % 2 == 0:
+            pieces.append(F.lit(part))
             continue
-        gaps.append(value.isNull())
-        shown = F.coalesce(value, F.lit(""))
-        text = F.replace(F.replace(text, F.lit("{{" + name + "}}"), shown), F.lit("{" + name + "}"), shown)
-    missing = F.lit(False)
-    for g in gaps:
-        missing = missing | g
-    return df.withColumns({into: text, "missing_variable": missing | text.rlike(r"\{\w+\}")})
+        name = part.strip("{}")
+        if name in variables:
+            value = F.col(variables[name]).cast("string")
+            missing = missing | value.isNull()
+            pieces.append(F.coalesce(value, F.lit("")))
+        else:
+            missing = F.lit(True)
+            pieces.append(F.lit(part))
+    return df.withColumns({into: F.concat(*pieces), "missing_variable": missing})
 
 
 def schedule_local_send(event_at: Column, zone: Column, hour: int = 10, cooling_min: int = 60) -> Column:

@@ -180,6 +180,16 @@ def reconcile_sources(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Seq
     return out.withColumn("status", status).drop("__a", "__b")
 
 
+def split_traffic(df: DataFrame, keys: Sequence[str], share: float = 0.5, salt: str = "migration", into: str = "route") -> DataFrame:
+    """J19, the step after a clean comparison: ``new`` for a stable share of the keys, ``old`` for the rest.
+
+    A key's route depends on the key and the salt alone, and a larger share only adds keys to ``new``.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(salt), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10_000
+    return df.withColumn(into, F.when(place < round(share * 10_000), "new").otherwise("old"))
+
+
 def attach_country_settings(df: DataFrame, settings: DataFrame, defaults: Mapping[str, object], key: str = "country") -> DataFrame:
     """Per-country settings with defaults."""
     out = df.join(settings, key, "left")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beckon.functions.convert import as_ts, days_between
+from beckon.functions.isolate import with_isolated
 from beckon.operators.mapping import max_score
 from beckon.schema import REJECTION, ddl
 
@@ -85,11 +86,23 @@ def filter_business_rule(params: Mapping, filter_id: str, as_of=None) -> Column:
     return out
 
 
+def sql_column(filter_id: str) -> str:
+    return f"__sql_{filter_id}"
+
+
+def filter_sql(params: Mapping, filter_id: str, as_of=None) -> Column:
+    """a SQL condition under which a row passes; ``filter_chain`` evaluates it in isolation."""
+    held = F.col(sql_column(filter_id))
+    failed = F.when(held.isNull(), _reject(filter_id, "FILTER_ERROR", "condition could not be evaluated"))
+    return failed.when(~held, _reject(filter_id, params.get("code", "CONDITION_FAILED"), params.get("reason", params["condition"])))
+
+
 FILTERS: dict[str, Callable[..., Column]] = {
     "eligibility": filter_eligibility,
     "trust": filter_trust,
     "quality": filter_quality,
     "business_rule": filter_business_rule,
+    "sql": filter_sql,
 }
 
 
@@ -117,22 +130,25 @@ def filter_chain(
     """adds ``rejection`` (null for passed rows) and appends it to ``rejection_history``.
 
     ``guard`` maps a filter id to a condition under which that filter cannot be evaluated;
-    such rows are rejected with FILTER_ERROR at that filter's place in the chain.
+    such rows are rejected with FILTER_ERROR at that filter's place in the chain.  Filters of type ``sql``
+    need no guard: a condition that fails to evaluate, or is null, is a FILTER_ERROR of that row alone.
     """
     known = {**FILTERS, **(registry or {})}
     steps = []
+    texts = {sql_column(s.id): f"cast({s.params['condition']} as boolean)" for s in specs if s.enabled and s.type == "sql"}
+    df = with_isolated(df, texts)
     for spec in sorted((s for s in specs if s.enabled), key=lambda s: s.order):
         verdict = known[spec.type](spec.params, spec.id, as_of)
         if guard and spec.id in guard:
             broken = F.coalesce(guard[spec.id], F.lit(False))
-            verdict = F.when(broken, _reject(spec.id, "FILTER_ERROR", "Filter execution failed: input not usable")).otherwise(verdict)
+            verdict = F.when(broken, _reject(spec.id, "FILTER_ERROR", "input not usable")).otherwise(verdict)
         steps.append(verdict)
     first = F.coalesce(*steps) if steps else F.when(F.lit(False), _reject("", "", ""))
     stamp = F.struct(F.col("rejection.filter_id"), F.col("rejection.reason"), F.col("rejection.reason_code"), as_ts(as_of).alias("timestamp"))
     record = F.array(stamp).cast(f"array<{ddl(REJECTION)}>")
     old = F.coalesce(F.col("rejection_history"), F.array().cast(f"array<{ddl(REJECTION)}>"))
     out = df.withColumn("rejection", first)
-    return out.withColumn("rejection_history", F.when(F.col("rejection").isNotNull(), F.concat(old, record)).otherwise(F.col("rejection_history")))
+    return out.withColumn("rejection_history", F.when(F.col("rejection").isNotNull(), F.concat(old, record)).otherwise(F.col("rejection_history"))).drop(*texts)
 
 
 def split_passed_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -100,7 +100,7 @@ def normalize(df: DataFrame, rules: Mapping[str, str | Sequence[str]]) -> DataFr
             national = F.when(F.length(digits) == 10, F.concat(F.lit("+1"), digits))
             return national.when(F.length(digits) > 0, F.concat(F.lit("+"), digits))
         if rule == "utc":
-            return F.to_utc_timestamp(col.cast("timestamp"), "UTC")
+            return F.to_utc_timestamp(col.try_cast("timestamp"), "UTC")
         if rule.startswith("date:"):
             return F.try_to_timestamp(col, F.lit(rule[5:]))
         raise ValueError(f"unknown rule {rule}")

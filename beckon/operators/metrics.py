@@ -163,6 +163,23 @@ def legacy_usage(requests: DataFrame, customers: str = "customer_ids", approx: b
     return counts.join(ids.groupBy("dimension", "value").agg(unique), ["dimension", "value"])
 
 
+def daily_customer_sketches(requests: DataFrame, customers: str = "customer_ids", precision: int = 14) -> DataFrame:
+    """A14 over time: one HyperLogLog sketch per dimension, value and day, a few kilobytes whatever its customers.
+
+    Days can be written as they end and merged for any longer period by ``merge_customer_sketches``, without the requests.
+    """
+    dims = ("endpoint", "channel", "program_id")
+    pairs = F.array(F.struct(F.lit("total").alias("dimension"), F.lit("all").alias("value")), *[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims])
+    ids = requests.select(F.to_date("ts").alias("day"), F.explode(pairs).alias("d"), customers).select("day", "d.*", F.explode(customers).alias("c"))
+    return ids.filter("value is not null and c is not null").groupBy("dimension", "value", "day").agg(F.hll_sketch_agg("c", precision).alias("sketch"), F.count(F.lit(1)).alias("mentions"))
+
+
+def merge_customer_sketches(sketches: DataFrame, period: Column) -> DataFrame:
+    """Distinct customers per dimension, value and ``period`` of the day, from daily sketches alone."""
+    merged = sketches.groupBy("dimension", "value", period.alias("period")).agg(F.hll_union_agg("sketch").alias("__s"), F.sum("mentions").alias("mentions"))
+    return merged.withColumn("customers", F.hll_sketch_estimate("__s")).drop("__s")
+
+
 def exact_sum(value: str, scale: int = 6) -> Column:
     """Sum of a double column that does not depend on row order (up to ``scale`` decimals)."""
     return F.sum(F.col(value).cast(f"decimal(28,{scale})")).cast("double")

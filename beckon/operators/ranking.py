@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from beckon.functions.convert import as_ts, days_between
 from beckon.operators.filters import serving_eligible
 from beckon.operators.mapping import context_id, max_score, score_value, strip_scores
-from beckon.operators.timeline import _null_safe, greedy_openings, previous_row, split_row_number
+from beckon.operators.timeline import _null_safe, equal_depth, greedy_openings, previous_row, split_row_number
 
 # fixed values: subject priorities per channel
 CHANNEL_PRIORITIES = {
@@ -207,13 +207,15 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], score: str, tie: str, n:
 
 
 def by_status_min_score(df: DataFrame, status: str, min_score: float, newest_first: bool, page_size: int, at: str, score: str, tie: str) -> DataFrame:
-    """Page number of each match in the chosen order, without one task sorting all."""
+    """Page number of each match in the chosen order, without one task sorting all.
+
+    Ranges of equal depth are numbered apart; of the whole table only their counts are added up in sequence.
+    """
     hit = df.filter((F.col("status") == status) & (F.col(score) >= min_score))
-    if newest_first:
-        s = Strategy((F.desc(at), F.asc(tie)), (-_day(F.col(at)),))
-    else:
-        s = Strategy((F.desc(score), F.asc(tie)), (-F.floor(F.col(score) * SCORE_STEPS),))
-    ranked = split_row_number(hit, [], s.order, s.buckets, "row_no")
+    lead = at if newest_first else score
+    numeric = dict(df.dtypes)[tie] in ("int", "bigint", "double", "float", "smallint", "tinyint")
+    outer, inner = equal_depth(hit, lead, tie=tie if numeric else None)
+    ranked = split_row_number(hit, [], [F.desc_nulls_last(lead), F.asc(tie)], [-outer, inner], "row_no")
     return ranked.withColumn("page_no", F.floor((F.col("row_no") - 1) / page_size).cast("bigint"))
 
 
@@ -233,10 +235,11 @@ def fixed_window_throttle(df: DataFrame, key: str, ts: str, tie: str, max_reques
     A window resets with the first request at or after its length; denied requests do not
     count, so the first ``max_requests`` of each window pass.  Millisecond precision.
     With ``permits`` a request takes that many (null: one); one that does not fit takes nothing,
-    and a smaller later one may still pass.
+    and a smaller later one may still pass.  A request for less than none never passes and opens no window.
     """
     tick = F.unix_millis(F.col(ts))
-    opened = greedy_openings(df, [key], tick, window_ms).select(key, F.col("tick").alias("__t"), F.col("opening").alias("window_start_ms"))
+    opens = df if permits is None else df.filter(F.coalesce(F.col(permits) >= 0, F.lit(True)))
+    opened = greedy_openings(opens, [key], tick, window_ms).select(key, F.col("tick").alias("__t"), F.col("opening").alias("window_start_ms"))
     placed = _null_safe(df.withColumn("__t", tick), opened, [key, "__t"])
     if permits is not None:
         return _take_permits(placed.drop("__t"), [key, "window_start_ms"], [ts, tie], permits, max_requests)
@@ -254,7 +257,7 @@ def _take_permits(df: DataFrame, window: Sequence[str], order: Sequence[str], pe
             for w, n in zip(pdf["__w"].tolist(), pdf["__n"].tolist()):
                 if w != at:
                     at, used = w, 0
-                fits = used + n <= most
+                fits = 0 <= n and used + n <= most
                 used += n if fits else 0
                 allowed.append(fits)
             yield pdf.assign(allowed=allowed)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beckon.functions.convert import as_ts
+from beckon.functions.isolate import with_isolated
 from beckon.schema import SCORE, ddl
 
 # fixed values: fallback score, cache lifetimes, ensemble and cascade defaults
@@ -25,11 +26,12 @@ class Model:
     """M2, the scorer plug-in: ``value`` (and ``confidence``) are columns over the feature row.
 
     Use a SQL expression, a ``pandas_scorer`` column, or score by batches with
-    ``score_batches``.  A null value means the model failed for that row.
+    ``score_batches``.  A null value means the model failed for that row.  A ``value`` given as SQL text is
+    isolated: what cannot be evaluated is null for that row alone.
     """
 
     id: str
-    value: Column
+    value: Column | str
     confidence: Column | None = None
     version: str = "1"
     required: Sequence[str] = ()
@@ -40,8 +42,8 @@ def pandas_scorer(fn: Callable[..., pd.Series], *cols: str) -> Column:
     """M2: a vectorised scorer over the named feature columns.
 
     A batch that fails is scored row by row, and rows that fail get null, so one row or
-    one model never stops the others.  SQL models guard themselves with ``try_divide``,
-    ``try_cast`` and the like, since sessions run in ANSI mode.
+    one model never stops the others.  A model given as SQL text is isolated likewise, see ``Model``; one given as a
+    column guards itself with ``try_divide``, ``try_cast`` and the like, since sessions run in ANSI mode.
     """
 
     def guarded(*values: pd.Series) -> pd.Series:
@@ -72,12 +74,14 @@ def score_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sch
 
 def _usable(model: Model) -> Column:
     have = [F.col(f).isNotNull() for f in model.required]
-    return F.when(reduce(lambda a, b: a & b, have, F.lit(True)), model.value)
+    value = F.col(f"__sql_{model.id}") if isinstance(model.value, str) else model.value
+    return F.when(reduce(lambda a, b: a & b, have, F.lit(True)), value)
 
 
 def score_models(df: DataFrame, models: Sequence[Model], as_of, into: str = "scores") -> DataFrame:
     """M1: every model on its own; a failing or feature-less model has no entry."""
-    staged = df.withColumns({f"__v{i}": _usable(m).cast("double") for i, m in enumerate(models)})
+    texts = {f"__sql_{m.id}": f"cast({m.value} as double)" for m in models if isinstance(m.value, str)}
+    staged = with_isolated(df, texts).withColumns({f"__v{i}": _usable(m).cast("double") for i, m in enumerate(models)})
     entries = []
     for i, m in enumerate(models):
         score = F.struct(
@@ -86,7 +90,7 @@ def score_models(df: DataFrame, models: Sequence[Model], as_of, into: str = "sco
         ).cast(ddl(SCORE))
         none = F.create_map().cast(f"map<string,{ddl(SCORE)}>")
         entries.append(F.when(F.col(f"__v{i}").isNotNull(), F.create_map(F.lit(m.id), score)).otherwise(none))
-    return staged.withColumn(into, F.map_concat(*entries)).drop(*[f"__v{i}" for i in range(len(models))])
+    return staged.withColumn(into, F.map_concat(*entries)).drop(*[f"__v{i}" for i in range(len(models))], *texts)
 
 
 def score_long(df: DataFrame, ids: Sequence[str], scores: str = "scores") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 DAY = 86400
 MAX_BLOCK_TICKS = 1_000_000  # distinct ticks one block may hold (one gap at least)
+ORDER_PARTS = 1000  # ranges of a global order
 SPELL = 1024  # blocks of a greedy window that are composed to one
 _ANY = np.iinfo(np.int64).max
 
@@ -200,6 +201,40 @@ def split_row_number(
     return out if limit is None else out.filter(F.col(name) <= limit)
 
 
+def equal_depth(df: DataFrame, column: str, parts: int = ORDER_PARTS, tie: str | None = None) -> tuple[Column, Column]:
+    """Two ascending codes that cut a global order by ``column`` (then a numeric ``tie``) into ranges of about equal size.
+
+    Bounds are quantiles of one sketch pass, at most ``parts`` numbers on the driver.  A value that spans several ranges is a
+    hot one; its rows are cut by quantiles of their tie.  Nulls come first.  Where ranges end changes cost only.
+    """
+    shares = [k / parts for k in range(1, parts)]
+    exact_value = F.col(column).cast("double") if dict(df.dtypes)[column] not in ("timestamp", "date") else F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    sketch = lambda c: F.percentile_approx(c, F.array(*[F.lit(s) for s in shares]), 10 * parts)
+    found = df.agg(sketch(exact_value)).first()[0] or []
+    bounds = sorted(set(found))
+    hot = [v for v in bounds if found.count(v) > 1]
+    ties: dict[float, list[float]] = {}
+    if tie is not None and hot:
+        rows = df.select(exact_value.alias("v"), F.col(tie).cast("double").alias("t")).filter(F.col("v").isin(hot)).groupBy("v").agg(sketch(F.col("t")).alias("q")).collect()
+        ties = {r["v"]: sorted(set(r["q"] or [])) for r in rows}
+
+    @F.pandas_udf("long")
+    def place(value: pd.Series) -> pd.Series:
+        # 2k + 1 for the k-th bound itself, even numbers between bounds
+        x = value.to_numpy(np.float64, na_value=-np.inf)
+        return pd.Series(np.searchsorted(bounds, x, side="left") + np.searchsorted(bounds, x, side="right"))
+
+    @F.pandas_udf("long")
+    def inner(value: pd.Series, own: pd.Series) -> pd.Series:
+        x, t = value.to_numpy(np.float64, na_value=np.nan), own.to_numpy(np.float64, na_value=-np.inf)
+        out = np.zeros(len(x), np.int64)
+        for v, cuts in ties.items():
+            out[x == v] = np.searchsorted(cuts, t[x == v], side="right")
+        return pd.Series(out)
+
+    return place(exact_value), inner(exact_value, F.col(tie).cast("double")) if ties else F.lit(0)
+
+
 def first_k_flag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, ids: Sequence[str], name: str = "position") -> DataFrame:
     """Adds the position of the first ``k`` rows per key, null beyond; every row is kept.
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beckon.operators.filters import haversine_miles
-from beckon.operators.timeline import DAY, previous_row, prior_totals, trailing_aggregate
+from beckon.operators.timeline import DAY, _null_safe, previous_row, prior_totals, trailing_aggregate
 
 HOUR = 3600
 # fixed values: default limits of the fraud and security rules
@@ -85,12 +85,38 @@ def frequency_cap(
     program in seven days.  The window is closed at its start.
     """
     rules = rules or [{"scope": "program", "max": DEFAULT_CAP, "window": f"{DEFAULT_CAP_DAYS}d"}]
-    out, oks = candidates, []
-    for i, r in enumerate(rules):
-        keys = [customer] if r["scope"] == "global" else [customer, program]
-        out = frequency_window_counts(out, sends, keys, at, sent_at, parse_window(r["window"]), f"sends_{i}")
-        oks.append(F.col(f"sends_{i}") < r["max"])
-    return out.withColumn("allowed", _all(oks))
+    windows = [(r["scope"] == "program", parse_window(r["window"])) for r in rules]
+    out = windowed_sends(candidates, sends, at, sent_at, windows, customer, program)
+    return out.withColumn("allowed", _all([F.col(f"sends_{i}") < r["max"] for i, r in enumerate(rules)]))
+
+
+def windowed_sends(candidates: DataFrame, sends: DataFrame, at: str, sent_at: str, windows: Sequence[tuple[bool, int]], customer: str, program: str) -> DataFrame:
+    """``sends_0``, ``sends_1``, ...: earlier sends in ``[at - w, at)`` for each (per program?, w), all in one sweep.
+
+    Both sides are aggregated by second once and then stand in one timeline for every window, with the window's number
+    as part of the key; a candidate's second asks twice, at the start and at the end.  Buckets are one window wide, so a
+    task sees two windows of one key at most.  The plan does not depend on the number of windows, and candidates are
+    joined once.  Candidates without a time have no earlier sends.
+    """
+    own = [customer, program]
+    c = candidates.select(*own, F.unix_seconds(at).alias("sec"), F.lit(0).alias("w"), F.lit(1).alias("asks"))
+    s = sends.select(*own, F.unix_seconds(sent_at).alias("sec"), F.lit(1).alias("w"), F.lit(0).alias("asks"))
+    seconds = c.unionByName(s).filter("sec is not null").groupBy(*own, "sec").agg(F.sum("w").alias("n"), F.max("asks").alias("asks"))
+    kinds = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(scoped).alias("scoped"), F.lit(w).cast("bigint").alias("width")) for i, (scoped, w) in enumerate(windows)])
+    timed = seconds.withColumn("r", F.explode(kinds)).select("*", "r.*").drop("r")
+    timed = timed.withColumn("scope", F.when(F.col("scoped"), F.col(program))).withColumn("b", F.floor(F.col("sec") / F.col("width")))
+    mark = lambda b, pos, kind, n, sign: F.struct(b.alias("b"), pos.alias("pos"), F.lit(kind).alias("kind"), n.alias("n"), F.lit(sign).alias("sign"))
+    none, b, sec = F.lit(0).cast("bigint"), F.col("b"), F.col("sec")
+    sent = F.when(F.col("n") > 0, F.array(mark(b, sec, 1, F.col("n"), 0), mark(b + 1, sec, 1, F.col("n"), 0)))
+    asked = F.when(F.col("asks") > 0, F.array(mark(b, sec - F.col("width"), 0, none, -1), mark(b, sec, 0, none, 1)))
+    nothing = F.array().cast("array<struct<b:bigint,pos:bigint,kind:int,n:bigint,sign:int>>")
+    placed = timed.select(*own, "sec", "rule", "scoped", "scope", F.explode(F.concat(F.coalesce(sent, nothing), F.coalesce(asked, nothing))).alias("e")).select("*", "e.*").drop("e")
+    upto = Window.partitionBy("rule", customer, "scoped", "scope", "b").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = placed.withColumn("run", F.sum("n").over(upto)).filter("sign != 0")
+    sums = [F.sum(F.when(F.col("rule") == i, F.col("sign") * F.col("run"))).alias(f"sends_{i}") for i in range(len(windows))]
+    counts = run.groupBy(*own, F.col("sec").alias("__sec")).agg(*sums)
+    out = _null_safe(candidates.withColumn("__sec", F.unix_seconds(at)), counts, [*own, "__sec"])
+    return out.withColumns({f"sends_{i}": F.coalesce(f"sends_{i}", F.lit(0)) for i in range(len(windows))}).drop("__sec")
 
 
 def _all(conds: Sequence[Column]) -> Column:

@@ -79,6 +79,21 @@ def f5_error(spark, sf):
     return out.select("k", "rejection.filter_id", "rejection.reason_code")
 
 
+@query(
+    "f5_sql_filters",
+    """select k, case when k % 4 = 0 then 'ratio' when 100 // (k % 4) < 50 then 'ratio' when k % 5 = 0 then 'number' when k % 5 < 3 then 'number' end as filter_id,
+    case when k % 4 = 0 then 'FILTER_ERROR' when 100 // (k % 4) < 50 then 'RATIO_LOW' when k % 5 = 0 then 'FILTER_ERROR' when k % 5 < 3 then 'CONDITION_FAILED' end as reason_code from cand_core""",
+    ("cand_core",),
+)
+def f5_sql(spark, sf):
+    chain = [
+        fl.FilterSpec("ratio", "sql", 0, params={"condition": "100 / (k % 4) >= 50", "code": "RATIO_LOW"}),
+        fl.FilterSpec("number", "sql", 1, params={"condition": "cast(case when k % 5 = 0 then 'none' else cast(k % 5 as string) end as int) >= 3"}),
+    ]
+    out = fl.filter_chain(candidates(spark, sf, delivery=False), chain, AS_OF_ORDERS)
+    return out.select("k", "rejection.filter_id", "rejection.reason_code")
+
+
 @query("f6_passed", f"select k from ({CHAIN_SQL}) where reason_code is null", ("cand",))
 def f6_passed(spark, sf):
     return fl.split_passed_rejected(fl.filter_chain(candidates(spark, sf), CHAIN, AS_OF_ORDERS))[0].select("k")

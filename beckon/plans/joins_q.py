@@ -232,6 +232,15 @@ def j19(spark, sf):
     return out.withColumn("changed", F.array_join("changed", ","))
 
 
+@query(
+    "j19_split_traffic",
+    """select p_partkey, case when ('0x' || substr(md5('migration|' || p_partkey), 1, 8))::bigint % 10000 < 5000 then 'new' else 'old' end as route from stock""",
+    ("stock",),
+)
+def j19_split(spark, sf):
+    return en.split_traffic(fixture(spark, sf, "stock"), ["p_partkey"]).select("p_partkey", "route")
+
+
 @query(
     "j20_attach_country_settings",
     """select k, coalesce(sender_id, 'CEN') as sender_id, coalesce(max_price, 0.03e0) as max_price from cand_core join clients using (program_id) left join country_settings using (country)""",

@@ -181,6 +181,27 @@ def a14(spark, sf):
     return out.withColumns({c: iso(F.col(c)) for c in ("first_request", "last_request")})
 
 
+@query(
+    "a14_customers_by_month",
+    """with u as (select date_trunc('month', ts) as m, unnest([['total', 'all'], ['endpoint', endpoint], ['channel', channel], ['program_id', program_id]]) as d, customer_id, user_id, endpoint from usage_log),
+    c as (select m, d[1] as dimension, d[2] as value, unnest(case when endpoint = 'getBatch' then [customer_id, 'CUST-' || (user_id + 1)] else [customer_id] end) as c from u where d[2] is not null)
+    select dimension, value, strftime(m, '%Y-%m') as month, count(c) as mentions, true as within_2_percent from c where c is not null group by all""",
+    ("usage_log",),
+)
+def a14_months(spark, sf):
+    df = fixture(spark, sf, "usage_log").withColumn(
+        "customer_ids", F.expr("case when endpoint = 'getBatch' then array(customer_id, concat('CUST-', user_id + 1)) else array(customer_id) end")
+    )
+    month = F.date_format("day", "yyyy-MM")
+    merged = me.merge_customer_sketches(me.daily_customer_sketches(df), month)
+    exact = me.legacy_usage(df.withColumn("__m", F.date_format("ts", "yyyy-MM")).withColumn("endpoint", F.concat_ws("@", "endpoint", "__m")).withColumn("channel", F.concat_ws("@", "channel", "__m")).withColumn("program_id", F.concat_ws("@", "program_id", "__m")))
+    truth = exact.filter("dimension != 'total'").select("dimension", F.substring_index("value", "@", 1).alias("value"), F.substring_index("value", "@", -1).alias("period"), F.col("customers").alias("exact"))
+    total = df.select(F.date_format("ts", "yyyy-MM").alias("period"), F.explode("customer_ids").alias("c")).groupBy("period").agg(F.count_distinct("c").alias("exact"))
+    truth = truth.unionByName(total.select(F.lit("total").alias("dimension"), F.lit("all").alias("value"), "period", "exact"))
+    both = merged.join(truth, ["dimension", "value", "period"])
+    return both.select("dimension", "value", F.col("period").alias("month"), "mentions", (F.abs(F.col("customers") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within_2_percent"))
+
+
 @query(
     "a15_customer_features",
     """select o_custkey, cast(sum(cast(o_totalprice as decimal(28,6))) as double) as lifetime_value, count(*) as purchase_frequency, cast(sum(cast(o_totalprice as decimal(28,6))) as double) / count(*)::double as avg_order_value,

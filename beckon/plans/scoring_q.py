@@ -35,6 +35,23 @@ def m1(spark, sf):
     return sc.score_long(out, ["customer_id"]).select("customer_id", "model_id", "value", "confidence")
 
 
+@query(
+    "m1_isolated_models",
+    """select customer_id, 'rate' as model_id, case when order_count % 7 <> 0 then 1.0e0 / (order_count % 7) end as value from features where order_count % 7 <> 0
+    union all select customer_id, 'text', try_cast(case when order_count % 3 = 0 then 'n/a' else order_count::varchar end as double) from features where order_count % 3 <> 0
+    union all select customer_id, 'safe', 0.5e0 from features""",
+    ("features",),
+)
+def m1_isolated(spark, sf):
+    models = [
+        sc.Model("rate", "1 / (order_count % 7)"),
+        sc.Model("text", "cast(case when order_count % 3 = 0 then 'n/a' else cast(order_count as string) end as double)"),
+        sc.Model("safe", "0.5"),
+    ]
+    out = sc.score_models(feature_rows(spark, sf), models, AS_OF_ORDERS)
+    return sc.score_long(out, ["customer_id"]).select("customer_id", "model_id", "value")
+
+
 def _linear(total: pd.Series, count: pd.Series) -> pd.Series:
     return (total / count / 400000.0).clip(upper=1.0)
 

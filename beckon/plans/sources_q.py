@@ -26,6 +26,16 @@ def s1(spark, sf):
     return wh.warehouse_scan(spark, SCAN_SQL, params, {"orders": fixture(spark, sf, "orders")})
 
 
+@query(
+    "s1_scan_literals",
+    """select o_orderkey, 'a {status} b' as note from orders where strftime(o_orderdate, '%Y-%m') like '1997-1%' and o_orderpriority like '2-%' and o_comment_text <> '1997 {x}'""".replace("o_comment_text", "'-'"),
+)
+def s1_literals(spark, sf):
+    text = """select o_orderkey, 'a ' || '{open}' || 'status} b' as note /* {not_a_parameter} */ from orders
+    where date_format(o_orderdate, 'yyyy-MM') like '{year}-1%' and o_orderpriority like '{level}-%' -- {nor_this}"""
+    return wh.warehouse_scan(spark, text, {"year": 1997, "level": "2", "open": "{"}, {"orders": fixture(spark, sf, "orders")})
+
+
 @query(
     "s2_stringify_rows",
     """select cast(k as string) k, customer_id, order_value_text, cast(email as string) email, cast(version as string) as version from
@@ -199,7 +209,7 @@ def s11(spark, sf):
 )
 def s12(spark, sf):
     df = fixture(spark, sf, "orders").select("o_orderkey")
-    return wh.paged_extract(df, "o_orderkey", 500, F.floor(F.col("o_orderkey") / 4096)).select("o_orderkey", "page_no")
+    return wh.paged_extract(df, "o_orderkey", 500).select("o_orderkey", "page_no")
 
 
 @query(

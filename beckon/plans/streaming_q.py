@@ -180,3 +180,15 @@ def t9(spark, sf):
     d = stream_fixture(spark, sf, "deliveries").select("delivery_id", "sent_at")
     o = stream_fixture(spark, sf, "opens").select("delivery_id", "opened_at")
     return drain(so.open_tracking_stream(d, o), "t9").select("delivery_id", iso(F.col("opened_at")).alias("opened_at"))
+
+
+@query(
+    "t9_unopened_stream",
+    """select delivery_id from deliveries d where not exists (select 1 from opens o where o.delivery_id = d.delivery_id and opened_at between sent_at and sent_at + interval '2' hour)
+    and sent_at + interval '2' hour < least((select max(sent_at) from deliveries), (select max(opened_at) from opens)) - interval '1' hour""",
+    ("deliveries", "opens"),
+)
+def t9_unopened(spark, sf):
+    d = stream_fixture(spark, sf, "deliveries").select("delivery_id", "sent_at")
+    o = stream_fixture(spark, sf, "opens").select("delivery_id", "opened_at")
+    return drain(so.unopened_stream(d, o), "t9u").select("delivery_id")

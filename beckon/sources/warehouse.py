@@ -9,23 +9,53 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from beckon.functions.convert import as_ts
-from beckon.operators.timeline import split_row_number
+from beckon.operators.timeline import equal_depth, split_row_number
 
-_PARAM = re.compile(r"'\{(\w+)\}'|\{(\w+)\}")
+# literals, quoted names and comments, each as a whole, or a placeholder outside of them
+_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|\{(\w+)\}", re.S)
+_NAME = re.compile(r"\{(\w+)\}")
+
+
+def bind(sql: str) -> tuple[str, set[str]]:
+    """The text with ``{name}`` placeholders as ``:name`` arguments, and their names.
+
+    A placeholder that is a whole literal keeps its value's type; one within a longer literal joins its text to the rest;
+    comments and quoted names are left alone.
+    """
+    names: set[str] = set()
+
+    def argument(name: str) -> str:
+        names.add(name)
+        return f":{name}"
+
+    def token(m: re.Match) -> str:
+        text = m.group(0)
+        if m.group(1):
+            return argument(m.group(1))
+        if text[0] not in "'\"" or not _NAME.search(text):
+            return text
+        quote, inner = text[0], text[1:-1]
+        parts = _NAME.split(inner)  # text, name, text, name, ..., text
+        if len(parts) == 3 and not parts[0] and not parts[2]:
+            return argument(parts[1])
+        pieces = [f"cast({argument(p)} as string)" if k % 2 else f"{quote}{p}{quote}" for k, p in enumerate(parts) if p]
+        return f"concat({', '.join(pieces)})"
+
+    return _TOKEN.sub(token, sql), names
 
 
 def warehouse_scan(spark: SparkSession, sql: str, params: Mapping[str, object], tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Run a configured query with ``{name}`` parameters bound as typed SQL arguments.
+    """Run a configured query with ``{name}`` parameters bound as typed SQL arguments, see ``bind``.
 
-    Values are bound, never pasted into the text; filters reach the Parquet scan.
+    Values are bound, never pasted into the text; filters reach the Parquet scan.  ``tables`` become
+    session views of their names.
     """
-    for name, df in (tables or {}).items():
-        df.createOrReplaceTempView(name)
-    text = _PARAM.sub(lambda m: ":" + (m.group(1) or m.group(2)), sql)
-    wanted = {m.group(1) or m.group(2) for m in _PARAM.finditer(sql)}
+    text, wanted = bind(sql)
     missing = wanted - set(params)
     if missing:
         raise ValueError(f"missing query parameters: {sorted(missing)}")
+    for name, df in (tables or {}).items():
+        df.createOrReplaceTempView(name)
     return spark.sql(text, args={k: params[k] for k in wanted})
 
 
@@ -69,11 +99,13 @@ def write_export(df: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
-def paged_extract(df: DataFrame, key: str, page_size: int, bucket: Column, max_pages: int | None = None) -> DataFrame:
+def paged_extract(df: DataFrame, key: str, page_size: int, bucket: Column | None = None, max_pages: int | None = None) -> DataFrame:
     """Page number of each row in key order; ``bucket`` is a coarse ascending code of the key.
 
-    Offsets come from per-bucket counts, so no task sees the whole table.
+    Without one the key (a number or time) is cut into ranges of equal depth.  Offsets come from
+    per-range counts, so no task sees the whole table and what is added up in sequence does not grow with it.
     """
     limit = None if max_pages is None else page_size * max_pages
-    ranked = split_row_number(df, [], [F.asc(key)], [bucket], "row_no", limit)
+    codes = [bucket] if bucket is not None else list(equal_depth(df, key))
+    ranked = split_row_number(df, [], [F.asc(key)], codes, "row_no", limit)
     return ranked.withColumn("page_no", F.floor((F.col("row_no") - 1) / F.lit(page_size)).cast("bigint"))

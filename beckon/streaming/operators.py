@@ -171,3 +171,13 @@ def open_tracking_stream(deliveries: DataFrame, opens: DataFrame, within: str =
     )
     return d.join(o, bound, how).drop("__id")
 
+
+
+def unopened_stream(deliveries: DataFrame, opens: DataFrame, within: str = "2 hours", lateness: str = "1 hour") -> DataFrame:
+    """Deliveries that nobody opened within the bound, given out once the watermark shows that none can come.
+
+    An outer join of the streams: its unmatched rows leave state with the watermark.  Repeated opens of one delivery
+    change nothing, and a delivery without a time is not waited for.
+    """
+    joined = open_tracking_stream(deliveries.filter(F.col("sent_at").isNotNull()), opens, within, lateness, "leftOuter")
+    return joined.filter(F.col("opened_at").isNull()).drop("opened_at")
