@@ -70,8 +70,12 @@ def redact_name(col: Column) -> Column:
 
 
 def redact_all(col: Column) -> Column:
-    """Email, phone, card, ssn in this order (so the phone rule reaches long digit runs first)."""
-    return redact_ssn(redact_card(redact_phone(redact_email(col))))
+    """Email, phone, card, ssn in this order (so the phone rule reaches long digit runs first).
+
+    Every rule needs an at sign or four digits in a row, so most text is looked at once and left alone.
+    """
+    mail = F.when(F.instr(col, "@") > 0, redact_email(col)).otherwise(col)
+    return F.when(col.rlike("[0-9]{4}"), redact_ssn(redact_card(redact_phone(mail)))).otherwise(mail)
 
 
 def redact_columns(df: DataFrame) -> DataFrame:
