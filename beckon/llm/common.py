@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,10 +19,19 @@ from beckon.session import checkpoint_dir
 _NOT_WORD = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 _SPACES = bytes.maketrans(bytes(_NOT_WORD), b" " * len(_NOT_WORD))
 
+BATCH_BYTES = 8 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 Batches = Iterator[pa.RecordBatch]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of about ``BATCH_BYTES``, since ten thousand rows of whole texts are a lot for a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,16 +43,43 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: work is done once and its lineage ends.
 
-    The files stay until the folder is cleaned, since the returned DataFrame reads them.
+    The files stay until the folder is cleaned, since the returned DataFrame reads them; the shuffles behind them are
+    removed at once.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(tidy(fn), schema)
+
+
+def tidy(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``fn`` for ``mapInArrow``, giving freed memory back to the system at its end, as idle workers keep theirs."""
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Give memory that is free but held by this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beckon.llm.automaton import SuffixAutomaton
-from beckon.llm.common import Batches, contract_words, slices, utf8
+from beckon.llm.common import Batches, contract_words, slices, tidy, utf8
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -130,7 +130,7 @@ def item_segments(bench: DataFrame, item: str, text: str, window: int) -> DataFr
             yield pa.RecordBatch.from_pylist([dict(zip(("item", "segment", "words", "n"), r, strict=True)) for r in rows], schema=pa.schema([("item", pa.string()), ("segment", pa.int64()), ("words", pa.binary()), ("n", pa.int64())]))
 
     named = bench.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("body"))
-    return named.mapInArrow(cut, "item string, segment long, words binary, n long").distinct()
+    return named.mapInArrow(tidy(cut), "item string, segment long, words binary, n long").distinct()
 
 
 def item_blocks(bench: DataFrame, item: str, text: str, window: int, block_words: int) -> list[ItemIndex]:
@@ -170,7 +170,7 @@ def scan_block(spark: SparkSession, docs: DataFrame, index: ItemIndex, text: str
                 names = [f.name for f in kept]
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(found, kind)], names=[*names, hits])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(tidy(scan), schema)
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, hits: str = "contamination") -> DataFrame:
@@ -197,7 +197,7 @@ def contamination_report(found: DataFrame, keys: list[str], hits: str = "contami
 
     head = [found.schema[k] for k in keys]
     tail = T._parse_datatype_string("struct<n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:string,contaminated:boolean,longest_match:bigint>").fields
-    return found.select(*keys, hits).mapInArrow(spell, T.StructType([*head, *tail]))
+    return found.select(*keys, hits).mapInArrow(tidy(spell), T.StructType([*head, *tail]))
 
 
 def cut_spans(text: str, runs: list[int]) -> str:
@@ -241,4 +241,4 @@ def decontaminate(docs: DataFrame, bench: DataFrame, max_coverage: float = 0.5,
                 cols = [pa.array([texts[k] for k in keep], rows.column(n).type) if n == text else rows.column(n) for n in fields.names]
                 yield pa.RecordBatch.from_arrays(cols, names=fields.names)
 
-    return found.mapInArrow(clean, fields)
+    return found.mapInArrow(tidy(clean), fields)

@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beckon.llm.common import Batches, materialize, mix64, slices, utf8, whole_groups, word_hashes
+from beckon.llm.common import Batches, materialize, mix64, slices, tidy, utf8, whole_groups, word_hashes
 from beckon.llm.components import components, roots_of
 
 WIDTH = 4
 PERCENT = 85
 HOT = 100  # documents from which on a shingle goes to the end of the order
 HOT_LIMIT = 1 << 18  # the most frequent ones only: the order is broadcast
-CHUNK = 4 << 20  # shingles counted at once
+CHUNK = 1 << 20  # shingles counted at once
 BLOCK = 1024
 FAN = 8
 LEAF = 32
@@ -124,7 +124,7 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
         if size:
             yield flush()
 
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(tidy(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") >= HOT).orderBy(F.desc("n"), "shingle").limit(HOT_LIMIT).select("shingle").toArrow()
     return np.sort(rows.column("shingle").to_numpy().view(np.uint64)) if rows.num_rows else np.empty(0, np.uint64)
 
@@ -155,7 +155,7 @@ def bloom_filter(nodes: DataFrame) -> tuple[int, np.ndarray]:
             p = np.concatenate(bloom_places(b.column("node").to_numpy(), bits)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(p >> block_bits), pa.array(p & (1 << block_bits) - 1)], names=["block", "place"])
 
-    found = nodes.select("node").mapInArrow(spread, "block long, place long").repartition("block").mapInArrow(mark, "block long, bits binary").collect()
+    found = nodes.select("node").mapInArrow(tidy(spread), "block long, place long").repartition("block").mapInArrow(tidy(mark), "block long, bits binary").collect()
     table = np.zeros(1 << bits - 3, np.uint8)
     for r in found:
         at = r["block"] << block_bits - 3
@@ -274,7 +274,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
 def load_sets(docs: DataFrame, nodes: DataFrame, text: str, width: int) -> DataFrame:
@@ -292,7 +292,7 @@ def load_sets(docs: DataFrame, nodes: DataFrame, text: str, width: int) -> DataF
             kept = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(found[kept]), pa.array([sets[k].tobytes() for k in kept], pa.binary())], names=["node", "set"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(load, "node long, set binary")
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(tidy(load), "node long, set binary")
     return materialize(rows.groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
 
 
@@ -398,7 +398,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         for b, sets in each_set("text", width, batches):
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["key", "node", "n"])
 
-    named = materialize(rows.mapInArrow(describe, f"key {kind}, node long, n long"), "shingle-nodes")
+    named = materialize(rows.mapInArrow(tidy(describe), f"key {kind}, node long, n long"), "shingle-nodes")
 
     def once(batches: Batches):
         """Sets by node; copies of a set in one task count once."""
@@ -422,8 +422,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
             maps = [signature(prefix(s, order.value, percent, spare(len(s), percent)), 4).tobytes() for s in fresh.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array([len(s) for s in fresh.values()], pa.int64()), pa.array(maps, pa.binary())], names=["node", "n", "map"])
 
-    entries = rows.select("text").mapInArrow(enter, "entry long, node long, n int").repartition("entry").sortWithinPartitions("entry", "node")
-    met = materialize(entries.mapInArrow(meet, "entry long, node long, n int, hub long"), "shingle-entries")
+    entries = rows.select("text").mapInArrow(tidy(enter), "entry long, node long, n int").repartition("entry").sortWithinPartitions("entry", "node")
+    met = materialize(entries.mapInArrow(tidy(meet), "entry long, node long, n int, hub long"), "shingle-entries")
 
     size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     shared = met.filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= STRONG * size)
@@ -444,16 +444,16 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         out = frame.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return out.select(group, "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    coarse = rows.select("text").mapInArrow(sketch, "node long, n long, map binary").groupBy("node").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    coarse = rows.select("text").mapInArrow(tidy(sketch), "node long, n long, map binary").groupBy("node").agg(F.first("n").alias("n"), F.first("map").alias("map"))
     loaded = in_blocks(grouped.join(still, "entry"), "entry").join(coarse, "node").repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
-    edges = loaded.select("entry", "i", "j", "node", "n", "component", "block", "map").mapInArrow(coarse_task(percent), "a long, b long")
+    edges = loaded.select("entry", "i", "j", "node", "n", "component", "block", "map").mapInArrow(tidy(coarse_task(percent)), "a long, b long")
     clusters = materialize(components(edges).withColumnRenamed("component", "cluster"), "shingle-clusters")
 
     sets = load_sets(docs, clusters.select("node"), text, width)
     sized = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = clusters.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sized, "cluster")
     loaded = in_blocks(placed, "cluster").join(sets, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    more = materialize(loaded.select("cluster", "i", "j", "node", "component", "block", "set").mapInArrow(fine_task(percent), "a long, b long"), "shingle-links")
+    more = materialize(loaded.select("cluster", "i", "j", "node", "component", "block", "set").mapInArrow(tidy(fine_task(percent)), "a long, b long"), "shingle-links")
     final = components(links.union(more)).withColumnRenamed("component", "root")
     placed = named.select("key", "node", "n").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("key").alias("least"))

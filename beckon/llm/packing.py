@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beckon.llm.common import Batches, materialize, slices, utf8
+from beckon.llm.common import Batches, materialize, slices, tidy, utf8
 from beckon.llm.tokens import encoder
 
 WINDOW = 2048
@@ -118,7 +118,7 @@ def token_rows(docs: DataFrame, tokenizer: str, key: str, text: str, queue: str)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(queue).cast("string"), F.lit("")).alias("queue"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(encode, f"key {kind}, queue string, n long, ids binary, part int, local long")
+    return rows.mapInArrow(tidy(encode), f"key {kind}, queue string, n long, ids binary, part int, local long")
 
 
 def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", queue: str = "source", size: int = WINDOW) -> DataFrame:
@@ -165,5 +165,5 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
                         yield pa.RecordBatch.from_arrays(cols, names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    placed = rows.join(starts, ["queue", "part"]).mapInArrow(place, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
+    placed = rows.join(starts, ["queue", "part"]).mapInArrow(tidy(place), f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
     return placed.withColumnRenamed("key", key)
