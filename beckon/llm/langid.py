@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beckon.llm.automaton import SuffixAutomaton
-from beckon.llm.common import Batches, slices, utf8
+from beckon.llm.common import Batches, bounded_batches, release, slices, tidy, utf8
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 300
@@ -178,7 +178,7 @@ def build(samples: dict[str, list[str]]) -> LanguageModel:
     symbol_of[spelled] = _SPELLED
     model = LanguageModel([], [], symbol_of, spelled, np.zeros(0, np.int32), np.zeros(0, np.int32))
     budget = min(LANGUAGE_CHARS, TABLE_CELLS // SYMBOLS // 2 // max(1, len(samples)))
-    tables, roots, base, sized = [], [], 0, []
+    sized = []
     for name in sorted(samples):
         automaton, size = SuffixAutomaton(), 0
         for text in samples[name]:
@@ -189,19 +189,24 @@ def build(samples: dict[str, list[str]]) -> LanguageModel:
             size += len(codes)
             if size >= budget:
                 break
-        if size:
-            sized.append((-size, name, automaton))
-    for size, name, automaton in sorted(sized, key=lambda x: x[:2]):
-        steps = automaton.table(SYMBOLS + 1)[:, :SYMBOLS].astype(np.int64)
-        fresh = np.maximum(steps[0], 0)
-        moved = np.where(steps >= 0, 2 * (steps + base) * SYMBOLS, 2 * (fresh + base)[None, :] * SYMBOLS + 1)
-        tables.append(moved.astype(np.int32).ravel())
+        if size:  # the dense form alone is kept
+            sized.append((-size, name, automaton.table(SYMBOLS + 1)[:, :SYMBOLS].copy()))
+        del automaton
+    sized.sort(key=lambda x: x[:2])
+    model.table = np.empty(sum(steps.size for _, _, steps in sized), np.int32)
+    roots, base = [], 0
+    while sized:
+        size, name, steps = sized.pop(0)
+        fresh = 2 * (np.maximum(steps[0], 0) + np.int32(base)) * SYMBOLS + 1
+        own = model.table[base * SYMBOLS : (base + len(steps)) * SYMBOLS].reshape(steps.shape)
+        np.add(steps, np.int32(base), out=own)
+        own *= 2 * SYMBOLS
+        np.copyto(own, fresh, where=steps < 0)
         roots.append(base * SYMBOLS)
         model.names.append(name)
         model.sizes.append(-size)
-        base += len(automaton)
+        base += len(steps)
     model.roots = np.array(roots, dtype=np.int32)
-    model.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
     return model
 
 
@@ -224,6 +229,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMode
             own.append(r["text"])
     model = build(texts)
     model.calibrate(texts)
+    release()
     return model
 
 
@@ -232,18 +238,19 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
     names = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}bits", f"{prefix}distance"]
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"docs has {sorted(clash)}; pass a prefix")
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), *(T.StructField(n, T.DoubleType()) for n in names[1:])])
 
     def run(batches: Batches) -> Batches:
         own = shared.value
         for whole in batches:
-            for b in slices(whole, text):
+            for b in slices(whole, text, 2 << 20):
                 found = own.judge_all([x.decode() for x in utf8(b.column(text))])
                 tail = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*b.columns, *tail], names=[*b.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def remainder(key: str, of: int) -> Column:
