@@ -19,6 +19,9 @@ DAY = 86400
 MAX_BLOCK_TICKS = 1_000_000  # distinct ticks one block may hold (one gap at least)
 ORDER_PARTS = 1000  # ranges of a global order
 SPELL = 1024  # blocks of a greedy window that are composed to one
+DEPTH = 1_000_000  # rows of one key in one bucket beyond which the bucket is cut into parts of equal depth
+CUT_PARTS = 1000  # parts of such a bucket
+CUT = ("__bucket", "__part")
 _ANY = np.iinfo(np.int64).max
 
 
@@ -97,10 +100,39 @@ def trailing_aggregate(
     return joined.select(*df.columns, *[(total(o).cast("double") if o in sums else total(o)).alias(o) for o in out])
 
 
+def _below(bounds: Column, x: Column, step: int = 32) -> Column:
+    """How many of the ascending ``bounds`` lie below ``x``, by a look at every ``step``-th one and at those between two."""
+    count = lambda some: F.size(F.filter(some, lambda b: b < x))
+    heads = F.filter(bounds, lambda _, i: i % step == 0)
+    chunk = F.greatest(count(heads), F.lit(1)) - 1
+    return chunk * step + count(F.slice(bounds, chunk * step + 1, step))
+
+
+def equal_depth_cuts(df: DataFrame, keys: Sequence[str], position: Column, width: int, depth: int | None = None, parts: int = CUT_PARTS) -> DataFrame:
+    """Adds the codes ``CUT``, which ascend along ``position`` and cut each key's timeline.
+
+    The first is the bucket of fixed ``width``.  A bucket in which one key has more than ``depth`` rows is cut by
+    quantiles of its positions, so that a dense day is up to ``parts`` parts of about equal depth and not one task.
+    Quantiles come from mergeable sketches, one for each dense bucket; one number, the largest depth, comes to the driver,
+    and where it is small enough nothing is sketched or joined.  Rows of one position stay together, as do those without.
+    """
+    most = DEPTH if depth is None else depth
+    keys = list(keys)
+    tagged = df.withColumn("__bucket", _bucket(position, width))
+    sizes = tagged.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    if (sizes.agg(F.max("__n")).first()[0] or 0) <= most:
+        return tagged.withColumn("__part", F.lit(0))
+    dense = sizes.filter(F.col("__n") > most).drop("__n")
+    rows = _null_safe(tagged.select(*keys, "__bucket", position.alias("__p")), dense, [*keys, "__bucket"], "left_semi")
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    bounds = rows.groupBy(*keys, "__bucket").agg(F.array_distinct(F.percentile_approx("__p", shares, 10 * parts)).alias("__bounds"))
+    return _null_safe(tagged, bounds, [*keys, "__bucket"]).withColumn("__part", F.coalesce(_below(F.col("__bounds"), position), F.lit(0))).drop("__bounds")
+
+
 def _carry(buckets: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Last non-null value of earlier buckets; one row per key and bucket goes in and out."""
-    w = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return buckets.select(*keys, "__bucket", *[F.last(c, ignorenulls=True).over(w).alias(f"__carry_{c}") for c in cols])
+    w = Window.partitionBy(*keys).orderBy(*CUT).rowsBetween(Window.unboundedPreceding, -1)
+    return buckets.select(*keys, *CUT, *[F.last(c, ignorenulls=True).over(w).alias(f"__carry_{c}") for c in cols])
 
 
 def asof_join(
@@ -114,6 +146,7 @@ def asof_join(
     strict: bool = False,
     max_age_s: int | None = None,
     bucket_s: int = DAY,
+    depth: int | None = None,
 ) -> DataFrame:
     """For each left row the latest right row of the same key at or before it (before, if strict).
 
@@ -128,12 +161,12 @@ def asof_join(
     lrow = F.struct(*[F.col(c) for c in left.columns])
     lside = F.lit(0 if strict else 1)
     l = left.select(*keys, F.unix_micros(F.col(left_ts)).alias("__pos"), lside.alias("__side"), lrow.alias("__row"))
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("__bucket", _bucket(F.col("__pos"), bucket_s * 1_000_000))
-    w = Window.partitionBy(*keys, "__bucket").orderBy("__pos", "__side", "__rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = equal_depth_cuts(l.unionByName(r, allowMissingColumns=True), keys, F.col("__pos"), bucket_s * 1_000_000, depth)
+    w = Window.partitionBy(*keys, *CUT).orderBy("__pos", "__side", "__rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = both.withColumn("__in", F.last("__hit", ignorenulls=True).over(w)).filter(F.col("__row").isNotNull())
-    table = both.groupBy(*keys, "__bucket").agg(F.max_by("__hit", "__rank").alias("__hit"))
+    table = both.groupBy(*keys, *CUT).agg(F.max_by("__hit", "__rank").alias("__hit"))
     carry = _carry(table, keys, ["__hit"])
-    out = _null_safe(inside.select(*keys, "__bucket", "__row", "__in"), carry, [*keys, "__bucket"])
+    out = _null_safe(inside.select(*keys, *CUT, "__row", "__in"), carry, [*keys, *CUT])
     out = out.withColumn("__got", F.coalesce("__in", "__carry___hit"))
     if max_age_s is not None:
         age = F.unix_micros(F.col(f"__row.{left_ts}")) - F.unix_micros(F.col("__got.__at"))
@@ -142,32 +175,32 @@ def asof_join(
 
 
 def previous_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, width: int, cols: Sequence[str], prefix: str = "prev_"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, width: int, cols: Sequence[str], prefix: str = "prev_", depth: int | None = None
 ) -> DataFrame:
     """``lag(col)`` per key; ``position`` is a number that never falls along ``order``."""
     keys = list(keys)
-    tagged = df.withColumn("__bucket", _bucket(position, width))
+    tagged = equal_depth_cuts(df, keys, position, width, depth)
     row = F.struct(*[F.col(c) for c in cols])
-    w = Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    w = Window.partitionBy(*keys, *CUT).orderBy(*order)
     inside = tagged.withColumn("__in", F.lag(row).over(w))
-    table = tagged.groupBy(*keys, "__bucket").agg(F.max_by(row, F.struct(*order)).alias("__last"))
-    out = _null_safe(inside, _carry(table, keys, ["__last"]), [*keys, "__bucket"])
+    table = tagged.groupBy(*keys, *CUT).agg(F.max_by(row, F.struct(*order)).alias("__last"))
+    out = _null_safe(inside, _carry(table, keys, ["__last"]), [*keys, *CUT])
     got = F.coalesce("__in", "__carry___last")
     return out.select(*df.columns, *[got[c].alias(f"{prefix}{c}") for c in cols])
 
 
 def prior_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, width: int, value: str, count_as: str, sum_as: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, width: int, value: str, count_as: str, sum_as: str, depth: int | None = None
 ) -> DataFrame:
     """Count and sum of ``value`` over all earlier rows of the key (current row excluded)."""
     keys = list(keys)
-    tagged = df.withColumn("__bucket", _bucket(position, width)).withColumn("__x", exact(F.col(value)))
-    w = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tagged = equal_depth_cuts(df, keys, position, width, depth).withColumn("__x", exact(F.col(value)))
+    w = Window.partitionBy(*keys, *CUT).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = tagged.withColumn("__n", F.count("__x").over(w)).withColumn("__s", F.sum("__x").over(w))
-    table = tagged.groupBy(*keys, "__bucket").agg(F.count("__x").alias("n"), F.sum("__x").alias("s"))
-    wb = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    table = table.select(*keys, "__bucket", F.sum("n").over(wb).alias("__bn"), F.sum("s").over(wb).alias("__bs"))
-    out = _null_safe(inside, table, [*keys, "__bucket"])
+    table = tagged.groupBy(*keys, *CUT).agg(F.count("__x").alias("n"), F.sum("__x").alias("s"))
+    wb = Window.partitionBy(*keys).orderBy(*CUT).rowsBetween(Window.unboundedPreceding, -1)
+    table = table.select(*keys, *CUT, F.sum("n").over(wb).alias("__bn"), F.sum("s").over(wb).alias("__bs"))
+    out = _null_safe(inside, table, [*keys, *CUT])
     zero = F.lit(0)
     return out.select(
         *df.columns,

@@ -31,7 +31,7 @@ def velocity_filter(
 
 def amount_anomaly(df: DataFrame, customer: str, ts: str, tie: str, amount: str, ratio: float = AMOUNT_RATIO) -> DataFrame:
     """F16: amount against the average of the customer's earlier rows; the first row is never flagged."""
-    out = prior_totals(df, [customer], [ts, tie], F.unix_seconds(F.col(ts)), DAY, amount, "__n", "__s")
+    out = prior_totals(df, [customer], [ts, tie], F.unix_micros(F.col(ts)), DAY * 1_000_000, amount, "__n", "__s")
     typical = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n"))
     out = out.withColumn("amount_ratio", F.when(typical > 0, F.col(amount) / typical))
     return out.withColumn("anomaly", F.coalesce(F.col("amount_ratio") > ratio, F.lit(False))).drop("__n", "__s")
@@ -51,7 +51,7 @@ def error_burst(df: DataFrame, customer: str, ts: str, tickets: DataFrame, min_e
 
 def impossible_travel(df: DataFrame, customer: str, ts: str, tie: str, lat: str, lon: str, max_miles: float, window_s: int = HOUR) -> DataFrame:
     """consecutive events farther apart than ``max_miles`` within the window."""
-    out = previous_row(df, [customer], [ts, tie], F.unix_seconds(F.col(ts)), DAY, [ts, lat, lon])
+    out = previous_row(df, [customer], [ts, tie], F.unix_micros(F.col(ts)), DAY * 1_000_000, [ts, lat, lon])
     miles = haversine_miles(F.col(f"prev_{lat}"), F.col(f"prev_{lon}"), F.col(lat), F.col(lon))
     gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"prev_{ts}"))
     out = out.withColumn("miles", miles)

@@ -53,6 +53,54 @@ def test_asof_and_previous_and_prior(spark):
         assert (r.n, r.s) == (len(hits), sum(hits))
 
 
+def _dense(n=3000, seed=11):
+    """Nine in ten rows stand in one day of one key; some share an instant, some have no time or no key."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        dense = rnd.random() < 0.9
+        at = BASE + dt.timedelta(seconds=rnd.randrange(80000) // 7 * 7 if dense else rnd.randrange(40 * 86400))
+        out.append((i, "hot" if dense else rnd.choice(["a", "b", None]), at, float(rnd.randrange(100))))
+    return out
+
+
+def test_dense_days_are_cut_into_parts_of_equal_depth(spark):
+    df = spark.createDataFrame([*_dense(), (9000, "hot", None, 1.0)], "id int, key string, ts timestamp, v double")
+    pos = F.unix_micros("ts")
+    cut = tl.equal_depth_cuts(df, ["key"], pos, 86_400_000_000, depth=200, parts=50)
+    sizes = cut.groupBy("key", *tl.CUT).agg(F.count("*").alias("n"), F.min(pos).alias("low"), F.max(pos).alias("high")).collect()
+    assert sum(r.n for r in sizes) == 3001
+    hot = sorted((r["__part"], r.low, r.high, r.n) for r in sizes if r.key == "hot" and r["__bucket"] == 19723)
+    middle = sorted(n for *_, n in hot)[len(hot) // 2]
+    assert len(hot) >= 45 and max(n for *_, n in hot) <= 2 * middle
+    assert all(a[2] < b[1] for a, b in zip(hot, hot[1:]))  # codes ascend with the position, equal positions share one
+    whole = tl.equal_depth_cuts(df, ["key"], pos, 86_400_000_000)
+    assert whole.filter("__part != 0").count() == 0
+
+
+def test_asof_previous_and_prior_in_dense_days(spark):
+    data = _dense(700, 12)
+    df = spark.createDataFrame(data, "id int, key string, ts timestamp, v double")
+    pos, day = F.unix_micros("ts"), 86_400_000_000
+    by_key = {}
+    for i, k, t, v in data:
+        by_key.setdefault(k, []).append((t, i, v))
+    earlier = {i: sorted((t0, i0, v0) for t0, i0, v0 in by_key[k] if (t0, i0) < (t, i)) for i, k, t, _ in data}
+    got = tl.previous_row(df, ["key"], ["ts", "id"], pos, day, ["id"], depth=20).collect()
+    assert len(got) == len(data)
+    assert all(r.prev_id == (earlier[r.id][-1][1] if earlier[r.id] else None) for r in got)
+    for r in tl.prior_totals(df, ["key"], ["ts", "id"], pos, day, "v", "n", "s", depth=20).collect():
+        assert (r.n, r.s) == (len(earlier[r.id]), sum(v for *_, v in earlier[r.id]))
+    left = df.filter("id % 2 = 0")
+    right = df.filter("id % 2 = 1").select("key", F.col("ts").alias("rts"), F.col("id").alias("rid"))
+    for strict in (False, True):
+        rows = tl.asof_join(left, right, ["key"], "ts", "rts", ["rid"], tie=["rid"], strict=strict, depth=20).collect()
+        assert len(rows) == left.count()
+        for r in rows:
+            hits = [(t, i) for t, i, _ in by_key[r.key] if i % 2 and (t < r.ts if strict else t <= r.ts)]
+            assert r.rid == (max(hits)[1] if hits else None)
+
+
 def test_split_row_number(spark):
     data = _rows(300, 7)
     df = spark.createDataFrame(data, "id int, key string, ts timestamp, v double")
