@@ -100,9 +100,14 @@ def composite(strategies: Sequence[Strategy]) -> Strategy:
     return Strategy((*keys, strategies[0].order[-1]), strategies[-1].buckets)
 
 
+def _group_limit(df: DataFrame) -> int:
+    """Largest ``row_number <= k`` that Spark prunes before the shuffle."""
+    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+
+
 def rank(df: DataFrame, keys: Sequence[str], strategy: Strategy, limit: int | None = None, name: str = "rank") -> DataFrame:
     """Rank per key, all rows or the first ``limit``."""
-    if limit is not None and limit <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+    if limit is not None and limit <= _group_limit(df):
         rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*strategy.order))
         return df.withColumn(name, rn).filter(F.col(name) <= limit).withColumn(name, F.col(name).cast("bigint"))
     return split_row_number(df, keys, strategy.order, strategy.buckets, name, limit)
@@ -156,16 +161,29 @@ def serve(requests: DataFrame, candidates: DataFrame, primary_model: str, tie: s
     A null program or channel restricts nothing.  ``as_of`` turns the eligibility refresh
     on.  Requests bring request_id, customer_id, channel, program_id, max_results (any number;
     V15 tells which the service would refuse) and include_scores.
+
+    No question is ranked to its end: hits beyond the most that any question asks are pruned before the shuffle, up to
+    Spark's group limit.  Questions that ask for more than that are ranked apart, where whole score buckets go first.
+    Two numbers about the requests come to the driver.
     """
     c = candidates.filter(serving_eligible(as_of)) if as_of is not None else candidates
     asked = ["customer_id", "channel", "program_id"]
     # equal questions are answered once, so many requests of one customer do not multiply its rows
     questions = requests.groupBy(*asked).agg(F.max("max_results").alias("__most"))
-    hit = c.join(questions, "customer_id")
-    program_ok = F.col("program_id").isNull() | (context_id("program") == F.col("program_id"))
-    channel_ok = F.col("channel").isNull() | F.coalesce(F.element_at("attributes.channel_eligibility", F.col("channel")), F.lit(False))
-    ranked = rank(hit.filter(program_ok & channel_ok), asked, by_default(F.col("channel"), primary_model, tie))
-    ranked = ranked.filter(F.col("rank") <= F.col("__most")).drop("__most")
+    few = _group_limit(requests)
+    ask_few = F.col("__most") <= few
+    known = questions.agg(F.max(F.when(ask_few, F.col("__most"))).alias("few"), F.max("__most").alias("most")).first()
+
+    def best(asking: DataFrame, limit: int) -> DataFrame:
+        hit = c.join(asking, "customer_id")
+        program_ok = F.col("program_id").isNull() | (context_id("program") == F.col("program_id"))
+        channel_ok = F.col("channel").isNull() | F.coalesce(F.element_at("attributes.channel_eligibility", F.col("channel")), F.lit(False))
+        ranked = rank(hit.filter(program_ok & channel_ok), asked, by_default(F.col("channel"), primary_model, tie), limit)
+        return ranked.filter(F.col("rank") <= F.col("__most")).drop("__most")
+
+    ranked = best(questions.filter(ask_few), max(known["few"] or 0, 0))
+    if (known["most"] or 0) > few:
+        ranked = ranked.unionByName(best(questions.filter(~ask_few), known["most"]))
     answers = _null_safe(ranked, requests.select("request_id", *asked, "max_results", "include_scores"), asked, "inner")
     return strip_scores(answers.filter(F.col("rank") <= F.col("max_results")), "include_scores")
 

@@ -135,3 +135,30 @@ def test_first_k_flag_keeps_all_rows(spark):
     got = tl.first_k_flag(df, ["key"], [F.asc("ts"), F.asc("id")], 3, ["id"]).collect()
     assert len(got) == 200
     assert all(sum(1 for r in got if r.key == k and r.position) == 3 for k in {r.key for r in got})
+
+
+def test_serving_prunes_to_the_most_asked(spark, sf):
+    from beckon.operators import ranking as rk
+    from beckon.plans.ranking_q import cands, fixture
+
+    few = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(few, "1000")
+    turn = F.element_at(F.array(*[F.lit(n) for n in (0, -1, 1, 2, 3, 7, 60)], F.lit(None).cast("int")), (F.abs(F.hash("request_id")) % 8 + 1).cast("int"))
+    requests = fixture(spark, sf, "requests").withColumn("max_results", turn)
+    candidates = cands(spark, sf)
+    rows = lambda df: sorted(map(tuple, df.select("request_id", "k", "rank", "max_results").collect()))
+    try:
+        pruned = rk.serve(requests, candidates, "quality", "k")
+        assert "WindowGroupLimit" in pruned._jdf.queryExecution().toString()
+        expected = rows(pruned)
+        spark.conf.set(few, "2")  # questions beyond two results go by score buckets
+        assert rows(rk.serve(requests, candidates, "quality", "k")) == expected
+        assert rk.serve(requests.filter("false"), candidates, "quality", "k").count() == 0
+        assert rk.serve(requests.filter("max_results <= 0 or max_results is null"), candidates, "quality", "k").count() == 0
+    finally:
+        spark.conf.set(few, before)
+    assert expected and all(1 <= rank <= most for _, _, rank, most in expected)
+    at = {}
+    for request, _, rank, _ in expected:
+        at.setdefault(request, []).append(rank)
+    assert all(sorted(ranks) == list(range(1, len(ranks) + 1)) for ranks in at.values())
