@@ -15,7 +15,8 @@ counts of the training texts and answers in the order asked.  One round for the
 The weight of an n-gram history that only one batch has is worked out there and not asked for.  Frequent words are one
 entry per batch, so none is a hot key, and a partition's size is fixed by their number, which grows with the data.
 
-Words are known by 64-bit hashes, n-grams inside a partition by 40 bits more than those that choose it.
+Words and the n-grams of a batch are known by 64-bit hashes, n-grams inside a partition by 40 bits more than those that
+choose it.
 
 Edge cases: a null or empty text is its end alone; repeated rows train and are scored each; without training text
 the unknown word has probability one; an empty table gives no rows; other columns are ignored.
@@ -168,15 +169,16 @@ class Batch:
             if n == 2:
                 history[starts] = np.searchsorted(self.words, BEGIN)
             at = np.flatnonzero(place >= n - 2)
-            code, some, which = np.unique(history[at] * len(self.words) + self.tokens[at], return_index=True, return_inverse=True)
-            first, last = code // len(self.words), code % len(self.words)
-            hashes = mix64(low.hashes[first] * np.uint64(0xD6E8FEB86659FD93) + self.words[last])
-            order_of = np.argsort(hashes, kind="stable")
-            back = np.empty_like(order_of)
-            back[order_of] = np.arange(len(order_of))
+            # one sort of the occurrences by hash finds the distinct n-grams, one occurrence of each, and their order
+            hashes = mix64(low.hashes[history[at]] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.tokens[at]])
+            order_of = np.argsort(hashes)
+            ranked = hashes[order_of]
+            new = np.ones(len(ranked), dtype=bool)
+            new[1:] = ranked[1:] != ranked[:-1]
+            some = at[order_of[new]]
             by_token = np.full(len(self.tokens), -1)
-            by_token[at] = back[which]
-            own.append(Level(hashes[order_of], by_token, first[order_of], low.which[at[some]][order_of]))
+            by_token[at[order_of]] = np.cumsum(new) - 1
+            own.append(Level(ranked[new], by_token, history[some], low.which[some]))
         return own
 
 
