@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,16 +194,34 @@ def cut(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(hashes, bounds), [len(hashes)]))
 
 
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def loosen(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The first byte of each value, then the second of each, and so on: alike bytes stand together and compress."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def narrow(hashes: np.ndarray, bits: int) -> bytes:
     """Forty bits of each sorted hash after those that name the partition, as steps where these are short."""
     low = (hashes << np.uint64(bits)) >> np.uint64(24)
     steps = np.diff(low, prepend=np.uint64(0))
     wide = len(steps) > 0 and int(steps.max()) >= 1 << 32
-    return b"8" + steps.tobytes() if wide else b"4" + steps.astype(np.uint32).tobytes()
+    return b"8" + planes(steps) if wide else b"4" + planes(steps.astype(np.uint32))
 
 
 def widen(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data[1:], np.uint64 if data[:1] == b"8" else np.uint32), dtype=np.uint64)
+    return np.cumsum(unplanes(data[1:], np.uint64 if data[:1] == b"8" else np.uint32), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray, owner: np.ndarray | None = None, shared: np.ndarray | None = None) -> bytes:
@@ -230,21 +249,31 @@ def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pack_sums(counts: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> bytes:
-    """Counts of all words, and the sums of those that have any."""
-    some = np.flatnonzero(mass > 0)
-    return b"".join([np.array([len(counts), len(some)], np.uint32).tobytes(), counts.astype(np.int64).tobytes(), some.astype(np.uint32).tobytes(), mass[some].tobytes(), lower[some].tobytes()])
+    """Counts of all words, a bit for each that has sums, and these sums."""
+    some, small = mass > 0, pack_counts(counts)
+    return len(small).to_bytes(4, "little") + small + np.packbits(some).tobytes() + mass[some].tobytes() + planes(lower[some])
 
 
 def unpack_sums(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = (int(x) for x in np.frombuffer(data[:8], np.uint32))
-    counts = np.frombuffer(data[8 : 8 + 8 * n], np.int64)
-    at = 8 + 8 * n
-    some = np.frombuffer(data[at : at + 4 * m], np.uint32)
-    mass, lower = np.zeros(n), np.zeros(n)
-    mass[some], lower[some] = np.frombuffer(data[at + 4 * m :], np.float64).reshape(2, -1)
+    at = 4 + int.from_bytes(data[:4], "little")
+    counts, _ = unpack_counts(data[4:at])
+    bits = (len(counts) + 7) // 8
+    some = np.unpackbits(np.frombuffer(data[at : at + bits], np.uint8), count=len(counts)).astype(bool)
+    half = at + bits + 8 * int(some.sum())
+    mass, lower = np.zeros(len(counts)), np.zeros(len(counts))
+    mass[some], lower[some] = np.frombuffer(data[at + bits : half], np.float64), unplanes(data[half:], np.float64)
     return counts, mass, lower
 
 
+def pack_weights(weight: np.ndarray, extra: np.ndarray) -> bytes:
+    return planes(weight) + planes(extra)
+
+
+def unpack_weights(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = len(data) // 2
+    return unplanes(data[:half], np.float64), unplanes(data[half:], np.float64)
+
+
 REQUEST = "part int, batch long, keys binary, data binary"
 _REQUEST = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("data", pa.binary())])
 _ANSWER = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("total", pa.float64()), ("types", pa.float64()), *((s, pa.float64()) for s in _STATS)])
@@ -253,7 +282,7 @@ _ANSWER = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("part", pa.i
 def requests(batch: int, hashes: np.ndarray, keys, data: list[np.ndarray], pack, bits: int) -> pa.RecordBatch:
     """One row for each partition: the keys it has of the batch, sorted, and what goes with them."""
     bounds = cut(hashes, bits)
-    rows = [(p, batch, keys(hashes[a:b]), pack(*(d[a:b] for d in data))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+    rows = [(p, batch, squeeze(keys(hashes[a:b])), squeeze(pack(*(d[a:b] for d in data)))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
     if not rows:
         return pa.RecordBatch.from_pylist([], schema=_REQUEST)
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _REQUEST, strict=True)], schema=_REQUEST)
@@ -262,7 +291,7 @@ def requests(batch: int, hashes: np.ndarray, keys, data: list[np.ndarray], pack,
 def answers(kind: str, table: pa.Table, sizes: list[int], parts: list[bytes], stats: tuple | None) -> pa.Table:
     rows = len(sizes)
     tail = [(None,) * rows] * (2 + len(_STATS))
-    out = pa.Table.from_arrays([pa.array([kind] * rows, pa.string()), table.column("batch").combine_chunks(), table.column("part").combine_chunks(), pa.array(parts, pa.binary()), *(pa.array(t, pa.float64()) for t in tail)], schema=_ANSWER)
+    out = pa.Table.from_arrays([pa.array([kind] * rows, pa.string()), table.column("batch").combine_chunks(), table.column("part").combine_chunks(), pa.array([squeeze(x) for x in parts], pa.binary()), *(pa.array(t, pa.float64()) for t in tail)], schema=_ANSWER)
     if stats is None:
         return out
     own = pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip((kind + "-stats", -1, None, None, *stats), _ANSWER, strict=True)], schema=_ANSWER)
@@ -273,10 +302,14 @@ def of_counts(counts: np.ndarray) -> list[float]:
     return [float((counts == r).sum()) for r in range(1, DISCOUNTED + 2)]
 
 
-def grouped(table: pa.Table, keys: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
-    sizes = [len(k) for k in keys]
+def column(table: pa.Table, name: str) -> list[bytes]:
+    return [loosen(x) for x in table.column(name).to_pylist()]
+
+
+def grouped(keys: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Lengths, the distinct keys, and the place of each key among them."""
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return sizes, distinct, place
+    return [len(k) for k in keys], distinct, place
 
 
 def split(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
@@ -284,8 +317,8 @@ def split(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
 
 
 def count_words(table: pa.Table) -> pa.Table:
-    sizes, words, place = grouped(table, [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()])
-    given = np.concatenate([unpack_counts(d)[0] for d in table.column("data").to_pylist()])
+    sizes, words, place = grouped([np.frombuffer(k, np.uint64) for k in column(table, "keys")])
+    given = np.concatenate([unpack_counts(d)[0] for d in column(table, "data")])
     counts = np.zeros(len(words), np.int64)
     np.add.at(counts, place, given)
     real = counts[(words != BEGIN) & (counts > 0)]
@@ -293,12 +326,12 @@ def count_words(table: pa.Table) -> pa.Table:
 
 
 def count_grams(table: pa.Table, kind: str) -> pa.Table:
-    sizes, keys, place = grouped(table, [widen(k) for k in table.column("keys").to_pylist()])
-    given = np.concatenate([unpack_counts(d)[0] for d in table.column("data").to_pylist()])
+    sizes, keys, place = grouped([widen(k) for k in column(table, "keys")])
+    given = np.concatenate([unpack_counts(d)[0] for d in column(table, "data")])
     counts = np.zeros(len(keys), np.int64)
     np.add.at(counts, place, given)
-    first = np.full(len(keys), len(place))
-    np.minimum.at(first, place, np.arange(len(place)))
+    first = np.empty(len(keys), np.int64)
+    first[place[::-1]] = np.arange(len(place))[::-1]
     owner = np.zeros(len(place), dtype=bool)
     owner[first] = True  # the batch that adds this n-gram to its history's sums
     shared = (np.bincount(place, minlength=len(keys)) > 1)[place]
@@ -315,21 +348,21 @@ def weigh(count: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def back_off(table: pa.Table, kind: str, keys) -> pa.Table:
-    sizes, histories, place = grouped(table, [keys(k) for k in table.column("keys").to_pylist()])
-    data = [unpack_sums(d) for d in table.column("data").to_pylist()]
+    sizes, histories, place = grouped([keys(k) for k in column(table, "keys")])
+    data = [unpack_sums(d) for d in column(table, "data")]
     count, mass, lower = (np.zeros(len(histories)) for _ in range(3))
     count[place] = np.concatenate([d[0] for d in data])
     np.add.at(mass, place, np.concatenate([d[1] for d in data]))
     np.add.at(lower, place, np.concatenate([d[2] for d in data]))
     weight, extra = weigh(count, mass, lower)
-    parts = [np.concatenate([w, m]).tobytes() for w, m in zip(split(weight[place], sizes), split(extra[place], sizes), strict=True)]
+    parts = [pack_weights(w, m) for w, m in zip(split(weight[place], sizes), split(extra[place], sizes), strict=True)]
     return answers(kind, table, sizes, parts, None)
 
 
 def collected(table: pa.Table, kind: str, read, none: bytes = b"") -> list[np.ndarray]:
     """The answers of a kind, in the order of the partitions; those of ``none`` where nothing was asked."""
-    found = sorted((p, d) for k, p, d in zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), table.column("data").to_pylist(), strict=True) if k == kind)
-    return [np.concatenate(x) for x in zip(*(read(d) for _, d in found or [(0, none)]), strict=True)]
+    own = table.filter(pc.equal(table.column("kind"), kind)).select(["part", "data"]).sort_by("part")
+    return [np.concatenate(x) for x in zip(*(read(d) for d in column(own, "data") or [none]), strict=True)]
 
 
 def stats(answer: DataFrame, kind: str) -> tuple[float, float, list[float]]:
@@ -395,8 +428,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
 
     def wanted(own: list[Level], n: int, shared: np.ndarray) -> np.ndarray:
         """Histories of level ``n`` whose weight the batch asks for."""
-        histories = np.unique(own[n].first)
-        return histories[shared[histories]]
+        some = np.zeros(len(shared), dtype=bool)
+        some[own[n].first] = True
+        return np.flatnonzero(some & shared)
 
     def probabilities(own: list[Level], right: pa.Table, top: int) -> tuple[list[np.ndarray], tuple]:
         """Probability of each n-gram's last word given its history, for levels 1 to ``top``; ``counted`` of the last."""
@@ -409,7 +443,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
             mass, lower = sums(own, n, kept, owner, out[-1])
             weight, extra = weigh(counts, mass, lower)
             ask = wanted(own, n, shared)
-            weight[ask], extra[ask] = collected(right, f"weights{n}", lambda d: np.frombuffer(d, np.float64).reshape(2, -1))
+            weight[ask], extra[ask] = collected(right, f"weights{n}", unpack_weights, b"")
             whole = np.maximum(counts, 1) + extra
             out.append(np.where(kept > 0, kept / whole[own[n].first], weight[own[n].first] * out[-1][own[n].suffix]))
         return out, last
@@ -436,8 +470,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
         found = grams(n)
         factor[n] = discounts(stats(found, f"grams{n}")[2], MIN_COUNT)
         answers_of = answers_of.unionByName(found.filter("batch >= 0"))
-        weighed = weights(n)
-        answers_of = answers_of.unionByName(weighed if n == order else materialize(weighed, f"lm-weights{n}"))
+        answers_of = answers_of.unionByName(materialize(weights(n), f"lm-weights{n}"))
     result = pa.schema([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
