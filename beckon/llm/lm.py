@@ -12,8 +12,10 @@ tokenised once into batches of about ``BATCH_TOKENS`` tokens over a local dictio
 Each round sends every batch's distinct n-grams, sorted, to the partitions of the table; a partition adds up the
 counts of the training texts and answers in the order asked.  One round for the words and two for each higher order
 (counts, backoff weights) give a batch all it needs to evaluate its tokens; the batches themselves are never shuffled.
-The weight of an n-gram history that only one batch has is worked out there and not asked for.  Frequent words are one
-entry per batch, so none is a hot key, and a partition's size is fixed by their number, which grows with the data.
+The weight of an n-gram history that only one batch has is worked out there and not asked for; of the others, a batch
+is told the weight where one of its n-grams backs off, and else only by how much the denominator differs.
+Frequent words are one entry per batch, so none is a hot key, and a partition's size is fixed by their number, which
+grows with the data.
 
 Words and the n-grams of a batch are known by 64-bit hashes, n-grams inside a partition by 40 bits more than those that
 choose it.
@@ -248,30 +250,31 @@ def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return *unpack_counts(data), (code & _SHARED) > 0
 
 
-def pack_sums(counts: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> bytes:
-    """Counts of all words, a bit for each that has sums, and these sums."""
+def pack_sums(counts: np.ndarray, mass: np.ndarray, lower: np.ndarray, need: np.ndarray) -> bytes:
+    """Counts of all histories, a bit for each whose weight is needed, one for each that has sums, and these sums."""
     some, small = mass > 0, pack_counts(counts)
-    return len(small).to_bytes(4, "little") + small + np.packbits(some).tobytes() + mass[some].tobytes() + planes(lower[some])
+    bits = np.packbits(need).tobytes() + np.packbits(some).tobytes()
+    return len(small).to_bytes(4, "little") + small + bits + mass[some].tobytes() + planes(lower[some])
 
 
-def unpack_sums(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_sums(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     at = 4 + int.from_bytes(data[:4], "little")
     counts, _ = unpack_counts(data[4:at])
-    bits = (len(counts) + 7) // 8
-    some = np.unpackbits(np.frombuffer(data[at : at + bits], np.uint8), count=len(counts)).astype(bool)
-    half = at + bits + 8 * int(some.sum())
+    size = (len(counts) + 7) // 8
+    need, some = (np.unpackbits(np.frombuffer(data[x : x + size], np.uint8), count=len(counts)).astype(bool) for x in (at, at + size))
+    start, half = at + 2 * size, at + 2 * size + 8 * int(some.sum())
     mass, lower = np.zeros(len(counts)), np.zeros(len(counts))
-    mass[some], lower[some] = np.frombuffer(data[at + bits : half], np.float64), unplanes(data[half:], np.float64)
-    return counts, mass, lower
+    mass[some], lower[some] = np.frombuffer(data[start:half], np.float64), unplanes(data[half:], np.float64)
+    return counts, mass, lower, need
 
 
 def pack_weights(weight: np.ndarray, extra: np.ndarray) -> bytes:
-    return planes(weight) + planes(extra)
+    return (8 * len(weight)).to_bytes(4, "little") + planes(weight) + planes(extra)
 
 
 def unpack_weights(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    half = len(data) // 2
-    return unplanes(data[:half], np.float64), unplanes(data[half:], np.float64)
+    half = 4 + int.from_bytes(data[:4], "little")
+    return unplanes(data[4:half], np.float64), unplanes(data[half:], np.float64)
 
 
 REQUEST = "part int, batch long, keys binary, data binary"
@@ -355,7 +358,7 @@ def back_off(table: pa.Table, kind: str, keys) -> pa.Table:
     np.add.at(mass, place, np.concatenate([d[1] for d in data]))
     np.add.at(lower, place, np.concatenate([d[2] for d in data]))
     weight, extra = weigh(count, mass, lower)
-    parts = [pack_weights(w, m) for w, m in zip(split(weight[place], sizes), split(extra[place], sizes), strict=True)]
+    parts = [pack_weights(w[d[3]], m) for d, w, m in zip(data, split(weight[place], sizes), split(extra[place], sizes), strict=True)]
     return answers(kind, table, sizes, parts, None)
 
 
@@ -432,6 +435,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
         some[own[n].first] = True
         return np.flatnonzero(some & shared)
 
+    def lacking(own: list[Level], n: int, kept: np.ndarray) -> np.ndarray:
+        """Which histories of level ``n`` have an n-gram that backs off: no other needs its weight."""
+        some = np.zeros(len(own[n - 1].hashes), dtype=bool)
+        some[own[n].first[kept == 0]] = True
+        return some
+
     def probabilities(own: list[Level], right: pa.Table, top: int) -> tuple[list[np.ndarray], tuple]:
         """Probability of each n-gram's last word given its history, for levels 1 to ``top``; ``counted`` of the last."""
         last = counted(own, right, 1)
@@ -443,7 +452,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
             mass, lower = sums(own, n, kept, owner, out[-1])
             weight, extra = weigh(counts, mass, lower)
             ask = wanted(own, n, shared)
-            weight[ask], extra[ask] = collected(right, f"weights{n}", unpack_weights, b"")
+            needed = ask[lacking(own, n, kept)[ask]]
+            weight[needed], extra[ask] = collected(right, f"weights{n}", unpack_weights, b"")
             whole = np.maximum(counts, 1) + extra
             out.append(np.where(kept > 0, kept / whole[own[n].first], weight[own[n].first] * out[-1][own[n].suffix]))
         return out, last
@@ -459,7 +469,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held: str =
             _, kept, owner, _ = counted(own, right, n)
             mass, lower = sums(own, n, kept, owner, below[-1])
             want = wanted(own, n, shared)
-            return pa.Table.from_batches([requests(left.column("batch")[0].as_py(), own[n - 1].hashes[want], pack, [counts[want], mass[want], lower[want]], pack_sums, bits)])
+            return pa.Table.from_batches([requests(left.column("batch")[0].as_py(), own[n - 1].hashes[want], pack, [counts[want], mass[want], lower[want], lacking(own, n, kept)[want]], pack_sums, bits)])
 
         def answer(table: pa.Table) -> pa.Table:
             return back_off(table, f"weights{n}", unpack)
