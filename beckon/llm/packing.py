@@ -3,7 +3,8 @@
 Every source is a queue of tokens with an integer weight.  A window of ``size`` tokens is filled in
 turns: in each turn a queue's deficit grows by its weight, and the queue served is the one whose next
 token has the smallest virtual time ``(2 p + 1) / weight`` (p: its position in the queue; ties go to the
-earlier queue).  So after any window a queue is less than one token off its share; what is left over is
+earlier queue).  Weights are rounded to as fine a unit as 64-bit products allow: about ``2**61`` over the
+tokens of the largest queue, 2**40 at most and 2**16 at least.  So after any window a queue is less than one token off its share; what is left over is
 carried into the next window, and when a queue runs dry the others go on in their proportions.
 
 The turn in which a token is served is a count that integer arithmetic gives directly, so any task
@@ -33,7 +34,7 @@ WINDOW = 2048
 END_ID = 1
 MAX_QUEUES = 10_000
 STRETCH = 512  # windows planned at once
-_SCALE = 1 << 16  # weights up to this keep all products below 2**63 for 7e13 tokens
+_FINEST, _COARSEST = 1 << 40, 1 << 16  # the largest weight; the coarsest serves 3e13 tokens a queue
 
 
 class Schedule:
@@ -41,7 +42,9 @@ class Schedule:
 
     def __init__(self, totals: np.ndarray, weights: np.ndarray, size: int = WINDOW) -> None:
         self.totals, self.size = totals.astype(np.int64), size
-        self.weights = np.maximum(1, np.round(weights / max(weights.max(), 1e-300) * _SCALE)).astype(np.int64)
+        # as fine as products of a position and a weight stay below 2**63
+        scale = min(_FINEST, max(_COARSEST, (1 << 62) // (2 * int(self.totals.max(initial=0)) + 2)))
+        self.weights = np.maximum(1, np.round(weights / max(weights.max(), 1e-300) * scale)).astype(np.int64)
         self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def rank(self, queue: int, at: np.ndarray) -> np.ndarray:

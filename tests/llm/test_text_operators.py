@@ -286,6 +286,17 @@ def test_schedule_is_the_round_robin_it_claims(queues, size):
             assert schedule.served(q, np.array([k]))[0] == (ranks < k * size).sum()
 
 
+@pytest.mark.parametrize("totals", [[200_000_000, 1_000], [3_000_000, 30], [2_000_000_000, 7, 50_000]])
+def test_small_queues_last_as_long_as_large_ones(totals):
+    totals = np.array(totals)
+    schedule = packing.Schedule(totals, totals / totals.sum())
+    last = int(totals.sum()) // packing.WINDOW
+    windows = np.unique(np.linspace(0, last, 200).astype(np.int64))
+    served = np.stack([schedule.served(q, windows) for q in range(len(totals))])
+    assert (np.abs(served - windows * packing.WINDOW * (totals / totals.sum())[:, None]) < 2).all()
+    assert served.sum(axis=0).tolist() == (windows * packing.WINDOW).tolist()
+
+
 def test_packing_round_trip(spark):
     rows = EDGE + [(k, " ".join(f"word{k} and {j}" for j in range(k % 40)), f"s{k % 3}") for k in range(100, 220)]
     got = packing.pack(docs(spark, rows).repartition(4), tokenizer(WORD_VOCABULARY), size=256).collect()
