@@ -1 +1 @@
-"""Training-data operators: ten components of a corpus pipeline and the queries that apply them."""
+"""Training-data operators: thirteen components of a corpus pipeline and the queries that apply them."""

@@ -5,9 +5,10 @@ after each word the state tells the longest suffix that some item contains.  A s
 ``window`` words means an item window ends here; a whole shorter item is a window of its own.  All
 words inside an occurrence are *hit*; hit runs are the spans that ``decontaminate`` removes.
 
-Only a bounded block of item words is held at once: long items are cut into overlapping segments,
-segments are dealt into blocks of about ``block_words`` words, and the documents stream past the
-blocks one after the other, so a task's memory does not depend on the size of the benchmark.
+Long items are cut into overlapping segments, segments are dealt into blocks of about ``block_words``
+words with an automaton each, and the documents stream past the blocks one after the other.  The driver
+collects one block's words at a time, but it keeps the automata of all blocks and every worker holds them
+all, so the whole benchmark has to fit there; only the documents are without bound.
 
 Edge cases: null or empty texts have no words and no hits; items without words match nothing; an item
 with null id counts under the id ``null``; repeated items count once; empty tables give no hits or no
@@ -134,7 +135,7 @@ def item_segments(bench: DataFrame, item: str, text: str, window: int) -> DataFr
 
 
 def item_blocks(bench: DataFrame, item: str, text: str, window: int, block_words: int) -> list[ItemIndex]:
-    """Automata of blocks of about ``block_words`` words each; the driver holds one block's words at a time."""
+    """Automata of blocks of about ``block_words`` words each; the driver collects a block at a time and keeps all automata."""
     segments = item_segments(bench, item, text, window)
     total = segments.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     count = -(-total // block_words)

@@ -1,6 +1,7 @@
 """Decontamination, language ID, toxicity, sharding, personal data, packing and token counts on small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -163,6 +164,53 @@ def test_toxicity_learns_and_leaves_clean_rows(spark):
     assert by[1] > by[4] and by[2] == by[3] and all(0 <= v <= 1 for v in by.values())
 
 
+def plain_label_model(votes, labels, rounds=25, trust=0.95):
+    """Expectation maximisation over lists, one row and one voter at a time."""
+    n, m = len(votes), len(votes[0])
+    base = min(0.99, max(0.01, sum(labels) / n))
+    post = [trust if y else 1 - trust for y in labels]
+    share = [1.0] * m
+    for step in range(rounds):
+        on, off = [], []
+        for j in range(m):
+            for out, weight in ((on, post), (off, [1 - p for p in post])):
+                rate = min(1.0, sum(w for w, v in zip(weight, votes, strict=True) if v[j]) / sum(weight))
+                out.append((rate * n + 0.5) / (n + 1))
+        if step == rounds // 2:
+            rest = [[votes[i][j] - post[i] * on[j] - (1 - post[i]) * off[j] for i in range(n)] for j in range(m)]
+            size = [math.sqrt(sum(x * x for x in r)) + 1e-9 for r in rest]
+            for j in range(m):
+                share[j] = 1 / max(1.0, sum(abs(sum(x * y for x, y in zip(rest[j], rest[k], strict=True)) / size[j] / size[k]) for k in range(m)))
+        for i in range(n):
+            odds = math.log(base / (1 - base)) + (1 if labels[i] else -1) * math.log(trust / (1 - trust))
+            odds += sum(math.log(on[j] / off[j]) * share[j] for j in range(m) if votes[i][j])
+            post[i] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
+    return post, share
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_label_model_matches_plain_expectation_maximisation(seed):
+    rng = np.random.default_rng(seed)
+    truth = rng.random(80) < 0.4
+    votes = np.stack([rng.random(80) < np.where(truth, a, b) for a, b in ((0.9, 0.05), (0.6, 0.1), (0.5, 0.4), (0.3, 0.0))], 1)
+    votes = np.concatenate([votes, votes[:, :1]], axis=1).astype(np.uint8)  # a voter that copies another
+    labels = (truth ^ (rng.random(80) < 0.05)).astype(int)
+    got, share = toxicity.label_model(votes, labels)
+    want, shares = plain_label_model(votes.tolist(), labels.tolist())
+    assert np.allclose(got, want, atol=1e-9) and np.allclose(share, shares, atol=1e-9)
+    assert share[0] < 0.6 and share[4] < 0.6
+
+
+def test_toxicity_of_repeated_tied_and_very_long_texts(spark):
+    model = toxicity.ToxicityModel(["idiot", "grum*"], np.array([3.0, 3.0]), -2.0)
+    long = "calm words " * 200_000
+    rows = [(1, "you idiot", "a"), (1, "you idiot", "a"), (2, "a grumble", "a"), (3, long + "IDIOT", "a"), (4, long, "a"), (5, "", "a"), (6, None, None), (None, "idiot idiot", "b")]
+    got = sorted(((r["doc_id"] or 0, r["score"], r["predicted"]) for r in toxicity.score(docs(spark, rows).drop("score"), model).collect()))
+    hit, miss = 1 / (1 + math.exp(-1)), 1 / (1 + math.exp(2))
+    assert [(k, p) for k, _, p in got] == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 0), (5, 0), (6, 0)]
+    assert np.allclose([x for _, x, _ in got], [hit] * 5 + [miss] * 3)
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.fit(docs(spark, EDGE), spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.score(docs(spark, EDGE + [(9, "you idiot", "a")]), model, prefix="t_")
