@@ -5,10 +5,15 @@ a group that a micro-batch touches.  The state of a group is one packed Arrow ta
 second); only touched groups are read and written.  Rows leave the state when the watermark has passed what could still
 need them, and a group that is not touched any more times out with its last row.  ``GROUPS`` is fixed for the life of a
 checkpoint; a thousand keys a group is a good size.
+
+A task holds about ``SLICE`` rows of a group at once: what a micro-batch has beyond them waits in the task's temp folder
+and is folded slice by slice, in time order.
 """
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,6 +25,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 GROUPS = 128
+SLICE = 100_000  # rows of a group that are worked on at once
+STEP = 64  # one in so many ticks is looked at when slices are cut
 NONE = np.iinfo(np.int64).min  # no state yet
 
 # (held, rows in order, watermark in ms) -> (rows out, held, ms from which held is not needed any more)
@@ -39,7 +46,7 @@ def with_arrival(df: DataFrame, ts: str, arrival: str) -> DataFrame:
 def packed(table: pd.DataFrame) -> bytes:
     arrow = pa.Table.from_pandas(table, preserve_index=False)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, arrow.schema) as out:
+    with pa.ipc.new_stream(sink, arrow.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(arrow)
     return sink.getvalue().to_pybytes()
 
@@ -48,31 +55,91 @@ def unpacked(data: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(data).read_all().to_pandas()
 
 
-def fold_groups(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], fold: Fold, added: Sequence[T.StructField] = (), groups: int = GROUPS, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def in_slices(batches: Iterator[pd.DataFrame], tick: str, most: int = SLICE, nested: Sequence[str] = ()) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """All rows in frames of about ``most`` rows, from low ticks to high ones, and whether a frame is the last.
+
+    Rows of one tick stay together.  More than ``most`` rows go to files in the temp folder, sorted by tick; slices are
+    read from maps of them.  ``nested`` columns have values that are not plain.
+    """
+    held: list[pd.DataFrame] = []
+    size = 0
+    with tempfile.TemporaryDirectory(prefix="beckon-slices-") as folder:
+        runs: list[pa.Table] = []
+
+        def put_away() -> None:
+            nonlocal size
+            frame = pd.concat(held, ignore_index=True).sort_values(tick, kind="stable", ignore_index=True)
+            frame = frame.assign(**{c: [pickle.dumps(x) for x in frame[c]] for c in nested})
+            table = pa.Table.from_pandas(frame, preserve_index=False)
+            path = f"{folder}/{len(runs)}"
+            with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, table.schema) as out:
+                out.write_table(table)
+            runs.append(pa.ipc.open_file(pa.memory_map(path)).read_all())
+            held.clear()
+            size = 0
+
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size > most:
+                put_away()
+        if not runs:
+            yield pd.concat(held, ignore_index=True), True
+            return
+        if held:
+            put_away()
+        ticks = [run.column(tick).to_numpy() for run in runs]
+        seen = np.sort(np.concatenate([t[::STEP] for t in ticks]))
+        cuts = np.unique(seen[:: max(1, most // STEP)])
+        edges = [np.concatenate(([0], np.searchsorted(t, cuts[1:]), [len(t)])) for t in ticks]
+        for k in range(len(cuts)):
+            parts = [run.slice(e[k], e[k + 1] - e[k]) for run, e in zip(runs, edges, strict=True) if e[k] < e[k + 1]]
+            frame = pa.concat_tables(parts, promote_options="permissive").to_pandas()
+            yield frame.assign(**{c: [pickle.loads(x) for x in frame[c]] for c in nested}), k + 1 == len(cuts)
+
+
+def fold_groups(
+    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], fold: Fold, added: Sequence[T.StructField] = (), groups: int = GROUPS,
+    prepare: Callable[[DataFrame], DataFrame] | None = None, reach: int | None = None, most: int = SLICE,
+) -> DataFrame:
     """Run ``fold`` over a stream with a watermark on ``ts``; ``added`` columns follow those of ``df``.
 
     ``fold`` sees the key as column ``__key``.  Rows later than the watermark are dropped by Spark, rows without a time by
-    ``untimed``'s condition.
+    ``untimed``'s condition.  The first column of ``order`` is the tick; a group's rows of a micro-batch come in slices of
+    about ``most``, from low ticks to high ones, and only the last one ends state.  ``reach`` is for a state of seconds:
+    what lies further back than that many waits aside, for late rows of other micro-batches.
     """
     src = df.filter(F.col(ts).isNotNull()).withColumn("__key", F.to_json(F.struct(*keys)))
     src = prepare(src) if prepare else src
     src = src.withColumn("__group", F.pmod(F.xxhash64("__key"), F.lit(groups)).cast("int"))
     schema = T.StructType([*src.schema.fields, *added])
     cols = schema.names
+    tick = order[0]
+    nested = [f.name for f in src.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["__key", *order], kind="stable", ignore_index=True)
         watermark = state.getCurrentWatermarkMs()
-        out, held, until = fold(unpacked(state.get[0]) if state.exists else None, rows, watermark)
+        held = unpacked(state.get[0]) if state.exists else None
+        aside = []
+        for rows, last in in_slices(batches, tick, most, nested):
+            if reach is not None and held is not None:
+                far = held["sec"] + reach < rows[tick].min()
+                aside.append(held[far & ((held["sec"] + reach) * 1000 >= watermark)])
+                held = held[~far] if not far.all() else None
+            rows = rows.sort_values(["__key", *order], kind="stable", ignore_index=True)
+            out, held, until = fold(held, rows, watermark if last else NONE)
+            yield out[cols]
+        if aside := [x for x in aside if len(x)]:
+            held = pd.concat([*aside, held] if len(held) else aside, ignore_index=True)
+            until = max(until, (int(held["sec"].max()) + reach) * 1000)
         if len(held):
             state.update((packed(held),))
             state.setTimeoutTimestamp(max(until, watermark + 1))
         elif state.exists:
             state.remove()
-        yield out[cols]
 
     out = src.groupBy("__group").applyInPandasWithState(run, schema, "packed binary", "append", GroupStateTimeout.EventTimeTimeout)
     return out.drop("__key", "__group")

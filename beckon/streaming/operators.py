@@ -87,7 +87,7 @@ def velocity_stream(df: DataFrame, keys: Sequence[str], ts: str, amount: str | N
     src = df.withColumns({"__sec": F.unix_seconds(F.col(ts)), "__high": high.cast("bigint"), "__low": ((value - high * 1_000_000) * 1_000_000).cast("bigint")})
     src = src.withWatermark(ts, f"{lateness_s} seconds")
     added = [T.StructField("window_count", T.LongType()), T.StructField("window_amount", T.DoubleType())]
-    out = fold_groups(src, keys, ts, ["__sec"], trailing_seconds(window_s), added, groups)
+    out = fold_groups(src, keys, ts, ["__sec"], trailing_seconds(window_s), added, groups, reach=window_s)
     return out.drop("__sec", "__high", "__low", *([] if amount else ["window_amount"]))
 
 

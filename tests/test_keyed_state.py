@@ -9,6 +9,7 @@ from collections import defaultdict
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beckon.streaming import keyed, store
 from beckon.streaming import operators as so
@@ -143,3 +144,42 @@ def test_store_asks_only_for_possible_keys(spark):
     store.append_if_absent(spark.range(250, 350).withColumn("v", F.lit(9)), 3, path, "v", ["id"])
     got = store.read_store(spark, path)
     assert got.count() == 350 and got.filter("id < 300 and v = 9").isEmpty()
+
+
+def test_slices_hold_bounded_rows_in_time_order():
+    rng = random.Random(5)
+    rows = pd.DataFrame([(rng.randrange(3000), n, rng.choice([None, "a", "b"]), {"n": n} if n % 3 else None) for n in range(9000)], columns=["tick", "id", "name", "tree"])
+    rows["value"] = [None if n < 4000 else n / 2 for n in range(9000)]  # runs without a value come as nulls
+    frames = list(keyed.in_slices((rows.iloc[k : k + 300] for k in range(0, 9000, 300)), "tick", 1000, ["tree"]))
+    assert [last for _, last in frames] == [False] * (len(frames) - 1) + [True] and max(len(f) for f, _ in frames) < 2000
+    assert all(a["tick"].max() < b["tick"].min() for (a, _), (b, _) in zip(frames, frames[1:]))
+    got = pd.concat([f for f, _ in frames]).sort_values("id", ignore_index=True)
+    pd.testing.assert_frame_equal(got[["tick", "id", "value"]], rows[["tick", "id", "value"]])
+    assert [x if isinstance(x, str) else None for x in got["name"]] == list(rows["name"]) and list(got["tree"]) == list(rows["tree"])
+    (whole, last), = keyed.in_slices(iter([rows]), "tick", 9000, ["tree"])
+    assert last and len(whole) == 9000
+
+
+def busy(count):
+    """Two micro-batches out of time order: late rows, equal seconds, one key with most rows."""
+    rng = random.Random(8)
+    first = [(n, 1 if n % 5 else n % 40, at(rng.randrange(20_000)), rng.choice([0.1, 2.5, None]), None) for n in range(count)]
+    return [first, [(count + n, 1, at(19_500 + rng.randrange(2000)), 1.0, None) for n in range(count // 8)]]
+
+
+def test_exact_velocity_in_slices_holds_few_rows(spark):
+    src = lambda: event_stream(spark, busy(6000)).withColumns({"__sec": F.unix_seconds("ts"), "__high": F.lit(0), "__low": (F.coalesce("value", F.lit(0)) * 1_000_000).cast("bigint")}).withWatermark("ts", "10 minutes")
+    fields = [T.StructField("window_count", T.LongType()), T.StructField("window_amount", T.DoubleType()), T.StructField("size", T.LongType())]
+
+    def told(fold, state, rows, watermark):
+        out, held, until = fold(state, rows, watermark)
+        return out.assign(size=len(rows) + (0 if state is None else len(state))), held, until
+
+    def answers(most):
+        fold = keyed.trailing_seconds(600)
+        df = keyed.fold_groups(src(), ["user_id"], "ts", ["__sec"], lambda *a: told(fold, *a), fields, 2, reach=600, most=most)
+        return drain(df, "slices").select("event_id", "window_count", "window_amount", "size").toPandas()
+
+    whole, cut = answers(10**9), answers(500)
+    pd.testing.assert_frame_equal(*(x.drop(columns="size").sort_values("event_id", ignore_index=True) for x in (whole, cut)))
+    assert len(cut) > 6000 and whole["size"].max() > 5000 and cut["size"].max() < 1800
