@@ -183,3 +183,18 @@ def test_exact_velocity_in_slices_holds_few_rows(spark):
     whole, cut = answers(10**9), answers(500)
     pd.testing.assert_frame_equal(*(x.drop(columns="size").sort_values("event_id", ignore_index=True) for x in (whole, cut)))
     assert len(cut) > 6000 and whole["size"].max() > 5000 and cut["size"].max() < 1800
+
+
+def test_throttle_in_slices_holds_few_rows(spark):
+    rows = [[(*r[:2], at(r[0] * 0.9 % 20_000 + 0.1 * (r[0] % 9)), *r[3:]) for r in part] for part in busy(6000)]
+    src = lambda: event_stream(spark, rows).withColumn("__ms", F.unix_millis("ts")).withWatermark("ts", "10 minutes")
+
+    def told(fold, state, rows, watermark):
+        out, held, until = fold(state, rows, watermark)
+        return out.assign(size=len(rows)), held, until
+
+    for fold in (keyed.first_in_window("__ms", 90_000, 3, None), keyed.first_per_window("__ms", 70_000, 90_000, 1)):
+        size = [T.StructField("size", T.LongType())]
+        whole, cut = (drain(keyed.fold_groups(src(), ["user_id"], "ts", ["__ms", "event_id"], lambda *a: told(fold, *a), size, 2, most=m), "slices").toPandas() for m in (10**9, 500))
+        assert set(whole["event_id"]) == set(cut["event_id"]) and len(cut) == len(whole) > 100
+        assert whole["size"].max() > 5000 and cut["size"].max() < 1200
