@@ -122,7 +122,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 # Hashing of white-space words -------------------------------------------------------------------
 
-_PIECE = 1 << 20  # bytes hashed at once
+_PIECE = 1 << 18  # bytes hashed at once; a worker takes some fifty times that meanwhile
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))

@@ -27,6 +27,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -201,12 +202,11 @@ def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int, coa
     return keep
 
 
-def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int, coarse: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members that may be similar; ``a is b`` gives each pair once."""
+def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int, coarse: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members that may be similar, at most ``STEP * FAN * FAN`` at once; ``a is b`` gives each pair once."""
     top = [np.arange(len(t.levels[-1][1])) for t in (a, b)]
     i, j = (x.ravel() for x in np.meshgrid(*top, indexing="ij"))
     open_pairs = [(len(a.levels) - 1, len(b.levels) - 1, i, j)]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     while open_pairs:
         depth_a, depth_b, i, j = open_pairs.pop()
         if a is b:
@@ -215,7 +215,7 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int, coarse: boo
         keep = possible(a.levels[depth_a], b.levels[depth_b], i, j, percent, coarse)
         i, j = i[keep], j[keep]
         if depth_a == depth_b == 0:
-            found.append((a.rows[i], b.rows[j]))
+            yield a.rows[i], b.rows[j]
             continue
         down_a = depth_a > 0 and (a is b or depth_a >= depth_b)
         down_b = depth_b > 0 and (a is b or not down_a)
@@ -230,10 +230,9 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int, coarse: boo
                 keep = y < len(b.levels[depth_b - 1][1])
                 x, y = x[keep], y[keep]
             open_pairs.append((depth_a - down_a, depth_b - down_b, x, y))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def candidates(maps: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, coarse: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+def candidates(maps: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, coarse: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs between ``left`` and ``right`` rows (the same rows: within) that pass the traversal, by bitmap width."""
     widths = np.array([len(m) for m in maps])
     marked = sizes - least_overlap(sizes, percent) + 1 + spare(sizes, percent) if coarse else sizes
@@ -244,20 +243,18 @@ def candidates(maps: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, lef
         folded = np.stack([maps[k] if len(maps[k]) == width else np.bitwise_or.reduce(maps[k].reshape(-1, width), axis=0) for k in rows])
         return SignatureTree(rows, folded, sizes[rows], marked[rows], group[rows])
 
-    out = []
     within = left is right
     for w in np.unique(widths):
         own, other = left[widths[left] == w], right[widths[right] == w]
         if within and len(own) > 1:
             one = tree(own, w)
-            out.append(dual_traversal(one, one, percent, coarse))
+            yield from dual_traversal(one, one, percent, coarse)
         elif not within and len(own) and len(other):
-            out.append(dual_traversal(tree(own, w), tree(other, w), percent, coarse))
+            yield from dual_traversal(tree(own, w), tree(other, w), percent, coarse)
         for x, y in ((left, right),) if within else ((left, right), (right, left)):
             own, wide = x[widths[x] == w], y[widths[y] == 2 * w]  # similar sizes differ by less than two
             if len(own) and len(wide):
-                out.append(dual_traversal(tree(own, w), tree(wide, w), percent, coarse))
-    return out
+                yield from dual_traversal(tree(own, w), tree(wide, w), percent, coarse)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +327,7 @@ def coarse_task(percent: int):
                     continue
                 _, own = np.unique(component[g], return_inverse=True)
                 own_maps = [np.frombuffer(m, np.uint64) for m in maps.slice(g[0], len(g)).to_pylist()]
-                pairs = candidates(own_maps, n[g], own, *sides(block[g], i[g[0]], j[g[0]]), percent, True)
+                pairs = list(candidates(own_maps, n[g], own, *sides(block[g], i[g[0]], j[g[0]]), percent, True))
                 a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
                 root = roots_of(len(g), a, b)
                 met = np.flatnonzero(root != np.arange(len(g)))

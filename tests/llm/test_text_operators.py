@@ -407,3 +407,44 @@ def test_attribution_to_lines_and_attached_sections(spark):
     got = attribution.attribute_tokens(joined, tokenizer(BYTE_VOCABULARY), sections="sections").filter("doc_id = 4").collect()
     assert [r["section"] for r in got][:2] == ["x", "y"]
     assert attribution.attribute_tokens(rows.limit(0), tokenizer(BYTE_VOCABULARY)).count() == 0
+
+
+def test_word_hashes_take_little_memory_and_do_not_depend_on_pieces(monkeypatch):
+    import random
+    import tracemalloc
+
+    from beckon.llm import common
+
+    rng = random.Random(3)
+    texts = [" ".join(f"W{rng.randrange(500)}é" for _ in range(rng.choice([0, 3, 400, 90_000]))).encode() for _ in range(12)] + [b"x" * 700_000 + b" y\n z", b""]
+    common._POWERS.clear()
+    tracemalloc.start()
+    hashes, counts = common.word_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    monkeypatch.setattr(common, "_PIECE", 1 << 12)
+    again = common.word_hashes(texts)
+    assert (again[0] == hashes).all() and (again[1] == counts).all()
+    common._POWERS.clear()
+    long = b"some words " * 400_000
+    tracemalloc.start()
+    monkeypatch.undo()
+    common.word_hashes([long])
+    assert tracemalloc.get_traced_memory()[1] < 32e6, (peak, tracemalloc.get_traced_memory())
+    tracemalloc.stop()
+
+
+def test_pairs_of_near_copies_come_in_bounded_parts():
+    import numpy as np
+
+    from beckon.llm import jaccard
+
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.integers(0, 1 << 62, 40).astype(np.uint64))
+    sets = [np.sort(np.append(base, np.uint64(k))) for k in range(700)]
+    everyone = np.arange(700)
+    parts = list(jaccard.candidates([jaccard.signature(x) for x in sets], np.full(700, 41), everyone, everyone, everyone, 85))
+    pairs = {frozenset(p) for a, b in parts for p in zip(a.tolist(), b.tolist())}
+    assert len(pairs) == sum(len(a) for a, _ in parts) == 700 * 699 // 2
+    assert max(len(a) for a, _ in parts) <= jaccard.STEP * jaccard.FAN**2
