@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 GROUPS = 128
 SLICE = 100_000  # rows of a group that are worked on at once
 STEP = 64  # one in so many ticks is looked at when slices are cut
+PIECE = 1024  # rows of a file that are read at once
 NONE = np.iinfo(np.int64).min  # no state yet
 
 # (held, rows in order, watermark in ms) -> (rows out, held, ms from which held is not needed any more)
@@ -58,23 +59,28 @@ def unpacked(data: bytes) -> pd.DataFrame:
 def in_slices(batches: Iterator[pd.DataFrame], tick: str, most: int = SLICE, nested: Sequence[str] = ()) -> Iterator[tuple[pd.DataFrame, bool]]:
     """All rows in frames of about ``most`` rows, from low ticks to high ones, and whether a frame is the last.
 
-    Rows of one tick stay together.  More than ``most`` rows go to files in the temp folder, sorted by tick; slices are
-    read from maps of them.  ``nested`` columns have values that are not plain.
+    Rows of one tick stay together.  More than ``most`` rows go to a file in the temp folder, in runs sorted by tick and
+    cut into pieces; each piece is read once, so that beside a slice only a piece of each run is held.  ``nested`` columns
+    have values that are not plain.
     """
     held: list[pd.DataFrame] = []
     size = 0
-    with tempfile.TemporaryDirectory(prefix="beckon-slices-") as folder:
-        runs: list[pa.Table] = []
+    with tempfile.TemporaryFile(prefix="beckon-slices-") as file:
+        schemas: list[pa.Schema] = []
+        pieces: list[tuple[int, int, int, int]] = []  # first tick, place in the file, bytes, run
+        seen: list[np.ndarray] = []
 
         def put_away() -> None:
             nonlocal size
             frame = pd.concat(held, ignore_index=True).sort_values(tick, kind="stable", ignore_index=True)
             frame = frame.assign(**{c: [pickle.dumps(x) for x in frame[c]] for c in nested})
             table = pa.Table.from_pandas(frame, preserve_index=False)
-            path = f"{folder}/{len(runs)}"
-            with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, table.schema) as out:
-                out.write_table(table)
-            runs.append(pa.ipc.open_file(pa.memory_map(path)).read_all())
+            seen.append(frame[tick].to_numpy()[::STEP].copy())
+            for piece in table.to_batches(PIECE):
+                data = piece.serialize()
+                pieces.append((piece.column(tick)[0].as_py(), file.tell(), data.size, len(schemas)))
+                file.write(data)
+            schemas.append(table.schema)
             held.clear()
             size = 0
 
@@ -83,19 +89,31 @@ def in_slices(batches: Iterator[pd.DataFrame], tick: str, most: int = SLICE, nes
             size += len(batch)
             if size > most:
                 put_away()
-        if not runs:
+        if not schemas:
             yield pd.concat(held, ignore_index=True), True
             return
         if held:
             put_away()
-        ticks = [run.column(tick).to_numpy() for run in runs]
-        seen = np.sort(np.concatenate([t[::STEP] for t in ticks]))
-        cuts = np.unique(seen[:: max(1, most // STEP)])
-        edges = [np.concatenate(([0], np.searchsorted(t, cuts[1:]), [len(t)])) for t in ticks]
+        cuts = np.unique(np.sort(np.concatenate(seen))[:: max(1, most // STEP)])
+        pieces.sort(reverse=True)
+        begun: dict[int, list[pa.RecordBatch]] = {}  # by run, what is read and not given out
         for k in range(len(cuts)):
-            parts = [run.slice(e[k], e[k + 1] - e[k]) for run, e in zip(runs, edges, strict=True) if e[k] < e[k + 1]]
+            last = k + 1 == len(cuts)
+            while pieces and (last or pieces[-1][0] < cuts[k + 1]):
+                _, place, length, run = pieces.pop()
+                file.seek(place)
+                begun.setdefault(run, []).append(pa.ipc.read_record_batch(pa.py_buffer(file.read(length)), schemas[run]))
+            parts = []
+            for run in sorted(begun):
+                table = pa.Table.from_batches(begun.pop(run))
+                end = len(table) if last else int(np.searchsorted(table.column(tick).to_numpy(), cuts[k + 1]))
+                if end:
+                    parts.append(table.slice(0, end))
+                if end < len(table):
+                    begun[run] = table.slice(end).to_batches()
             frame = pa.concat_tables(parts, promote_options="permissive").to_pandas()
-            yield frame.assign(**{c: [pickle.loads(x) for x in frame[c]] for c in nested}), k + 1 == len(cuts)
+            del parts, table
+            yield frame.assign(**{c: [pickle.loads(x) for x in frame[c]] for c in nested}), last
 
 
 def fold_groups(

@@ -1,11 +1,13 @@
 """Keyed stream folds against plain loops over several micro-batches; the growing store."""
 
 import datetime as dt
+import itertools
 import os
 import random
 import tempfile
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +200,26 @@ def test_throttle_in_slices_holds_few_rows(spark):
         whole, cut = (drain(keyed.fold_groups(src(), ["user_id"], "ts", ["__ms", "event_id"], lambda *a: told(fold, *a), size, 2, most=m), "slices").toPandas() for m in (10**9, 500))
         assert set(whole["event_id"]) == set(cut["event_id"]) and len(cut) == len(whole) > 100
         assert whole["size"].max() > 5000 and cut["size"].max() < 1200
+
+
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20
+
+
+def test_slices_do_not_map_what_waits_on_disk():
+    rng = np.random.default_rng(6)
+
+    def arrivals():  # 160 MB in random time order
+        for n in range(0, 2_000_000, 10_000):
+            frame = pd.DataFrame(rng.integers(0, 10**9, (10_000, 8)), columns=list("abcdefgh"))
+            yield frame.assign(tick=rng.integers(0, 1_000_000, 10_000), id=np.arange(n, n + 10_000))
+
+    list(keyed.in_slices(itertools.islice(arrivals(), 5), "tick", 20_000))
+    before, most, count, ids, low = resident(), 0, 0, 0, -1
+    for frame, _ in keyed.in_slices(arrivals(), "tick", 20_000):
+        assert low < frame["tick"].min() and len(frame) < 40_000
+        low, count, ids = frame["tick"].max(), count + len(frame), ids + int(frame["id"].sum())
+        most = max(most, resident() - before)
+    assert count == 2_000_000 and ids == 2_000_000 * 1_999_999 // 2
+    assert most < 80
